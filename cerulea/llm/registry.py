@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-#: Module, function, and the name of its SQL where SQL can express it.
+#: A module adds its functions named op*, and the SQL in its ORACLE_SQL where SQL can express them.
 _MODULES = ("mixing", "licenses", "topk", "pii", "quality", "neardup", "langid", "decontam", "linededup", "sharding")
 
 
