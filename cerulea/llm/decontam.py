@@ -30,9 +30,12 @@ def words(text):
 
 
 def shingles(word_array, n: int = WORDS):
-    """Hash of each run of ``n`` words, in order; none if there are fewer."""
+    """Hash of each run of ``n`` words, in order; none if there are fewer.
+
+    ``word_array`` must be a plain column, as inside the lambda an expression would be computed for each run; slice() there would copy the array each time.
+    """
     last = F.size(word_array) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.xxhash64(F.slice(word_array, i, n)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(word_array, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
 
 
 def lanes(hashes):
@@ -92,7 +95,7 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
     small = F.broadcast if (size[0] or 0) <= BROADCAST_ROWS else (lambda x: x)
 
     seeds = items.select("item_id", "n_words", "need", F.explode(F.array_distinct("item")).alias("h"))
-    places = docs.select("doc_id", F.posexplode(shingles(words(F.col("text")))).alias("pos", "h"))
+    places = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.posexplode(shingles(F.col("w"))).alias("pos", "h"))
     hits = places.join(small(seeds), "h").groupBy("doc_id", "item_id", "n_words", "need").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     # a window with enough shared shingles begins between the last of ``need`` successive places, less its length, and the first of them
     n, need = F.col("n_words") - WORDS + 1, F.col("need")
@@ -109,7 +112,7 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
     room = F.greatest(F.col("total") - F.col("x.n_words"), F.lit(0))
     kept = F.array_distinct(F.transform("x.starts", lambda s: F.least(F.greatest(s, F.lit(0)), room)))
     windows = texts.select("doc_id", F.col("x.n_words").alias("n_words"), "all", F.explode(kept).alias("start_word"))
-    windows = windows.select("doc_id", "n_words", "start_word", F.expr(f"slice(all, start_word + 1, n_words - {WORDS - 1})").alias("window")).dropDuplicates(["doc_id", "n_words", "start_word"])
+    windows = windows.select("doc_id", "n_words", "start_word", F.expr(f"array_compact(transform(sequence(start_word, start_word + n_words - {WORDS}), i -> get(all, i)))").alias("window")).dropDuplicates(["doc_id", "n_words", "start_word"])
     windows = with_simhash(windows, "window").withColumnRenamed("fp", "fp_w")
     index = with_simhash(items, "item").select("item_id", "n_words", "item", "fp", F.explode(index_keys(F.col("fp"), radius)).alias("key"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_w"))) <= radius

@@ -25,7 +25,7 @@ def chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES)
     begin = lambda k: F.when(k > 0, F.try_element_at("ends", k) + 1).otherwise(0)
     parts = F.transform("ends", lambda e, k: F.struct(begin(k).alias("start"), (e - begin(k) + 1).alias("n")))
     parts = F.filter(parts, lambda c: c["n"] >= min_lines)
-    found = rows.select("doc_id", F.explode(F.transform(parts, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.array_join(F.slice("lines", c["start"] + 1, c["n"]), "\n").alias("chunk")))).alias("c"))
+    found = rows.select("doc_id", F.explode(F.transform(parts, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.array_join(F.transform(F.sequence(c["start"], c["start"] + c["n"] - 1), lambda i: F.get("lines", i)), "\n").alias("chunk")))).alias("c"))
     return found.select("doc_id", "c.start", "c.n", "c.chunk").where(F.col("chunk").rlike(r"\S"))
 
 
@@ -49,15 +49,16 @@ def without_repeats(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
     share one decision, and null ids are never joined, so such rows stay whole. An empty table gives no rows.
     """
     gone = repeats(docs, divisor, min_lines).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
-    lines = F.split("text", "\n")
-    dropped = F.flatten(F.transform("gone", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
-    clean = F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
     rows = docs.select("doc_id", "text").join(gone, "doc_id", "left")
+    dropped = F.flatten(F.transform("gone", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
+    # columns of their own: inside a lambda an expression would be computed for each line
+    rows = rows.select("doc_id", "text", F.split("text", "\n").alias("lines"), F.when(F.col("gone").isNotNull(), dropped).alias("gone"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    clean = F.array_join(F.transform(kept, lambda i: F.element_at("lines", i + 1)), "\n")
     return rows.select(
         "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size(dropped)).cast("long").alias("n_removed"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(clean).alias("text"),
     )
 
