@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cerulea.llm.common import read_table
+from cerulea.llm.common import read_table, stored
 
 WORDS = 5
 SIMILARITY = 0.75
@@ -113,7 +113,7 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
     kept = F.array_distinct(F.transform("x.starts", lambda s: F.least(F.greatest(s, F.lit(0)), room)))
     windows = texts.select("doc_id", F.col("x.n_words").alias("n_words"), "all", F.explode(kept).alias("start_word"))
     windows = windows.select("doc_id", "n_words", "start_word", F.expr(f"array_compact(transform(sequence(start_word, start_word + n_words - {WORDS}), i -> get(all, i)))").alias("window")).dropDuplicates(["doc_id", "n_words", "start_word"])
-    windows = with_simhash(windows, "window").withColumnRenamed("fp", "fp_w")
+    windows = stored(with_simhash(windows, "window").withColumnRenamed("fp", "fp_w"), "windows")  # read twice
     index = with_simhash(items, "item").select("item_id", "n_words", "item", "fp", F.explode(index_keys(F.col("fp"), radius)).alias("key"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_w"))) <= radius
     looked = windows.select("doc_id", "n_words", "start_word", "fp_w", F.explode(index_keys(F.col("fp_w"), radius)).alias("key"))
