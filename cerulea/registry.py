@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from cerulea import oracle
+from cerulea.queries import QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
