@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cerulea.llm.common import read_table
+from cerulea.llm.common import read_table, stored
 
 DIVISOR = 3
 MIN_LINES = 2
@@ -37,7 +37,7 @@ def repeats(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES)
     """
     found = chunks(docs, divisor, min_lines).withColumn("key", F.xxhash64("chunk", F.length("chunk")))
     again = found.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    alike = found.join(again, "key", "left_semi")
+    alike = stored(found.join(again, "key", "left_semi"), "repeated-chunks")  # read twice; else all chunks are shuffled twice
     first = alike.groupBy("key", "chunk").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("m")).where("m > 1").select("key", F.col("chunk").alias("bytes"), "first")
     return alike.join(first, "key").where((F.col("chunk") == F.col("bytes")) & (F.struct("doc_id", "start") != F.col("first"))).select("doc_id", "start", "n")
 
