@@ -80,12 +80,12 @@ def word_bounds(is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def text_blocks(texts: list[str | None], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of whole texts of about ``size`` characters together, one text at least; bounds the memory of a kernel."""
+def text_blocks(texts: list[str | None], size: int = 1 << 21, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about ``size`` characters together and ``rows`` texts at most, one text at least; bounds the memory of a kernel."""
     begin = total = 0
     for i, text in enumerate(texts):
         total += len(text or "") + 1
-        if total >= size:
+        if total >= size or i + 1 - begin >= rows:
             yield begin, i + 1
             begin, total = i + 1, 0
     if begin < len(texts):

@@ -24,6 +24,8 @@ THRESHOLD = 0.7
 _TERMS = 2048
 _EXTRA = 64
 _ORDERS = 4
+#: Texts in a block: the counts of a block take 2,112 floats a text.
+_BLOCK_ROWS = 1024
 
 
 def _classes() -> np.ndarray:
@@ -107,13 +109,13 @@ def fitted(texts: list[str], labels: list[int], latent: int = LATENT) -> Model |
     """The latent axes are the first eigenvectors of the terms' second moments over the labelled texts."""
     if not texts:
         return None
-    x = np.concatenate([term_counts(texts[lo:hi]) for lo, hi in text_blocks(texts)])
+    x = np.concatenate([term_counts(texts[lo:hi]) for lo, hi in text_blocks(texts, rows=_BLOCK_ROWS)])
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(0.1)
     x = np.sqrt(x / x.sum(1, keepdims=True)) * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     _, axes = np.linalg.eigh(x.T @ x)
     model = Model(idf, axes[:, ::-1][:, :latent].astype(np.float32), np.zeros((0, 0)), np.asarray(labels, np.float64))
-    model.vectors = np.concatenate([model.latent(texts[lo:hi]) for lo, hi in text_blocks(texts)]).astype(np.float32)
+    model.vectors = np.concatenate([model.latent(texts[lo:hi]) for lo, hi in text_blocks(texts, rows=_BLOCK_ROWS)]).astype(np.float32)
     return model
 
 
@@ -134,7 +136,7 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for lo, hi in text_blocks(texts):
+            for lo, hi in text_blocks(texts, rows=_BLOCK_ROWS):
                 score = model.scores(texts[lo:hi]) if model else np.full(hi - lo, 0.5)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(score.astype(np.float64))], names=["doc_id", "score"])
 
