@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from cerulea.functions.geo import CIRCUMFERENCE, MAX_LATITUDE
-from cerulea.queries import RING, ZOOMS
+from cerulea.functions.text import GOOGLE
+from cerulea.operators.detect import Limits
+from cerulea.queries import PLAN_ZOOM, RING, ZOOMS
 from cerulea.sources.scene import COLOURS, TILE_X, TILE_Y
 
 
@@ -90,6 +92,55 @@ STATS = f"""{FILLED}, stats AS (SELECT tx, ty, label, count(*) AS pixels, min(px
   round(avg((h::FLOAT >= 168 AND h::FLOAT <= 205 AND s::FLOAT::DOUBLE >= 0.34)::INT), 6) AS strict FROM filled GROUP BY 1, 2, 3)"""
 
 
+TEXTURE = f"""{STATS}, own AS (SELECT tx, ty, px, py, label, v::FLOAT::DOUBLE AS v FROM filled),
+  steps AS (SELECT a.tx, a.ty, a.label, abs(r.v - a.v) + abs(d.v - a.v) AS step FROM own a
+    JOIN own r ON r.tx = a.tx AND r.ty = a.ty AND r.label = a.label AND r.px = a.px + 1 AND r.py = a.py
+    JOIN own d ON d.tx = a.tx AND d.ty = a.ty AND d.label = a.label AND d.px = a.px AND d.py = a.py + 1
+    JOIN own l ON l.tx = a.tx AND l.ty = a.ty AND l.label = a.label AND l.px = a.px - 1 AND l.py = a.py
+    JOIN own u ON u.tx = a.tx AND u.ty = a.ty AND u.label = a.label AND u.px = a.px AND u.py = a.py - 1
+    WHERE a.px BETWEEN 1 AND 254 AND a.py BETWEEN 1 AND 254),
+  roughness AS (SELECT tx, ty, label, count(*) AS samples, sum(step) AS total FROM steps GROUP BY 1, 2, 3),
+  texture AS (SELECT tx, ty, label, coalesce(samples, 0) AS samples, CASE WHEN samples >= greatest(6.0, pixels * 0.12) THEN round(total / samples, 6) ELSE 0 END::DOUBLE AS texture
+    FROM stats LEFT JOIN roughness USING (tx, ty, label))"""
+
+_L = Limits()
+FRAGMENTS = f"""{TEXTURE},
+  placed AS (SELECT *, max_px - min_px + 1 AS width, max_py - min_py + 1 AS height, min_py = 0 AS n, min_px = 0 AS w, max_py = 255 AS s, max_px = 255 AS e,
+    {_lon("(tx * 256 + sum_px / pixels + 0.5)", 19)} AS lon, {_lat("(ty * 256 + sum_py / pixels + 0.5)", 19)} AS lat, {_lon("(tx * 256 + min_px)", 19)} AS west,
+    {_lon("(tx * 256 + max_px + 1)", 19)} AS east, {_lat("(ty * 256 + min_py)", 19)} AS north, {_lat("(ty * 256 + max_py + 1)", 19)} AS south
+    FROM stats JOIN texture USING (tx, ty, label) WHERE pixels >= {_L.min_pixels}),
+  sized AS (SELECT *, round(pixels / (width * height), 6) AS fill, {_mpp("lat", 19)} AS mpp, n OR w OR s OR e AS edge FROM placed),
+  measured AS (SELECT *, pixels * mpp * mpp AS area, '19/' || tx || '/' || ty || ':' || min_px || ',' || min_py AS frag FROM sized),
+  frags AS (SELECT * FROM measured WHERE texture <= {_L.max_texture} AND CASE WHEN edge THEN area <= {4 * _L.max_area}
+    ELSE greatest(width, height) / least(width, height) <= {_L.max_aspect} AND fill >= {_L.min_fill} AND area BETWEEN {_L.min_area} AND {_L.max_area} END)"""
+_SIDE = "(111320 * greatest(0.05, cos(radians((south + north) / 2))))"
+PAIRS = f"""{FRAGMENTS},
+  grown AS (SELECT frag, tx, ty, west - grow / {_SIDE} AS west, east + grow / {_SIDE} AS east, south - grow / 111320 AS south, north + grow / 111320 AS north
+    FROM (SELECT *, {_L.adjacency_px} * mpp AS grow FROM frags WHERE edge)),
+  pairs AS (SELECT DISTINCT least(p.frag, q.frag) AS a, greatest(p.frag, q.frag) AS b FROM grown p JOIN frags q
+    ON q.edge AND p.frag <> q.frag AND abs(p.tx - q.tx) <= 1 AND abs(p.ty - q.ty) <= 1 AND p.west <= q.east AND q.west <= p.east AND p.south <= q.north AND q.south <= p.north)"""
+_UNIT = "least(1.0, greatest(0.0, {}))"
+_SURE = f"""0.30 * strict + 0.18 * exp(-(hue - 189) * (hue - 189) / 1352.0::DOUBLE) + 0.14 * {_UNIT.format("(saturation - 0.15) / 0.45")} + 0.15 * {_UNIT.format("(0.1 - texture) / 0.08")}
+  + 0.12 * {_UNIT.format("(fill - 0.28) / 0.45")} + 0.11 * CASE WHEN size < 10 THEN size / 10 WHEN size <= 150 THEN 1.0 ELSE greatest(0.25, 1 - (size - 150) / 2500) END"""
+MERGED = f"""{PAIRS}, links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+  reach(frag, other) AS (SELECT frag, frag FROM frags UNION SELECT r.frag, l.b FROM reach r JOIN links l ON l.a = r.other),
+  named AS (SELECT frag, min(other) AS cluster FROM reach GROUP BY 1),
+  rims AS (SELECT frag, unnest([[tx, ty - 1, n::INT], [tx, ty + 1, s::INT], [tx - 1, ty, w::INT], [tx + 1, ty, e::INT]]) AS t FROM frags),
+  cut AS (SELECT DISTINCT frag FROM rims WHERE t[3] = 1 AND (t[1], t[2]) NOT IN (SELECT (tx, ty) FROM mask)),
+  summed AS (SELECT cluster, sum(pixels)::BIGINT AS pixels, sum(area) AS area, count(*) AS parts, count(DISTINCT (tx, ty)) AS tiles,
+    {", ".join(f"round(sum({c} * pixels) / sum(pixels), {d}) AS {c}" for c, d in [*((c, 6) for c in ("hue", "saturation", "value", "strict", "fill", "texture")), ("lon", 8), ("lat", 8)])},
+    bool_or(frag IN (SELECT frag FROM cut)) AS truncated FROM frags JOIN named USING (frag) GROUP BY 1),
+  summed2 AS (SELECT *, round(area, 6) AS size FROM summed),
+  judged AS (SELECT *, ({_SURE}) * CASE WHEN truncated THEN 0.9::DOUBLE ELSE 1 END * CASE WHEN texture > 0.1 AND fill < 0.5 THEN 0.78::DOUBLE ELSE 1 END AS sure FROM summed2),
+  merged AS (SELECT * EXCLUDE (area, size, sure), floor({_UNIT.format("sure")} * 1000 + 0.5)::DOUBLE / 1000 AS confidence, CASE WHEN area <= {_L.hot_tub} THEN 'hot_tub' ELSE 'pool' END AS kind,
+    area > {_L.max_area} AS open_water, area BETWEEN {_L.min_merged} AND {_L.max_area} AS shown, size AS area FROM judged),
+  ranked AS (SELECT row_number() OVER (ORDER BY area DESC, confidence DESC, cluster)::INT AS rank, cluster, kind, area, confidence, truncated, lon, lat, pixels FROM merged WHERE shown)"""
+
+
+def _recursive(body: str, steps: str) -> str:
+    return f"WITH RECURSIVE {steps} {body}"
+
+
 def _edges() -> list:
     return [(*RING[i - 1], *RING[i]) for i in range(len(RING))]
 
@@ -99,6 +150,32 @@ def _inside(lon: str, lat: str) -> str:
     return f"(({' + '.join(terms)}) % 2 = 1)"
 
 
+def _turn(a: str, b: str, c: str) -> str:
+    """Which way the path over three points turns; points are column suffixes."""
+    return f"sign((x{b} - x{a}) * (y{c} - y{a}) - (y{b} - y{a}) * (x{c} - x{a}))"
+
+
+def _within(p: str, q: str, r: str) -> str:
+    return f"x{r} BETWEEN least(x{p}, x{q}) AND greatest(x{p}, x{q}) AND y{r} BETWEEN least(y{p}, y{q}) AND greatest(y{p}, y{q})"
+
+
+def _cover() -> str:
+    lon, lat, z = [p[0] for p in RING], [p[1] for p in RING], PLAN_ZOOM
+    span = lambda w, a, b: f"unnest(range({_tile(w(f'({a}::DOUBLE)', z), z)}, {_tile(w(f'({b}::DOUBLE)', z), z)} + 1))::INT"
+    corners = [("w", "s"), ("e", "s"), ("e", "n"), ("w", "n")]
+    rims = " UNION ALL ".join(f"SELECT tx, ty, {corners[k - 1][0]} AS xa, {corners[k - 1][1]} AS ya, {corners[k][0]} AS xb, {corners[k][1]} AS yb FROM bounds" for k in range(4))
+    ring = ", ".join("(" + ", ".join(f"{v}::DOUBLE" for v in e) + ")" for e in _edges())
+    inside = " OR ".join(_inside(x, y) for x, y in [("((w + e) / 2)", "((s + n) / 2)"), *corners])
+    return f"""cand AS (SELECT tx, ty FROM (SELECT {span(_wx, min(lon), max(lon))} AS tx) CROSS JOIN (SELECT {span(_wy, max(lat), min(lat))} AS ty)),
+  bounds AS (SELECT tx, ty, {_lon("(tx * 256)", z)} AS w, {_lat("((ty + 1) * 256)", z)} AS s, {_lon("((tx + 1) * 256)", z)} AS e, {_lat("(ty * 256)", z)} AS n FROM cand),
+  ring(xc, yc, xd, yd) AS (VALUES {ring}), rims AS ({rims}),
+  turns AS (SELECT *, {_turn("a", "b", "c")} AS t1, {_turn("a", "b", "d")} AS t2, {_turn("c", "d", "a")} AS t3, {_turn("c", "d", "b")} AS t4 FROM rims CROSS JOIN ring),
+  crossed AS (SELECT DISTINCT tx, ty FROM turns WHERE (t1 <> t2 AND t3 <> t4) OR (t1 = 0 AND {_within("a", "b", "c")}) OR (t2 = 0 AND {_within("a", "b", "d")}) OR (t3 = 0 AND {_within("c", "d", "a")}) OR (t4 = 0 AND {_within("c", "d", "b")})),
+  held AS (SELECT DISTINCT tx, ty FROM bounds JOIN ring ON xc BETWEEN w AND e AND yc BETWEEN s AND n),
+  cover AS (SELECT tx, ty FROM bounds WHERE NOT (w > {max(lon)} OR e < {min(lon)} OR s > {max(lat)} OR n < {min(lat)})
+    AND ({inside} OR (tx, ty) IN (SELECT (tx, ty) FROM held) OR (tx, ty) IN (SELECT (tx, ty) FROM crossed)))"""
+
+
 def _map(body: str, *steps: str) -> str:
     return f"WITH {', '.join(steps)} {body}"
 
@@ -126,5 +203,24 @@ def oracle_sql() -> dict[str, str]:
         "event_log_latest": "WITH r AS (SELECT user_id AS id, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'remove' WHEN event_id % 3 = 0 THEN 'update' ELSE 'add' END AS op, round(value, 6) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) SELECT id, seq, op, value FROM r WHERE n = 1 AND op <> 'remove'",
         "coverage_stats": _map(f"SELECT count(*) AS tiles, round(sum(pow(256 * {_mpp(_lat('((ty + 0.5) * 256)', 19), 19)}, 2)), 1) AS swept_m2 FROM (SELECT DISTINCT tx, ty FROM pixels)", PIXELS),
         "fmt_links": _map("SELECT event_id, 'https://tiles.example/19/' || ty || '/' || tx AS url, CASE WHEN event_id >= 3600 THEN (event_id // 3600) || ':' ELSE '' END || lpad(((event_id // 60) % 60)::VARCHAR, 2, '0') || ':' || lpad((event_id % 60)::VARCHAR, 2, '0') AS duration FROM tiles", POINTS, TILES),
+        "plan_cover": _map("SELECT * FROM cover", _cover()),
+        "plan_estimate": _map("SELECT count(*) AS tiles FROM cover", _cover()),
+        "plan_serpentine": _map("SELECT tx, ty, row_number() OVER (ORDER BY ty, CASE WHEN (ty - (SELECT min(ty) FROM cand)) % 2 = 0 THEN tx ELSE -tx END) - 1 AS idx FROM cover", _cover()),
+        "plan_spiral": _map(
+            "SELECT tx, ty, row_number() OVER (ORDER BY r, side, CASE side WHEN 0 THEN dx WHEN 1 THEN dy WHEN 2 THEN -dx ELSE -dy END) - 1 AS idx FROM sided",
+            _cover(),
+            "mid AS (SELECT floor((min(tx) + max(tx)) / 2 + 0.5)::INT AS mx, floor((min(ty) + max(ty)) / 2 + 0.5)::INT AS my FROM cand)",
+            "moved AS (SELECT tx, ty, tx - mx AS dx, ty - my AS dy, greatest(abs(tx - mx), abs(ty - my)) AS r FROM cover CROSS JOIN mid)",
+            "sided AS (SELECT *, CASE WHEN dy = -r THEN 0 WHEN dx = r THEN 1 WHEN dy = r THEN 2 ELSE 3 END AS side FROM moved)",
+        ),
+        "component_texture": _recursive("SELECT * FROM texture", TEXTURE),
+        "fragments": _recursive("SELECT frag, pixels, round(area, 4) AS area, round(lon, 8) AS lon, round(lat, 8) AS lat, fill, texture, strict, n, e, s, w FROM frags", FRAGMENTS),
+        "merge_pairs": _recursive("SELECT * FROM pairs", PAIRS),
+        "merged_detections": _recursive("SELECT * FROM merged", MERGED),
+        "open_water": _recursive("SELECT count(*) FILTER (open_water) AS suppressed, count(*) FILTER (shown) AS shown FROM merged", MERGED),
+        "rank_all": _recursive("SELECT * FROM ranked", MERGED),
+        "rank_visible": _recursive(f"SELECT row_number() OVER (ORDER BY area DESC, confidence DESC, cluster)::INT AS rank, cluster, area, confidence FROM merged WHERE shown AND confidence >= {_L.shown}", MERGED),
+        "top_k": _recursive("SELECT * FROM ranked WHERE rank <= 25", MERGED),
+        "csv_rows": _recursive(f"""SELECT rank, printf('%d,%s,%s,%.6f,%.6f,%.1f,%.3f,%s,"{GOOGLE.replace('%', '%%')}%.6f%%2C%.6f"', rank, cluster, kind, lat, lon, area, confidence, truncated::VARCHAR, lat, lon) AS line FROM ranked""", MERGED),
     }
     return out
