@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from cerulea.llm.common import stored
 
+#: Parts in which the neighbours of a node meet its smallest neighbour.
+SALTS = 16
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -23,6 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     def least(rows: DataFrame) -> DataFrame:
         return rows.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
 
+    def beside(rows: DataFrame, low: DataFrame) -> DataFrame:
+        """(u, v, low). The neighbours of a hub are dealt over several tasks; with a plain exchange on both sides, adaptive execution can split them further."""
+        copies = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(copies, ["u", "salt"]).drop("salt")
+
     def both(rows: DataFrame) -> DataFrame:
         return rows.select(F.col("a").alias("u"), F.col("b").alias("v")).union(rows.select(F.col("b"), F.col("a")))
 
@@ -33,9 +41,9 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := _state(edges)) != before:
         before = now
         sides = both(edges)
-        large = tidy(sides.join(least(sides), "u").where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b")))
+        large = tidy(beside(sides, least(sides)).where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b")))
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         low = least(down)
-        small = down.join(low, "u").select(F.col("v").alias("a"), F.col("low").alias("b")).union(low.select(F.col("u"), F.col("low")))
+        small = beside(down, low).select(F.col("v").alias("a"), F.col("low").alias("b")).union(low.select(F.col("u"), F.col("low")))
         edges = stored(tidy(small), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
