@@ -28,6 +28,14 @@ def google_link(lat, lon) -> Column:
     return F.concat(F.lit(GOOGLE), fixed(lat, 6), F.lit("%2C"), fixed(lon, 6))
 
 
+def bing_link(lat, lon) -> Column:
+    return F.concat(F.lit("https://www.bing.com/maps?cp="), fixed(lat, 6), F.lit("~"), fixed(lon, 6), F.lit("&lvl=19&style=a"))
+
+
+def osm_link(lat, lon) -> Column:
+    return F.concat(F.lit("https://www.openstreetmap.org/?mlat="), fixed(lat, 6), F.lit("&mlon="), fixed(lon, 6), F.lit("#map=19/"), fixed(lat, 6), F.lit("/"), fixed(lon, 6))
+
+
 def area_label(area) -> Column:
     """Square metres up to a hectare, hectares up to a square kilometre, square kilometres beyond."""
     return (

@@ -176,6 +176,19 @@ def _cover() -> str:
     AND ({inside} OR (tx, ty) IN (SELECT (tx, ty) FROM held) OR (tx, ty) IN (SELECT (tx, ty) FROM crossed)))"""
 
 
+def _bare(name: str, dx: int, dy: int) -> str:
+    near = f"m.tx = l.tx AND m.ty = l.ty AND m.label = l.label AND m.px = l.px + {dx} AND m.py = l.py + {dy}"
+    return f"(count(*) FILTER (NOT EXISTS (SELECT 1 FROM labels m WHERE {near})))::BIGINT AS \"{name}\""
+
+
+def _micro(x: str) -> str:
+    return f"regexp_replace((floor({x} * 1000000 + 0.5)::BIGINT::DECIMAL(18, 0) * 0.000001::DECIMAL(7, 6))::VARCHAR, '\\.?0+$', '')"
+
+
+_LINK = f"""corners AS (SELECT event_id, {_micro("lon")} AS x, {_micro("lat")} AS y, {_micro("(lon + 0.01::DOUBLE)")} AS x2, {_micro("(lat + 0.01::DOUBLE)")} AS y2, event_id % 13 + 10 AS zoom FROM near),
+  coded AS (SELECT *, to_base64(encode('[' || zoom || ',[[' || x || ',' || y || '],[' || x2 || ',' || y || '],[' || x || ',' || y2 || ']]]')) AS code FROM corners)"""
+
+
 def _map(body: str, *steps: str) -> str:
     return f"WITH {', '.join(steps)} {body}"
 
@@ -213,6 +226,17 @@ def oracle_sql() -> dict[str, str]:
             "moved AS (SELECT tx, ty, tx - mx AS dx, ty - my AS dy, greatest(abs(tx - mx), abs(ty - my)) AS r FROM cover CROSS JOIN mid)",
             "sided AS (SELECT *, CASE WHEN dy = -r THEN 0 WHEN dx = r THEN 1 WHEN dy = r THEN 2 ELSE 3 END AS side FROM moved)",
         ),
+        "boundary_sides": _recursive("SELECT tx, ty, label, " + ", ".join(_bare(*x) for x in (("top", 0, -1), ("right", 1, 0), ("bottom", 0, 1), ("left", -1, 0))) + " FROM labels l GROUP BY tx, ty, label", LABELS),
+        "truncation": _recursive("SELECT frag FROM cut", MERGED),
+        "aoi_bbox": "SELECT event_id, (event_id % 170)::DOUBLE AS west, (event_id % 80)::DOUBLE AS south, (event_id % 170 + 2)::DOUBLE AS east, (event_id % 80 + 1)::DOUBLE AS north FROM events WHERE event_id % 11 <> 0",
+        "aoi_permalink": _map("SELECT event_id, '#aoi=' || rtrim(translate(code, '+/', '-_'), '=') AS link, CASE WHEN zoom <= 20 THEN zoom END::BIGINT AS zoom, CASE WHEN zoom <= 20 THEN x::DOUBLE END AS lon, CASE WHEN zoom <= 20 THEN y::DOUBLE END AS lat FROM coded", NEAR, _LINK),
+        "segments_intersect": _map(
+            f"SELECT event_id, (t1 <> t2 AND t3 <> t4) OR (t1 = 0 AND {_within('a', 'b', 'c')}) OR (t2 = 0 AND {_within('a', 'b', 'd')}) OR (t3 = 0 AND {_within('c', 'd', 'a')}) OR (t4 = 0 AND {_within('c', 'd', 'b')}) AS meet FROM turned",
+            "segs AS (SELECT event_id, event_id % 11 % 7 AS xa, event_id % 13 % 7 AS ya, event_id % 17 % 7 AS xb, event_id % 19 % 7 AS yb, 1 AS xc, 1 AS yc, 5 AS xd, 5 AS yd FROM events)",
+            f"turned AS (SELECT *, {_turn('a', 'b', 'c')} AS t1, {_turn('a', 'b', 'd')} AS t2, {_turn('c', 'd', 'a')} AS t3, {_turn('c', 'd', 'b')} AS t4 FROM segs)",
+        ),
+        "fmt_area": "WITH s AS (SELECT event_id, (event_id * 7919 % 4000037)::DOUBLE / 4 + 0.03::DOUBLE AS a FROM events) SELECT event_id, CASE WHEN a >= 1e6 THEN printf('%.2f km²', a / 1e6) WHEN a >= 1e4 THEN printf('%.2f ha', a / 1e4) WHEN a >= 100 THEN printf('%.0f m²', a) ELSE printf('%.1f m²', a) END AS label FROM s",
+        "fmt_map_links": _map("SELECT event_id, printf('https://www.bing.com/maps?cp=%.6f~%.6f&lvl=19&style=a', lat, lon) AS bing, printf('https://www.openstreetmap.org/?mlat=%.6f&mlon=%.6f#map=19/%.6f/%.6f', lat, lon, lat, lon) AS osm FROM points", POINTS),
         "component_texture": _recursive("SELECT * FROM texture", TEXTURE),
         "fragments": _recursive("SELECT frag, pixels, round(area, 4) AS area, round(lon, 8) AS lon, round(lat, 8) AS lat, fill, texture, strict, n, e, s, w FROM frags", FRAGMENTS),
         "merge_pairs": _recursive("SELECT * FROM pairs", PAIRS),

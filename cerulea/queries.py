@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from cerulea.functions import geo, text
 from cerulea.functions.color import hsv, is_strict
-from cerulea.operators import detect, raster
+from cerulea.operators import detect, outline, raster
 from cerulea.plans import cover
-from cerulea.sources import scene
+from cerulea.sinks import exports
+from cerulea.sources import area, scene
 from cerulea.streaming.feed import latest
 
 ZOOMS = (3, 14, 19)
@@ -188,6 +189,65 @@ def csv_rows(spark, sf_dir):
     return rank_all(spark, sf_dir).select("rank", line.alias("line"))
 
 
+def boundary_sides(spark, sf_dir):
+    return outline.boundary_sides(_labels(spark, sf_dir))
+
+
+def outline_rings(spark, sf_dir):
+    """Outer rings before and after simplifying, with the plane area of each."""
+    labels = _labels(spark, sf_dir)
+    sides = [outline.outlines(labels, e).select(*raster.TILE_KEY, "label", F.size("ring").alias(f"{n}_corners"), F.round(outline.shoelace("ring"), 3).alias(f"{n}_area"), F.to_json("ring").alias(f"{n}_ring")) for n, e in (("full", 0), ("simple", outline.EPSILON))]
+    return sides[0].join(sides[1], [*raster.TILE_KEY, "label"])
+
+
+def truncation(spark, sf_dir):
+    return detect.truncated(_fragments(spark, sf_dir), px_water_mask(spark, sf_dir).select("tx", "ty").distinct())
+
+
+def geojson_rows(spark, sf_dir):
+    """A feature for each ranked detection, with the simplified ring of each of its fragments."""
+    labels = _labels(spark, sf_dir)
+    frags = _checkpointed(detect.fragments(labels, scene.supplier_pixels(spark, sf_dir)))
+    named = detect.clusters(frags, detect.merge_pairs(frags))
+    found = detect.merged(frags, named, px_water_mask(spark, sf_dir).select("tx", "ty").distinct())
+    kept = labels.join(frags.select(*raster.TILE_KEY, "label"), [*raster.TILE_KEY, "label"], "left_semi")
+    rings = outline.outlines(kept).join(frags.select(*raster.TILE_KEY, "label", "frag"), [*raster.TILE_KEY, "label"]).join(named, "frag")
+    return exports.features(detect.ranked(found.where("shown")), rings.select("cluster", "frag", outline.on_map("ring", scene.ZOOM).alias("ring")))
+
+
+def aoi_bbox(spark, sf_dir):
+    e = F.col("event_id")
+    written = F.concat_ws(",", (e % 80).cast("string"), F.concat(F.lit(" "), (e % 170).cast("string")), F.when(e % 11 == 0, "x").otherwise((e % 80 + 1).cast("string")), (e % 170 + 2).cast("string"))
+    ring = area.ring_of_bbox(written)
+    return _events(spark, sf_dir).select("event_id", ring.alias("ring")).where(F.col("ring").isNotNull()).select("event_id", F.array_min("ring.lon").alias("west"), F.array_min("ring.lat").alias("south"), F.array_max("ring.lon").alias("east"), F.array_max("ring.lat").alias("north"))
+
+
+def aoi_permalink(spark, sf_dir):
+    """A triangle beside each point as a link, and its first corner read back; zooms 21 and 22 are refused."""
+    lon, lat = F.col("lon"), F.col("lat")
+    corner = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
+    ring = F.array(corner(lon, lat), corner(lon + 0.01, lat), corner(lon, lat + 0.01))
+    links = _near(spark, sf_dir).select("event_id", area.permalink(ring, F.col("event_id") % 13 + 10).alias("link"))
+    back = links.select("event_id", "link", area.ring_of_permalink(F.col("link")).alias("read"))
+    return back.select("event_id", "link", F.col("read.zoom").cast("long").alias("zoom"), F.get("read.ring", F.lit(0))["lon"].alias("lon"), F.get("read.ring", F.lit(0))["lat"].alias("lat"))
+
+
+def segments_intersect(spark, sf_dir):
+    """Segments on a small lattice against one diagonal, so that touching and lying along it occur."""
+    e = F.col("event_id")
+    ends = [(e % n % 7).cast("double") for n in (11, 13, 17, 19)]
+    return _events(spark, sf_dir).select("event_id", geo.segments_meet((ends[0], ends[1]), (ends[2], ends[3]), (1, 1), (5, 5)).alias("meet"))
+
+
+def fmt_area(spark, sf_dir):
+    size = (F.col("event_id") * 7919 % 4000037).cast("double") / 4 + 0.03
+    return _events(spark, sf_dir).select("event_id", text.area_label(size).alias("label"))
+
+
+def fmt_map_links(spark, sf_dir):
+    return scene.points(spark, sf_dir).select("event_id", text.bing_link(F.col("lat"), F.col("lon")).alias("bing"), text.osm_link(F.col("lat"), F.col("lon")).alias("osm"))
+
+
 def event_log_latest(spark, sf_dir):
     op = F.when(F.col("event_id") % 7 == 0, "remove").when(F.col("event_id") % 3 == 0, "update").otherwise("add")
     log = _events(spark, sf_dir).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), op.alias("op"), "value")
@@ -206,5 +266,5 @@ def fmt_links(spark, sf_dir):
     return geo_tile_of(spark, sf_dir).select("event_id", url.alias("url"), text.duration_label(F.col("event_id")).alias("duration"))
 
 
-QUERIES = {f.__name__: f for f in (geo_world_px, geo_tile_of, geo_tile_bbox, geo_mpp, geo_px_to_lonlat, geo_tile_histogram, point_in_ring, bbox_expand, ring_area, plan_cover, plan_serpentine, plan_spiral, plan_estimate, scene_pixels, px_hsv, px_water_mask, px_strict_ratio, components, component_stats, component_texture, fragments, merge_pairs, merged_detections, open_water, rank_all, rank_visible, top_k, csv_rows, event_log_latest, coverage_stats, fmt_links)}
+QUERIES = {f.__name__: f for f in (geo_world_px, geo_tile_of, geo_tile_bbox, geo_mpp, geo_px_to_lonlat, geo_tile_histogram, point_in_ring, bbox_expand, ring_area, plan_cover, plan_serpentine, plan_spiral, plan_estimate, scene_pixels, px_hsv, px_water_mask, px_strict_ratio, components, component_stats, component_texture, fragments, merge_pairs, merged_detections, open_water, rank_all, rank_visible, top_k, csv_rows, event_log_latest, coverage_stats, fmt_links, boundary_sides, outline_rings, truncation, geojson_rows, aoi_bbox, aoi_permalink, segments_intersect, fmt_area, fmt_map_links)}
 QUERIES |= {f"mask_{op.__name__}": partial(_per_tile, op) for op in (raster.erode, raster.dilate, raster.clean)}
