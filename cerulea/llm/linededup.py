@@ -53,6 +53,45 @@ def without_repeats(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
     dropped = F.flatten(F.transform("gone", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
     # columns of their own: inside a lambda an expression would be computed for each line
     rows = rows.select("doc_id", "text", F.split("text", "\n").alias("lines"), F.when(F.col("gone").isNotNull(), dropped).alias("gone"))
+    return cleaned(rows)
+
+
+def pairs(docs: DataFrame) -> DataFrame:
+    """(doc_id, of, start, n, key): every two successive lines that are not both blank, and every run of blank lines with the lines beside it.
+
+    of: a hash of the text, as rows that repeat an id may have other texts. key: the SHA-256 of the lines, which stands for their bytes, so no text is shuffled.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("of"), F.split("text", "\n").alias("lines")).where(F.size("lines") > 1)
+    rows = rows.withColumn("full", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(r"\S"))).where(F.size("full") > 0)
+    last = F.size("lines") - 1
+    two = F.transform(F.array_distinct(F.flatten(F.transform("full", lambda i: F.array(i - 1, i)))), lambda i: F.struct(i.alias("start"), (i + 1).alias("end")))
+    # blanks inside a passage go with it, and those at the ends of a text with the line beside them
+    gaps = F.transform(F.sequence(F.lit(0), F.size("full")), lambda k: F.struct(F.when(k > 0, F.get("full", k - 1)).otherwise(0).alias("start"), F.when(k < F.size("full"), F.get("full", k)).otherwise(last).alias("end")))
+    spans = F.concat(F.filter(two, lambda c: (c["start"] >= 0) & (c["end"] <= last)), F.filter(gaps, lambda c: c["end"] - c["start"] > 1))
+    digest = lambda c: F.unhex(F.sha2(F.array_join(F.slice("lines", c["start"] + 1, c["end"] - c["start"] + 1), "\n").cast("binary"), 256))
+    found = F.transform(spans, lambda c: F.struct(c["start"].alias("start"), (c["end"] - c["start"] + 1).alias("n"), digest(c).alias("key")))
+    return rows.select("doc_id", "of", F.explode(found).alias("c")).select("doc_id", "of", "c.start", "c.n", "c.key")
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_removed, text): every document without the passages of two lines or more that stand earlier, by (doc_id, line), in the corpus.
+
+    Each two successive lines of a repeated passage repeat, so it goes from its true first to its true last line, and an exact copy of two lines or more goes
+    whole. The first occurrence of a line always stays somewhere; single lines that repeat between other lines stay too. Rows with equal ids (null is one) and
+    equal texts are one document and share one decision; all rows stay, some perhaps empty. A null text stays null and has no lines, an empty one has one.
+    """
+    found = pairs(docs)
+    at = F.struct("doc_id", "of", "start")
+    first = found.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("m")).where("m > 1").select("key", "first")
+    gone = found.join(first, "key").where(at != F.col("first")).groupBy("doc_id", "of").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    gone = gone.select(F.col("doc_id").alias("g_id"), F.col("of").alias("g_of"), F.array_distinct(F.flatten(F.transform("spans", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))).alias("gone"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("of"))
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("of") == F.col("g_of")), "left")
+    return cleaned(rows.select("doc_id", "text", F.split("text", "\n").alias("lines"), "gone"))
+
+
+def cleaned(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_removed, text) from doc_id, text, lines and gone: the numbers of the lines to remove, each once, or null."""
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     clean = F.array_join(F.transform(kept, lambda i: F.element_at("lines", i + 1)), "\n")
     return rows.select(
@@ -67,6 +106,10 @@ def op9_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_passages(read_table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL = {
     "op9_line_chunk_dedup": rf"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),

@@ -186,3 +186,32 @@ def test_line_dedup(spark, odd, none):
     rows = {r.doc_id: r for r in linededup.without_repeats(docs).collect()}
     assert rows[0].text == "own\n" + body and rows[1].n_removed > 15 and rows[1].text.startswith("other\nwords") and rows[1].text.endswith("end")
     assert rows[2].text is None and rows[3].text == "" and linededup.without_repeats(odd).count() == odd.count() and linededup.without_repeats(none).count() == 0
+
+
+def test_passages_go_whole(spark, odd, none):
+    rng = random.Random(6)
+    line = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(n))
+    planted = [[line(20) for _ in range(n)] for n in (2, 3, 4, 5, 6)] * 4 + [["head", "", "", "", "foot"]] * 2
+    texts = {k: [line(6) for _ in range(rng.randrange(1, 4))] + p + [line(6) for _ in range(rng.randrange(1, 4))] for k, p in enumerate(planted)}
+    texts |= {100 + k: texts[k] for k in range(20)} | {200: ["", "", "x", "y", "", ""], 201: ["", "", "x", "y", "", ""], 202: ["own", "head", "own too"], 203: ["z"] * 4}
+    docs = spark.createDataFrame([(k, "\n".join(v)) for k, v in texts.items()] + [(5, "same id\nother text"), (None, "null\nid"), (None, "null\nid"), (300, None), (301, "")], "doc_id long, text string")
+    rows = {(r.doc_id, r.n_lines): r for r in linededup.without_passages(docs.repartition(3)).collect()}
+    for k, p in enumerate(planted):
+        own = texts[k] if k < 5 or k == 20 else [x for x in texts[k] if x not in p]
+        r = rows[k, len(texts[k])]
+        assert r.text.split("\n") == own and r.n_removed == len(texts[k]) - len(own)
+    assert all(rows[100 + k, len(texts[k])].text == "" and rows[100 + k, len(texts[k])].n_removed == len(texts[k]) for k in range(20))
+    assert rows[200, 6].n_removed == 0 and rows[201, 6].n_removed == 6 and rows[202, 3].n_removed == 0 and rows[203, 4].text == "z"
+    assert rows[5, 2].text == "same id\nother text" and rows[None, 2].n_removed == 0 and rows[300, 0].text is None and rows[301, 1].text == ""
+    assert linededup.without_passages(odd).count() == odd.count() and linededup.without_passages(none).count() == 0
+
+
+def test_passages_against_brute_force(spark):
+    docs = read_table(spark, SF, "documents")
+    first, gone, lines = {}, defaultdict(set), {r.doc_id: r.text.split("\n") for r in docs.where("text IS NOT NULL").collect()}
+    for i in sorted(lines):
+        for k, two in enumerate(zip(lines[i], lines[i][1:])):
+            if "".join(two).strip() and first.setdefault(two, (i, k)) != (i, k):
+                gone[i] |= {k, k + 1}
+    got = {r.doc_id: (r.n_removed, r.text) for r in linededup.without_passages(docs).where("text IS NOT NULL").collect()}
+    assert got == {i: (len(gone[i]), "\n".join(x for k, x in enumerate(v) if k not in gone[i])) for i, v in lines.items()} and gone
