@@ -15,6 +15,7 @@ from cerulea.llm.common import read_table, stored
 
 N_SLOTS = 4096
 ROW_BYTES = 16
+MIX_RANGE = 1024
 
 
 def slot_of(col, n_slots: int = N_SLOTS):
@@ -130,5 +131,21 @@ def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, keep: tup
     )
 
 
+def shard_in_mix_order(docs: DataFrame, keep: tuple[str, ...], n_shards: int = 40, n_slots: int = N_SLOTS) -> DataFrame:
+    """Every row with shard, slot and vslot and the columns named in ``keep``; ``slot`` counts the shard's rows from 0 without gaps, by the columns mix_slot and place.
+
+    Shards are as in ``shard``. A slot of the mix holds one block, so a range of them holds a bounded number of rows (unless an id repeats): places come from
+    counts per (shard, range) and ranks inside a range. Rows of equal place go by doc_id and text_crc32.
+    """
+    rows = measured(docs, n_slots, (*keep, "mix_slot", "place")).withColumn("range", F.floor(F.col("mix_slot") / MIX_RANGE))
+    where = shard_map(docs.sparkSession, slot_bytes(measured(docs, n_slots)), n_slots, n_shards).where("version = 1").select("vslot", "shard")
+    rows = rows.join(F.broadcast(where), "vslot")  # n_slots rows
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("shard", "range").agg(F.count("*").alias("n"))
+    starts = counts.select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("shard", "range").orderBy("mix_slot", "place", F.col("doc_id").asc_nulls_first(), "text_crc32"))
+    return rows.withColumn("rank", rank).join(starts, ["shard", "range"]).select("doc_id", *keep, "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), "vslot")
+
+
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read_table(spark, sf_dir, "documents"), 40)

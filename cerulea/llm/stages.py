@@ -36,14 +36,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix: files and the rows in them go by slot and place. Rows that repeat an id take one place each, in any order."""
+    """All documents with their slot of the mix and their place in it, which the next stage orders by; files go by them too. Rows that repeat an id share the first of its places."""
     docs = docs.select(*COLUMNS)
     place = mixing.mixed(docs).select("doc_id", F.col("mix_source"), F.struct("mix_slot", "place").alias("at")).groupBy("doc_id", "mix_source").agg(F.min("at").alias("at"))
     same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.coalesce("source", F.lit(mixing.NO_SOURCE)) == F.col("p_source"))
     rows = docs.join(place.select(F.col("doc_id").alias("p_id"), F.col("mix_source").alias("p_source"), "at"), same)
-    return rows.repartitionByRange("at.mix_slot", "at.place", "doc_id").sortWithinPartitions("at.mix_slot", "at.place", "doc_id").select(*COLUMNS)
+    return rows.repartitionByRange("at.mix_slot", "at.place", "doc_id").sortWithinPartitions("at.mix_slot", "at.place", "doc_id").select(*COLUMNS, "at.mix_slot", "at.place")
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard, its place there and its virtual slot."""
-    return sharding.shard(docs, 40, keep=("text", "lang", "source", "n_chars")).select(*COLUMNS, "shard", "slot", "vslot")
+    """Every document with its shard, its place there, which follows the mix, and its virtual slot."""
+    return sharding.shard_in_mix_order(docs, COLUMNS[1:]).select(*COLUMNS, "shard", "slot", "vslot")

@@ -83,3 +83,33 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert all(0 <= k < 40 and sorted(v) == list(range(len(v))) for k, v in slots.items())
     total, largest = sum(load.values()), max(len(r.text.encode()) + 16 for r in got)
     assert max(load.values()) <= math.ceil(total / 40) + largest
+
+
+def test_slots_of_a_shard_follow_the_mix(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, "word " * rng.randrange(1, 40), "en", "hot" if i % 3 == 0 else rng.choice(["a", "b", "c", None]), 1) for i in rng.sample(range(10**6), 6000)]
+    docs = spark.createDataFrame(rows, DOC)
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("mixing", "sharding"):
+            docs = stage(spark, docs, str(tmp_path))
+            docs.write.parquet(str(tmp_path / name))
+            docs = spark.read.parquet(str(tmp_path / name))
+    by = defaultdict(list)
+    for r in rows:
+        by[r[3] or "(none)"].append(r[0])
+    roots = {s: math.sqrt(len(v)) for s, v in by.items()}
+    weights = {s: max(1, math.floor(1000 * x / sum(roots.values()) + 0.5)) for s, x in roots.items()}
+    total, sent, at = sum(weights.values()), Counter(), {}
+    for t in range(total):
+        ready = [s for s in weights if sent[s] < weights[s] and sent[s] * total // weights[s] <= t]
+        s = min(ready, key=lambda s: (-(-(sent[s] + 1) * total // weights[s]), s))
+        at[s, sent[s]] = t
+        sent[s] += 1
+    place = {i: (p // 16 // weights[s] * total + at[s, p // 16 % weights[s]], p % 16) for s, v in by.items() for p, i in enumerate(sorted(v))}
+    shards = defaultdict(list)
+    for r in docs.collect():
+        shards[r.shard].append((r.slot, r.doc_id))
+    assert sum(map(len, shards.values())) == len(rows) and len(shards) == 40
+    for found in shards.values():
+        ids = [i for _, i in sorted(found)]
+        assert [k for k, _ in sorted(found)] == list(range(len(found))) and ids == sorted(ids, key=place.get)
