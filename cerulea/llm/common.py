@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Characters of whole texts that a model may be fitted on: what the driver holds at once.
+SAMPLE_CHARS = 32_000_000
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset (tests on one machine), a new temporary one."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it. There is no default: a folder of one machine would scatter tables over a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -38,6 +40,36 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text"):
+    """128 bits of a row's id and text, null ones included: rows of one id with other texts, and texts of null ids, are told apart; rows that repeat both are not."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.when(F.col(text).isNull(), "\n").otherwise("\t"), F.coalesce(text, F.lit(""))).cast("binary")))
+
+
+def sample_texts(docs: DataFrame, ids: list, most_chars: int = SAMPLE_CHARS) -> list[tuple]:
+    """(doc_id, text) of the documents with these ids, in the order of ``ids``: one whole text for each id, whichever of its texts has the smallest hash.
+
+    ``ids`` must be bounded. A text that would bring the sum beyond ``most_chars`` characters is left out, so neither an id with very many rows nor very long texts
+    can fill the driver. Null texts count as empty.
+    """
+    if not ids:
+        return []
+    spark, key = docs.sparkSession, F.xxhash64("text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], docs.select("doc_id").schema))  # as many rows as ids
+    sizes = rows.select("doc_id", key.alias("key"), F.length("text").alias("n")).join(wanted, "doc_id").groupBy("doc_id").agg(F.min(F.struct("key", "n")).alias("x"))
+    found, left, picked = {r["doc_id"]: r["x"] for r in sizes.collect()}, most_chars, []
+    for i in dict.fromkeys(ids):
+        if i in found and found[i]["n"] <= left:
+            left -= found[i]["n"]
+            picked.append((i, found[i]["key"]))
+    if not picked:
+        return []
+    chosen = F.broadcast(spark.createDataFrame([(i, k) for i, k in picked], docs.select("doc_id").schema.add("key", "long")))
+    texts = rows.withColumn("key", key).join(chosen, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    held = {r["doc_id"]: r["text"] for r in texts.select("doc_id", "text").collect()}
+    return [(i, held[i]) for i, _ in picked]
+
+
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -5,7 +5,9 @@ blocks of bits: with one block more than the radius, any two fingerprints within
 similarity of the shingles, sum of minima over sum of maxima.
 
 A window can only reach similarity 0.75 if at least three quarters of the item's shingles stand in it, so only such windows are fingerprinted: they are found by
-joining every shingle of every text with those of the items. This drops no window that could qualify.
+joining every shingle of every text with those of the items, and are looked up in the blocks of those items. This drops no window that could qualify. It is needed
+because the blocks alone select nothing at this similarity: fingerprints then differ in 17 % of their bits, so a radius that loses nothing leaves blocks of less than
+1 / 0.17 bits, at any width.
 """
 
 from __future__ import annotations
@@ -13,13 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cerulea.llm.common import read_table, stored
+from cerulea.llm.common import read_table, row_key, stored
 
 WORDS = 5
 SIMILARITY = 0.75
 RADIUS = 23
 BITS = 64
-LONGEST_ITEM = 65_535
 BROADCAST_ROWS = 1_000_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -38,30 +39,30 @@ def shingles(word_array, n: int = WORDS):
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(word_array, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def lanes(hashes):
-    """How many of an array of hashes have each bit: counts in 16-bit lanes, four to a long, bits j, j + 16, j + 32 and j + 48 in the j-th."""
-    ones = F.lit(0x0001000100010001)
+def lanes(hashes, width: int = 16):
+    """How many of an array of hashes have each bit: counts in lanes of ``width`` bits, 64 / width to a long, bits j, j + width, ... in the j-th."""
+    ones = F.lit(sum(1 << k for k in range(0, 64, width)))
 
     def added(j: int):
         return lambda acc, h: acc + F.shiftrightunsigned(h, j).bitwiseAND(ones)
 
-    return F.array(*[F.aggregate(hashes, F.lit(0).cast("long"), added(j)) for j in range(16)])
+    return F.array(*[F.aggregate(hashes, F.lit(0).cast("long"), added(j)) for j in range(width)])
 
 
-def _bits(packed, n):
+def _bits(packed, n, width: int):
     """64-bit SimHash from the lanes of ``n`` hashes: a bit is set if more than half of them have it."""
     out = F.lit(0).cast("long")
-    for j in range(16):
-        for k in range(4):
-            more = F.shiftrightunsigned(packed[j], 16 * k).bitwiseAND(F.lit(0xFFFF)) * 2 > n
-            bit = (1 << (16 * k + j)) - (1 << 64 if 16 * k + j == 63 else 0)
+    for j in range(width):
+        for low in range(0, 64, width):
+            more = F.shiftrightunsigned(packed[j], low).bitwiseAND(F.lit((1 << width) - 1)) * 2 > n
+            bit = (1 << (low + j)) - (1 << 64 if low + j == 63 else 0)
             out = out.bitwiseOR(F.when(more, F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
     return out
 
 
-def with_simhash(df: DataFrame, hashes: str) -> DataFrame:
-    """``df`` with the column fp."""
-    return df.withColumn("lanes", lanes(F.col(hashes))).withColumn("fp", _bits(F.col("lanes"), F.size(hashes))).drop("lanes")
+def with_simhash(df: DataFrame, hashes: str, width: int = 16) -> DataFrame:
+    """``df`` with the column fp; lanes of 16 bits count up to 65,535 hashes, of 32 bits any array."""
+    return df.withColumn("lanes", lanes(F.col(hashes), width)).withColumn("fp", _bits(F.col("lanes"), F.size(hashes), width)).drop("lanes")
 
 
 def index_keys(fp, radius: int = RADIUS):
@@ -75,60 +76,71 @@ def index_keys(fp, radius: int = RADIUS):
 
 
 def item_table(items: DataFrame) -> DataFrame:
-    """(item_id, n_words, need, item): the shingles of the items that have any; need is how many of them a similar window must hold."""
-    rows = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= WORDS)
-    rows = rows.select("item_id", F.size("w").alias("n_words"), shingles(F.col("w")).alias("item"))
+    """(item_id, key, n_words, need, item): the shingles of the items that have any, each id and text once; need is how many of them a similar window must hold."""
+    rows = items.select("item_id", row_key("item_id").alias("key"), words(F.col("text")).alias("w")).where(F.size("w") >= WORDS).dropDuplicates(["key"])
+    rows = rows.select("item_id", "key", F.size("w").alias("n_words"), shingles(F.col("w")).alias("item"))
     return rows.withColumn("need", F.ceil(SIMILARITY * F.size("item") - 1e-9).cast("int"))
 
 
+def shared_weight(a, b):
+    """How many elements two arrays of hashes have in common, each as often as it occurs in both: one pass over both, sorted together."""
+    side = lambda hashes, k: F.transform(hashes, lambda h: F.struct(h.alias("h"), F.lit(k).alias("k")))
+    state = lambda h, n, m, total: F.struct(h.alias("h"), n.alias("n"), m.alias("m"), total.alias("total"))
+    start = state(F.lit(None).cast("long"), F.lit(0), F.lit(0), F.lit(0))
+    done = lambda s: s["total"] + F.least(s["n"], s["m"])
+    step = lambda s, x: F.when(s["h"] == x["h"], state(x["h"], s["n"] + 1 - x["k"], s["m"] + x["k"], s["total"])).otherwise(state(x["h"], 1 - x["k"], x["k"], done(s)))
+    return F.aggregate(F.array_sort(F.concat(side(a, 0), side(b, 1))), start, step, done)
+
+
 def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, item_id, similarity, start_word, n_words): documents with an item-sized window of weighted similarity 0.75 or more to a benchmark item.
+    """(doc_id, item_id, similarity, start_word, n_words, own): documents with an item-sized window of weighted similarity 0.75 or more to a benchmark item.
 
     One row for a document and item, with the most similar window (ties: the first). A document shorter than an item counts as one window. Null texts, texts and items
-    of fewer than five words match nothing; null ids are carried like others but never matched to text again, so such rows give none; rows that repeat a doc_id or an
-    item_id count as one. Items may have 65,535 words. Items are broadcast only up to 1,000,000 shingles, beyond that they are shuffled.
+    of fewer than five words match nothing. A document is its id and its text (own, their key), and so is an item: null ids, and ids that repeat with other texts, are
+    searched and reported like others, and rows that repeat both count as one; of the items of one id and length the most similar is reported. Empty tables give no
+    rows. Items are broadcast only up to 1,000,000 shingles, beyond that they are shuffled.
     """
-    items = item_table(items.dropDuplicates(["item_id"]))
+    items = stored(item_table(items), "items")
     size = items.agg(F.sum(F.size("item")), F.max("n_words")).first()
-    if (size[1] or 0) > LONGEST_ITEM:
-        raise ValueError(f"a benchmark item has more than {LONGEST_ITEM} words")
     small = F.broadcast if (size[0] or 0) <= BROADCAST_ROWS else (lambda x: x)
+    width = 16 if (size[1] or 0) < 1 << 16 else 32
 
-    seeds = items.select("item_id", "n_words", "need", F.explode(F.array_distinct("item")).alias("h"))
-    places = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.posexplode(shingles(F.col("w"))).alias("pos", "h"))
-    hits = places.join(small(seeds), "h").groupBy("doc_id", "item_id", "n_words", "need").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    docs = docs.select("doc_id", "text", row_key().alias("own"))
+    seeds = items.select("key", "n_words", "need", F.explode(F.array_distinct("item")).alias("h"))
+    places = docs.select("own", words(F.col("text")).alias("w")).select("own", F.posexplode(shingles(F.col("w"))).alias("pos", "h"))
+    hits = places.join(small(seeds), "h").groupBy("own", "key", "n_words", "need").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     # a window with enough shared shingles begins between the last of ``need`` successive places, less its length, and the first of them
     n, need = F.col("n_words") - WORDS + 1, F.col("need")
     first = lambda i: F.element_at("at", i)
     after = lambda i: F.when(i > 1, F.try_element_at("at", F.greatest(i - 1, F.lit(1))) + 1).otherwise(F.lit(-(2**30)))
     span = lambda i: F.when(F.element_at("at", i + need - 1) - first(i) < n, F.sequence(F.greatest(F.element_at("at", i + need - 1) - n + 1, after(i)), first(i)))
     starts = F.flatten(F.array_compact(F.transform(F.sequence(F.lit(1), F.size("at") - need + 1), span)))
-    wanted = hits.where(F.size("at") >= need).select("doc_id", "n_words", starts.alias("starts")).where(F.size("starts") > 0)
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("n_words", "starts")).alias("windows"))
+    wanted = hits.where(F.size("at") >= need).select("own", "key", "n_words", starts.alias("starts")).where(F.size("starts") > 0)
+    wanted = wanted.groupBy("own").agg(F.collect_list(F.struct("key", "n_words", "starts")).alias("windows"))
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "windows", words(F.col("text")).alias("w"))
-    texts = texts.select("doc_id", "windows", F.size("w").alias("total"), shingles(F.col("w")).alias("all"))
-    texts = texts.select("doc_id", "total", "all", F.explode("windows").alias("x"))
+    texts = docs.join(wanted, "own").select("own", "doc_id", "windows", words(F.col("text")).alias("w"))
+    texts = texts.select("own", "doc_id", "windows", F.size("w").alias("total"), shingles(F.col("w")).alias("all"))
+    texts = texts.select("own", "doc_id", "total", "all", F.explode("windows").alias("x"))
     room = F.greatest(F.col("total") - F.col("x.n_words"), F.lit(0))
     kept = F.array_distinct(F.transform("x.starts", lambda s: F.least(F.greatest(s, F.lit(0)), room)))
-    windows = texts.select("doc_id", F.col("x.n_words").alias("n_words"), "all", F.explode(kept).alias("start_word"))
-    windows = windows.select("doc_id", "n_words", "start_word", F.expr(f"array_compact(transform(sequence(start_word, start_word + n_words - {WORDS}), i -> get(all, i)))").alias("window")).dropDuplicates(["doc_id", "n_words", "start_word"])
-    windows = stored(with_simhash(windows, "window").withColumnRenamed("fp", "fp_w"), "windows")  # read twice
-    index = with_simhash(items, "item").select("item_id", "n_words", "item", "fp", F.explode(index_keys(F.col("fp"), radius)).alias("key"))
+    windows = texts.select("own", "doc_id", "x.key", "x.n_words", "all", F.explode(kept).alias("start_word"))
+    windows = windows.select("own", "doc_id", "key", "n_words", "start_word", F.expr(f"array_compact(transform(sequence(start_word, start_word + n_words - {WORDS}), i -> get(all, i)))").alias("window"))
+    windows = stored(with_simhash(windows, "window", width).withColumnRenamed("fp", "fp_w"), "windows")  # read twice
+    index = with_simhash(items, "item", width).select("key", "fp", F.explode(index_keys(F.col("fp"), radius)).alias("bits"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_w"))) <= radius
-    looked = windows.select("doc_id", "n_words", "start_word", "fp_w", F.explode(index_keys(F.col("fp_w"), radius)).alias("key"))
-    found = looked.join(small(index.drop("item")), ["n_words", "key"]).where(near).select("doc_id", "n_words", "start_word", "item_id").distinct()
-    both = found.join(windows.drop("fp_w"), ["doc_id", "n_words", "start_word"]).join(small(items.select("item_id", "item")), "item_id")
-    count = lambda a, h: F.size(F.filter(a, lambda x: x == h))
-    common = F.aggregate(F.array_intersect("item", "window"), F.lit(0), lambda acc, h: acc + F.least(count(F.col("item"), h), count(F.col("window"), h)))
-    scored = both.select("doc_id", "item_id", "n_words", "start_word", (F.size("item") + F.size("window")).alias("sizes"), common.alias("common"))
+    place = ["own", "key", "start_word"]
+    looked = windows.select(*place, "fp_w", F.explode(index_keys(F.col("fp_w"), radius)).alias("bits"))
+    found = looked.join(small(index), ["key", "bits"]).where(near).select(*place).distinct()
+    both = windows.join(found, place, "left_semi").join(small(items.select("item_id", "key", "item")), "key")
+    scored = both.select("own", "doc_id", "item_id", "n_words", "start_word", (F.size("item") + F.size("window")).alias("sizes"), shared_weight("item", "window").alias("common"))
     scored = scored.withColumn("similarity", F.col("common") / (F.col("sizes") - F.col("common"))).where(F.col("similarity") >= SIMILARITY)
     best = F.max(F.struct("similarity", (-F.col("start_word")).alias("s"))).alias("best")
-    return scored.groupBy("doc_id", "item_id", "n_words").agg(best).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"))
+    rows = scored.groupBy("own", "doc_id", "item_id", "n_words").agg(best)
+    return rows.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"), "own")
 
 
 def op8_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("own")
 
 
 def _shingle_sql(name: str, key: str, table: str) -> str:

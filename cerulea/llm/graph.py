@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cerulea.llm.common import stored
@@ -11,8 +11,11 @@ from cerulea.llm.common import stored
 SALTS = 16
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges, stored, and their number and checksum, which are observed while they are written."""
+    seen = Observation()
+    out = stored(edges.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")), "edges")
+    return out, seen.get
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     def beside(rows: DataFrame, low: DataFrame) -> DataFrame:
         """(u, v, low). The neighbours of a hub are dealt over several tasks; with a plain exchange on both sides, adaptive execution can split them further."""
         copies = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(copies, ["u", "salt"]).drop("salt")
+        return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(copies.hint("merge"), ["u", "salt"]).drop("salt")
 
     def both(rows: DataFrame) -> DataFrame:
         return rows.select(F.col("a").alias("u"), F.col("b").alias("v")).union(rows.select(F.col("b"), F.col("a")))
@@ -37,13 +40,13 @@ def components(edges: DataFrame) -> DataFrame:
     def tidy(rows: DataFrame) -> DataFrame:
         return rows.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    edges, before = stored(tidy(edges.select("a", "b")), "edges"), None
-    while (now := _state(edges)) != before:
+    (edges, now), before = _written(tidy(edges.select("a", "b"))), None
+    while now["n"] and now != before:
         before = now
         sides = both(edges)
         large = tidy(beside(sides, least(sides)).where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b")))
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         low = least(down)
         small = beside(down, low).select(F.col("v").alias("a"), F.col("low").alias("b")).union(low.select(F.col("u"), F.col("low")))
-        edges = stored(tidy(small), "edges")
+        edges, now = _written(tidy(small))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())

@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cerulea.llm.common import RollingHash, held_out, read_table, text_blocks, word_bounds
+from cerulea.llm.common import SAMPLE_CHARS, RollingHash, held_out, read_table, sample_texts, text_blocks, word_bounds
 
 ROWS_PER_LANGUAGE = 150
+MOST_LANGUAGES = 200
 EPOCHS = 12
 SPAN = 20
 SEQUENCE = 100
@@ -153,17 +154,33 @@ def fitted(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Model |
     return model
 
 
-def training_rows(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> list:
-    """(text, lang) of at most ``per_language`` documents a language, by hash of the id, never a held-out one; only ids are ranked, not texts."""
+def training_rows(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, most_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """(text, lang) to learn from: of the ``most_languages`` values of lang with most rows, at most ``per_language`` ids by hash of the id, never a held-out one, and
+    each language's part of ``most_chars`` characters. Only ids are ranked, not texts; of an id that repeats within a language one text counts."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    if not counts:
+        return []
+    # the smallest hashes of a language are sought, so ids far above them are not ranked at all
+    far = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, -(2**63) + min(2**64 - 1, 2**64 * 20 * per_language // n))])
+    near = known.where(F.xxhash64("doc_id") <= F.try_element_at(far, F.col("lang"))).select("doc_id", "lang").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = [r["doc_id"] for r in known.select("doc_id", "lang", rank.alias("r")).where(F.col("r") <= per_language).select("doc_id").collect()]
-    return known.where(F.col("doc_id").isin(ids)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").orderBy("doc_id", "lang").collect() if ids else []
+    ids = near.withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id", "lang").collect()
+    named: dict = {}
+    for r in sorted(ids):
+        named.setdefault(r["doc_id"], r["lang"])
+    one = known.join(F.broadcast(docs.sparkSession.createDataFrame(list(named.items()), known.select("doc_id", "lang").schema)), ["doc_id", "lang"])  # most_languages * per_language rows at most
+    share, used, out = most_chars // len(counts), dict.fromkeys(counts, 0), []
+    for i, text in sorted(sample_texts(one, list(named), most_chars)):
+        used[named[i]] += len(text)
+        if used[named[i]] <= share:
+            out.append((text, named[i]))
+    return out
 
 
-def train(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
-    rows = training_rows(docs, per_language)
-    return fitted([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
+def train(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, most_chars: int = SAMPLE_CHARS) -> Model | None:
+    rows = training_rows(docs, per_language, most_languages, most_chars)
+    return fitted([t for t, _ in rows], [x for _, x in rows]) if rows else None
 
 
 def predicted(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -185,7 +202,8 @@ def predicted(model: Model | None, texts: list[str | None]) -> tuple[list[str],
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     """The columns of ``docs`` named doc_id, text and whatever else, and lang_pred, score: a narrow step, no shuffle.
 
-    ``und`` with score 0 where the text is null or has no letter, or nothing could be learned. Texts of any length are read whole, in blocks of whole texts.
+    ``und`` with score 0 where the text is null or has no letter, or nothing could be learned. Null ids and repeated rows are rows like others; an empty table gives
+    no rows; columns of ``docs`` named lang_pred or lang_score are replaced. Texts of any length are read whole, in blocks of whole texts.
     """
     fields = [f for f in docs.schema if f.name not in ("lang_pred", "lang_score")]
     docs = docs.select(*[f.name for f in fields])

@@ -9,47 +9,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cerulea.llm.common import read_table, stored
+from cerulea.llm.common import read_table, row_key, stored
 
 DIVISOR = 3
 MIN_LINES = 2
+#: Occurrences of one chunk that meet its first one in one task.
+SALT_ROWS = 1000
 
 
 def chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, start, n, chunk): the chunks of ``min_lines`` lines or more that hold more than blanks."""
+    """(doc_id, own, start, n, chunk): the chunks of ``min_lines`` lines or more that hold more than blanks; own is the key of the row's id and text."""
     value = lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 8), 16, 10).cast("long")
-    rows = docs.select("doc_id", F.split("text", "\n").alias("lines")).where(F.size("lines") >= min_lines)
+    rows = docs.select("doc_id", row_key().alias("own"), F.split("text", "\n").alias("lines")).where(F.size("lines") >= min_lines)
     rows = rows.withColumn("h", F.transform("lines", value))
     ends = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == F.size("lines") - 1) | ((F.when(i > 0, F.try_element_at("h", i)).otherwise(0) * 31 + F.element_at("h", i + 1)) % divisor == 0))
-    rows = rows.select("doc_id", "lines", ends.alias("ends"))
+    rows = rows.select("doc_id", "own", "lines", ends.alias("ends"))
     begin = lambda k: F.when(k > 0, F.try_element_at("ends", k) + 1).otherwise(0)
     parts = F.transform("ends", lambda e, k: F.struct(begin(k).alias("start"), (e - begin(k) + 1).alias("n")))
     parts = F.filter(parts, lambda c: c["n"] >= min_lines)
-    found = rows.select("doc_id", F.explode(F.transform(parts, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.array_join(F.transform(F.sequence(c["start"], c["start"] + c["n"] - 1), lambda i: F.get("lines", i)), "\n").alias("chunk")))).alias("c"))
-    return found.select("doc_id", "c.start", "c.n", "c.chunk").where(F.col("chunk").rlike(r"\S"))
+    found = rows.select("doc_id", "own", F.explode(F.transform(parts, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.array_join(F.transform(F.sequence(c["start"], c["start"] + c["n"] - 1), lambda i: F.get("lines", i)), "\n").alias("chunk")))).alias("c"))
+    return found.select("doc_id", "own", "c.start", "c.n", "c.chunk").where(F.col("chunk").rlike(r"\S"))
 
 
 def repeats(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, start, n) of each chunk that repeats an earlier one.
+    """(own, start, n) of each chunk that repeats an earlier one.
 
     Counting goes by a hash of the chunk with sums before the shuffle; only chunks whose hash repeats carry their text further, are grouped by their bytes,
-    and are compared with the first of them byte by byte.
+    and are compared with the first of them byte by byte. A chunk that occurs very often meets its first occurrence in several tasks, of about 1,000 occurrences each.
     """
     found = chunks(docs, divisor, min_lines).withColumn("key", F.xxhash64("chunk", F.length("chunk")))
-    again = found.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    alike = stored(found.join(again, "key", "left_semi"), "repeated-chunks")  # read twice; else all chunks are shuffled twice
-    first = alike.groupBy("key", "chunk").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("m")).where("m > 1").select("key", F.col("chunk").alias("bytes"), "first")
-    return alike.join(first, "key").where((F.col("chunk") == F.col("bytes")) & (F.struct("doc_id", "start") != F.col("first"))).select("doc_id", "start", "n")
+    again = found.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("salts"))
+    alike = stored(found.join(again, "key").withColumn("salt", F.pmod(F.xxhash64("own", "start"), F.col("salts")).cast("int")), "repeated-chunks")  # read twice; else all chunks are shuffled twice
+    at = F.struct("doc_id", "own", "start")
+    first = alike.groupBy("key", "chunk").agg(F.min(at).alias("first"), F.count("*").alias("m"), F.first("salts").alias("salts")).where("m > 1")
+    first = first.select("key", F.col("chunk").alias("bytes"), "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return alike.join(first, ["key", "salt"]).where((F.col("chunk") == F.col("bytes")) & (at != F.col("first"))).select("own", "start", "n")
 
 
 def without_repeats(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc_id, n_lines, n_removed, text): every document with its repeated chunks gone; all documents stay, some perhaps empty.
 
-    A null text stays null and has no lines, an empty one has one. Single lines and blank chunks are never removed. doc_id names a document: rows that repeat it
-    share one decision, and null ids are never joined, so such rows stay whole. An empty table gives no rows.
+    A null text stays null and has no lines, an empty one has one. Single lines and blank chunks are never removed. A row is its id and its text: rows with one id and
+    other texts are told apart, null ids come first in the order, and rows that repeat both are one document and share one decision. An empty table gives no rows.
     """
-    gone = repeats(docs, divisor, min_lines).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
-    rows = docs.select("doc_id", "text").join(gone, "doc_id", "left")
+    gone = repeats(docs, divisor, min_lines).groupBy("own").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
+    rows = docs.select("doc_id", "text", row_key().alias("own")).join(gone, "own", "left")
     dropped = F.flatten(F.transform("gone", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
     # columns of their own: inside a lambda an expression would be computed for each line
     rows = rows.select("doc_id", "text", F.split("text", "\n").alias("lines"), F.when(F.col("gone").isNotNull(), dropped).alias("gone"))

@@ -8,17 +8,17 @@ once from the weights alone, and every block finds its slot by arithmetic.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cerulea.llm.common import read_table
+from cerulea.llm.common import read_table, stored
 
 BLOCK_ROWS = 16
 PERIOD = 1000
 MOST_SOURCES = 10_000
-BUCKET_ROWS = 20_000
 NO_SOURCE = "(none)"
 
 
@@ -30,12 +30,17 @@ def quantised(share: dict[str, float], period: int = PERIOD) -> dict[str, int]:
 
 def one_period(slots: dict[str, int]) -> list[tuple[str, int, int]]:
     """(source, i, slot) for a whole period, earliest deadline first; equal deadlines go by source name. Its size is that of the weights."""
-    total, sent, out = sum(slots.values()), dict.fromkeys(sorted(slots), 0), []
+    total, out = sum(slots.values()), []
+    deadline = lambda s, i: (-(-(i + 1) * total // slots[s]), s, i)
+    later, ready = [(0, s, 0) for s in sorted(slots)], []
     for t in range(total):
-        ready = (s for s, i in sent.items() if i < slots[s] and i * total // slots[s] <= t)
-        s = min(ready, key=lambda s: (-(-(sent[s] + 1) * total // slots[s]), s))
-        out.append((s, sent[s], t))
-        sent[s] += 1
+        while later and later[0][0] <= t:
+            _, s, i = heapq.heappop(later)
+            heapq.heappush(ready, deadline(s, i))
+        _, s, i = heapq.heappop(ready)
+        out.append((s, i, t))
+        if i + 1 < slots[s]:
+            heapq.heappush(later, ((i + 1) * total // slots[s], s, i + 1))
     return out
 
 
@@ -47,37 +52,36 @@ def target_weights(counts: dict[str, int], weights: dict[str, float] | None, per
     return {s: given.get(s, 1) for s in counts}
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """(doc_id, mix_source, block, place, release, deadline, mix_slot) for every row: sorted by mix_slot and place, the corpus is mixed.
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, mix_source, block, place, release, deadline, mix_slot) for every row, and the columns named in ``keep``: sorted by mix_slot and place, the corpus is mixed.
 
-    Rows of a source go by doc_id; a null source is a source of its own, null ids come first, equal ids in any order; the text is not read. No row is
-    dropped or repeated: when a source runs out its slots stay empty and the others keep their ratio. An empty table gives no rows. The place within a
-    source comes from counts per (source, id range) and ranks inside a range, so a source with most rows is spread over many tasks.
+    Rows of a source go by doc_id; a null source is a source of its own, null ids come first, equal ids in any order, each row with a place of its own; no other column
+    is read. No row is dropped or repeated: when a source runs out its slots stay empty and the others keep their ratio. An empty table gives no rows. Rows are dealt
+    in ranges of (source, doc_id) that Spark draws from a sample, equal ids included, so neither a source with most rows, an id far off nor an id that repeats fills a
+    task; the place within a source comes from the numbers of the rows in their range and the counts of the ranges before.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("source", F.lit(NO_SOURCE)).alias("mix_source"))
-    found = rows.groupBy("mix_source").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).limit(MOST_SOURCES + 1).collect()
+    rows = docs.select("doc_id", F.coalesce("source", F.lit(NO_SOURCE)).alias("mix_source"), *keep)
+    order = [F.col("mix_source"), F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    rows = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
+    rows = stored(rows.withColumns({"part": F.spark_partition_id(), "seq": F.monotonically_increasing_id()}), "mix-order")  # numbers are drawn once
+
+    ranges = rows.groupBy("mix_source", "part").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    found = rows.groupBy("mix_source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: weights are kept per source, so map the sources to fewer groups first")
     slots = target_weights({r["mix_source"]: r["n"] for r in found}, weights, period)
     total = max(1, sum(slots.values()))
-    low, high = min((r["low"] for r in found if r["low"] is not None), default=0), max((r["high"] for r in found if r["high"] is not None), default=0)
-    width = max(1, (high - low + 1) // max(1, -(-sum(r["n"] for r in found) // BUCKET_ROWS)))
-    by_range = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("long")
-
-    rows = rows.withColumn("part", by_range)
-    counts = rows.groupBy("mix_source", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("mix_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("mix_source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("mix_source", "part").orderBy(F.col("doc_id").asc_nulls_first()))
+    # a source has a row here for each range it has rows in
+    starts = ranges.select(F.col("mix_source").alias("s_source"), F.col("part").alias("s_part"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     weight = spark.createDataFrame(sorted(slots.items()), "mix_source string, w long")  # MOST_SOURCES rows at most
     pattern = spark.createDataFrame(one_period(slots), "mix_source string, i long, at long")  # a row for each slot of a period
-    place = F.col("before") + F.col("inside") - 1
+    place = F.col("seq") + F.col("shift")
     block = F.floor(place / block_rows).cast("long")
     return (
-        rows.withColumn("inside", inside)
-        .join(starts, ["mix_source", "part"])
-        .select("doc_id", "mix_source", block.alias("block"), (place % block_rows).alias("place"))
+        rows.join(starts, (F.col("mix_source") == F.col("s_source")) & (F.col("part") == F.col("s_part")))
+        .select("doc_id", "mix_source", block.alias("block"), (place % block_rows).alias("place"), *keep)
         .join(F.broadcast(weight), "mix_source")
         .withColumn("i", F.col("block") % F.col("w"))
         .join(F.broadcast(pattern), ["mix_source", "i"])
@@ -89,6 +93,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
             F.expr(f"(block * {total}) div w").alias("release"),
             F.expr(f"((block + 1) * {total} + w - 1) div w").alias("deadline"),
             F.expr(f"(block div w) * {total} + at").alias("mix_slot"),
+            *keep,
         )
     )
 

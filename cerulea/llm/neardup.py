@@ -3,6 +3,9 @@
 Banding with T tables of k minhashes each would need T*k minhashes a document. Here two collections of t half keys, of m minhashes each, are kept, and table
 (i, j) has the pair of half keys A[i], B[j] as its key: t*t tables from 2*t*m minhashes. Two documents of similarity s meet in a table with probability
 (1 - (1 - s**m)**t)**2: for m = 3 and t = 20 that is 0.99997 at s = 0.75. Documents that meet are compared on their whole shingle sets.
+
+Documents with equal sets are one node of the graph. Verification is in two rounds, so that a large group of near copies does not cost all its pairs: first every
+document against the pivots of its buckets, then, where buckets still join groups that no confirmed link joins, the documents of one group against those of the others.
 """
 
 from __future__ import annotations
@@ -14,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cerulea.llm.common import RollingHash, mix64, read_table, record_batch, stored, text_blocks, word_bounds
-from cerulea.llm.graph import components
+from cerulea.llm.common import RollingHash, mix64, read_table, row_key, stored, text_blocks, word_bounds
+from cerulea.llm.graph import SALTS, components
 
 WORDS = 5
 HALF_KEYS = 20
 MINHASHES = 3
 PERCENT = 75
-LEAST_AGREEMENT = 0.5
-TILE_ROWS = 256
+LEAST_AGREEMENT = 0.4
+#: Documents, and shingles, of a block; a longer text is a block of its own.
+TILE_ROWS, TILE_SHINGLES = 256, 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -60,14 +64,14 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarra
 
 
 def _sign(half_keys: int, minhashes: int, words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.binary()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.list_(pa.int32()))])
     rng = np.random.default_rng(11)
     a = rng.integers(1, 2**31, 2 * half_keys * minhashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     b = rng.integers(0, 2**32, 2 * half_keys * minhashes, dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            ids, own, texts = batch.column("doc_id"), batch.column("own"), batch.column("text").to_pylist()
             for lo, hi in text_blocks(texts, 1 << 20):
                 value, at = shingle_sets(texts[lo:hi], words)
                 n = np.diff(at)
@@ -83,38 +87,63 @@ def _sign(half_keys: int, minhashes: int, words: int):
                 offsets[1:] = np.cumsum((n > 0) * len(a))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.view(np.int32).ravel()))
                 h1, h2 = sums.view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], own[lo:hi], pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), lists], schema=schema)
 
     return run
 
 
 def signatures(docs: DataFrame, half_keys: int = HALF_KEYS, minhashes: int = MINHASHES, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sig): the size, a 128-bit digest and the minhashes of each document's shingle set."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign(half_keys, minhashes, words), "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>")
+    """(doc_id, own, n_shingles, h1, h2, sig): the key of each row, the size, a 128-bit digest and the minhashes of its shingle set."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("own"), "text")
+    return rows.mapInArrow(_sign(half_keys, minhashes, words), "doc_id long, own binary, n_shingles long, h1 long, h2 long, sig array<int>")
 
 
 def candidate_links(sets: DataFrame, half_keys: int, minhashes: int) -> DataFrame:
-    """(a, b) that meet in a table, for (rep, sig): in each bucket every document with the smallest one, which keeps the bucket connected.
+    """(a, b) that meet in a table, for (node, n_shingles, sig): in each bucket every document with its pivot, the smallest node, which keeps the bucket connected.
 
-    A half key that only one document has cannot meet another, so it is dropped before the pairs of half keys are formed. Of the links, those whose
-    minhashes agree in less than half the places are dropped: at similarity 0.75 that is six standard deviations off.
+    A half key that only one document has cannot meet another, so it is dropped before the pairs of half keys are formed. A bucket holds sizes of two successive steps
+    of 4/3 only; similar documents lie in one step or in two successive ones, so they share such a bucket, and a long document that quotes both cannot be their pivot.
+    Of the links, those whose minhashes agree in less than 40 % of the places are dropped: at similarity 0.75 that is nine standard deviations off.
     """
 
     def half(side: int) -> DataFrame:
         keys = [F.xxhash64(F.lit(side * half_keys + i), *[F.col("sig")[(side * half_keys + i) * minhashes + k] for k in range(minhashes)]) for i in range(half_keys)]
-        rows = sets.select("rep", F.explode(F.array(*keys)).alias("half"))
+        rows = sets.select("node", F.explode(F.array(*keys)).alias("half"))
         shared = rows.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-        return rows.join(shared, "half", "left_semi").groupBy("rep").agg(F.collect_list("half").alias(f"half{side}"))
+        return rows.join(shared, "half", "left_semi").groupBy("node").agg(F.collect_list("half").alias(f"half{side}"))
 
-    buckets = half(0).join(half(1), "rep").select("rep", F.explode("half0").alias("x"), "half1").select("rep", "x", F.explode("half1").alias("y")).select("rep", F.xxhash64("x", "y").alias("bucket"))
+    step = F.floor(F.log("n_shingles") / np.log(4 / 3)).cast("int")
+    sizes = sets.select("node", F.explode(F.array(step, step + 1)).alias("step"))
+    pairs = half(0).join(half(1), "node").join(sizes, "node")
+    buckets = pairs.select("node", "step", F.explode("half0").alias("x"), "half1").select("node", "step", "x", F.explode("half1").alias("y")).select("node", F.xxhash64("x", "y", "step").alias("bucket"))
     buckets = stored(buckets, "buckets")
-    pivots = buckets.groupBy("bucket").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
-    links = buckets.join(pivots, "bucket").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    left, right = sets.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), sets.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
+    pivots = buckets.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
+    links = buckets.join(pivots, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    left, right = sets.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), sets.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return links.join(left, "a").join(right, "b").where(same >= LEAST_AGREEMENT * 2 * half_keys * minhashes).select("a", "b")
 
 
+def _against(percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(key: tuple, rows: pa.Table) -> pa.Table:
+        """(member, pivot) of the members whose whole sets confirm the link; sets are sorted, so one search each tells what a member has in common."""
+        rows, b = rows.combine_chunks(), key[0].as_py()
+        nodes, lists = rows["node"].to_numpy(), rows["shingles"].combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy().view(np.uint64)
+        size = np.diff(at)
+        flat, at = flat, at - at[0]
+        p = int(np.flatnonzero(nodes == b)[0])
+        pivot = flat[at[p] : at[p + 1]]
+        place = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
+        common = np.add.reduceat((pivot[place] == flat).astype(np.int64), at[:-1])
+        hit = (100 * common >= percent * (size + len(pivot) - common)) & (nodes != b)
+        return pa.table([pa.array(nodes[hit]), pa.array(np.full(int(hit.sum()), b, np.int64))], schema=schema)
+
+    return links
+
+
 def _verify(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -166,41 +195,98 @@ def _shingled(words: int):
     return run
 
 
-def confirmed_links(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links between documents of a cluster (node, root), confirmed on whole shingle sets.
+def shingles_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the whole set of each node of ``nodes`` (node, own), sorted; read from one row with that key."""
+    texts = docs.select(row_key().alias("own"), "text").join(nodes, "own").select("node", "text").dropDuplicates(["node"])
+    return texts.mapInArrow(_shingled(words), "node long, shingles array<bigint>")
+
+
+def pivot_links(links: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) that whole sets confirm, b being a pivot. The members of a pivot are dealt into blocks, and each meets the pivot's set: linear in the members."""
+    members = links.join(sizes.select(F.col("node").alias("a"), "n_shingles"), "a")
+    blocks = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("n_shingles") / TILE_SHINGLES)).cast("int")
+    parts = stored(members.groupBy("b").agg(blocks.alias("blocks")), "pivots")
+    copies = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = links.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(copies.hint("merge"), ["b", "salt"])
+    dealt = salted.select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int").alias("part"))
+    pivots = parts.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    return dealt.union(pivots).join(sets, "node").groupBy("b", "part").applyInArrow(_against(percent), "a long, b long")
+
+
+def tiled_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): confirmed links between different groups of a cluster, for members (node, n_shingles, comp, root).
 
-    A cluster is dealt into blocks of about 256 documents, and each pair of blocks is a tile of its own: no task sees a whole large cluster. A tile returns
-    a tree for each set of linked documents, not its pairs.
+    Groups of 256 documents or more are dealt into blocks of their own, the smaller ones of a cluster into mixed blocks. A tile is two blocks of different groups, or
+    two mixed ones; blocks of one group never meet. A tile returns a tree for each set of linked documents, not its pairs.
     """
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"))
-    dealt = clusters.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(clusters.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = texts.mapInArrow(_shingled(words), "node long, shingles array<bigint>")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = dealt.select("node", "root", "block", other).select("node", "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return sets.join(tiles, "node").groupBy("root", "low", "high").applyInArrow(_verify(percent), "a long, b long")
+    blocks = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("n_shingles") / TILE_SHINGLES)).cast("int")
+    large = members.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") >= TILE_ROWS).select("comp", F.col("comp").alias("large"))
+    owned = stored(members.join(large, "comp", "left").select("node", "n_shingles", "root", F.coalesce("large", F.lit(-1)).alias("owner")), "tile-members")
+    owners = owned.groupBy("root", "owner").agg(blocks.alias("blocks"))
+    p, q = owners.toDF("root", "p", "ps"), owners.toDF("root", "q", "qs")
+    pairs = p.join(q, "root").where("p < q OR (p = -1 AND q = -1)")
+    tiles = pairs.select("root", "p", "q", "qs", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("i")).select("root", "p", "q", "i", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("j")).where("p < q OR i <= j")
+    tiles = tiles.withColumn("tile", F.xxhash64("root", "p", "i", "q", "j"))  # two tiles of one number are compared as one
+    sides = tiles.select("tile", "root", F.col("p").alias("owner"), F.col("i").alias("block")).union(tiles.select("tile", "root", "q", "j")).distinct()
+    dealt = owned.join(owners, ["root", "owner"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = dealt.join(sides, ["root", "owner", "block"]).select("tile", "node")
+    return placed.join(sets, "node").groupBy("tile").applyInArrow(_verify(percent), "a long, b long")
 
 
 def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, half_keys: int = HALF_KEYS, minhashes: int = MINHASHES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): documents linked by 100 * common >= percent * union of shingles, directly or over others.
+    """(doc_id, n_shingles, component_id, kept, own, stays): documents linked by 100 * common >= percent * union of shingles, directly or over others.
 
-    component_id is the smallest doc_id of the group, and that document is kept. Texts without words, null ones included, are linked with nothing. Equal sets are one
-    node of the graph, however many documents have them. Null ids take no part and are kept, with a null component. doc_id names a document: rows that repeat one
-    are judged by the smallest component of any of them. Shingles are compared by 64-bit fingerprints. An empty table gives no rows.
+    component_id is the smallest doc_id of the group, and the documents with that id are kept. Texts without words, null ones included, are linked with nothing. Equal
+    sets are one node of the graph, however many documents have them. A row is its id and its text (own, their key): rows with one id and other texts are judged each
+    by its own text, and rows with null ids like others: their component is that of their group, null if the group has no other id. stays marks one row key of each
+    group, that of the smallest id (null last) and then the smallest key; rows that repeat id and text share it. Shingles are compared by 64-bit fingerprints. An
+    empty table gives no rows.
     """
     signed = stored(signatures(docs, half_keys, minhashes, words), "signatures")
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    classes = stored(classes, "classes")
-    clusters = components(candidate_links(classes.select("rep", "sig"), half_keys, minhashes))
-    found = components(confirmed_links(docs, clusters, words, percent))
-    component = classes.select("h1", "h2", "rep").join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component"))
-    rows = signed.select("doc_id", "n_shingles", "h1", "h2").join(component, ["h1", "h2"], "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    lead = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "own")
+    classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(lead).alias("lead"), F.first(F.struct("sig", "n_shingles")).alias("x"))
+    classes = classes.select("h1", "h2", "lead", "x.sig", "x.n_shingles", F.monotonically_increasing_id().alias("node"))
+    classes = stored(classes, "classes")  # numbers are drawn once
+    links = stored(candidate_links(classes.select("node", "n_shingles", "sig"), half_keys, minhashes), "links")
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    nodes = stored(classes.select("node", "n_shingles", F.col("lead.own").alias("own")).join(nodes, "node"), "linked")
+    sets = stored(shingles_of(docs, nodes.select("own", "node"), words), "sets")
+
+    near = components(pivot_links(links, sets, nodes, percent))
+    comps = stored(nodes.select("node", "n_shingles").join(near, "node", "left").select("node", "n_shingles", F.coalesce("root", "node").alias("comp")), "groups")
+
+    def over(edges: DataFrame) -> DataFrame:
+        """Edges between the groups of their ends."""
+        named = lambda end: comps.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+        both = edges.join(named("a"), "a").join(named("b"), "b").where("a_comp <> b_comp")
+        return both.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+
+    apart = components(over(links)).select(F.col("node").alias("comp"), "root")
+    more = components(over(tiled_links(comps.join(apart, "comp"), sets, percent))).select(F.col("node").alias("comp"), "root")
+    found = comps.join(more, "comp", "left").select("node", F.coalesce("root", "comp").alias("root"))
+
+    named = stored(found.join(classes.select("node", "lead"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")), "roots")
+    first = named.groupBy("root").agg(F.min("lead").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = named.join(first.hint("merge"), ["root", "salt"]).select("node", "first")
+    component = classes.select("h1", "h2", "node", "lead").join(named, "node", "left").select("h1", "h2", F.coalesce("first", "lead").alias("first"))
+    rows = signed.select("doc_id", "own", "n_shingles", "h1", "h2").join(component, ["h1", "h2"], "left")
+    linked = F.col("n_shingles") > 0
+    group = F.when(linked, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    stays = F.when(linked, F.col("own") == F.col("first.own")).otherwise(True)
+    return rows.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"), "own", stays.alias("stays"))
+
+
+def without_near_duplicates(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns (doc_id and text among them) of one row of each group, the one that ``stays``; of rows that repeat its id and text one. Texts without words all stay."""
+    gone = grouped(docs.select(*columns)).where(~F.col("stays")).select("own").distinct()
+    # repeated rows meet before the shuffle; a row without words gets a number, so it meets none
+    alone = F.when(F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())
+    rows = docs.select(*columns, row_key().alias("own"), alone.alias("alone")).dropDuplicates(["own", "alone"])
+    return rows.join(gone, "own", "left_anti").select(*columns)
 
 
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped(read_table(spark, sf_dir, "documents"))
+    return grouped(read_table(spark, sf_dir, "documents")).drop("own", "stays")
 
 
 ORACLE_SQL = {

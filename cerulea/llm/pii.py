@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cerulea.llm.common import read_table, text_blocks
+from cerulea.llm.common import SAMPLE_CHARS, read_table, sample_texts, text_blocks
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
@@ -69,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the base spans, in that order."""
     out = [(s, 0, e) for s, e in _emails(text)] if "@" in text else []
     if re.search("[0-9]", text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) < 4 and int(p or "0") <= 255 for part in m[0].split("."))]
         out += [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if 14 <= len(d := _digits(m[0])) <= 19 and _luhn(d)]
         out += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
     return sorted(out)
@@ -204,17 +204,16 @@ def added_spans(model: Model, texts: list[str], base: list[list[tuple[int, int,
     return out
 
 
-def train(docs: DataFrame, most: int = TRAINING_ROWS) -> Model:
-    """Learns from at most ``most`` documents that hold a digit or an @, by hash of the id."""
-    ids = [r["doc_id"] for r in docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-    rows = docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text").where(F.col("text").isNotNull()).orderBy("doc_id", "text").collect() if ids else []
-    return fitted([r["text"] for r in rows])
+def train(docs: DataFrame, most: int = TRAINING_ROWS, most_chars: int = SAMPLE_CHARS) -> Model:
+    """Learns from at most ``most`` documents that hold a digit or an @, by hash of the id, and ``most_chars`` characters; of an id that repeats from one text."""
+    ids = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    return fitted([t for _, t in sorted(sample_texts(docs.where(F.col("text").rlike("[0-9@]")), [r["doc_id"] for r in ids], most_chars))])
 
 
 def marked(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for every document, read whole: counts are of base spans, spans are all.
 
-    Null texts count as empty; offsets are code points, ends exclusive. Texts without a digit or an @ hold nothing by definition and never leave the JVM. Narrow: no shuffle.
+    Null texts count as empty, null ids and repeated rows are rows like others, an empty table gives no rows; offsets are code points, ends exclusive. Texts without a digit or an @ hold nothing by definition and never leave the JVM. Narrow: no shuffle.
     """
     fields = [pa.field("doc_id", pa.int64()), *(pa.field(f"n_{k}", pa.int64()) for k in KINDS), pa.field("base_sha256", pa.string()), pa.field("spans", pa.string()), pa.field("n_added", pa.int64())]
     schema = pa.schema(fields)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cerulea.llm.common import RollingHash, held_out, mix64, read_table, text_blocks, word_bounds
+from cerulea.llm.common import SAMPLE_CHARS, RollingHash, held_out, mix64, read_table, sample_texts, text_blocks, word_bounds
 
 LABELLED_ROWS = 2000
 NEIGHBOURS = 15
@@ -119,18 +119,20 @@ def fitted(texts: list[str], labels: list[int], latent: int = LATENT) -> Model |
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> Model | None:
-    """Learns from at most ``most`` labelled rows by hash of the id, never a held-out one. Of labels that disagree on an id the smaller counts."""
+def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS, most_chars: int = SAMPLE_CHARS) -> Model | None:
+    """Learns from at most ``most`` labelled ids by hash of the id, never a held-out one, and ``most_chars`` characters. Of labels that disagree on an id the smaller
+    counts, and of its texts one."""
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marks = {r["doc_id"]: r["quality"] for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()}
-    rows = docs.where(F.col("doc_id").isin(list(marks))).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("doc_id", "text").collect() if marks else []
-    return fitted([r["text"] for r in rows], [int(marks[r["doc_id"]] == 1) for r in rows])
+    rows = sorted(sample_texts(docs, list(marks), most_chars))
+    return fitted([t for _, t in rows], [int(marks[i] == 1) for i, _ in rows])
 
 
 def scored(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document; nothing but the text enters a score.
 
-    Null and empty texts are scored by their terms of length and repetition. Without any labelled row scores are 0.5. A narrow step in blocks of whole texts.
+    Null and empty texts are scored by their terms of length and repetition; null ids and repeated rows are rows like others (a null id is not held out: it has no
+    remainder, so held_out is null). Without any labelled row scores are 0.5. An empty table gives no rows. A narrow step in blocks of whole texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
 """Sharding by fixed virtual slots.
 
-Every row is hashed into one of ``n_slots`` virtual slots, for ever. A small versioned map says which shard holds which slot. Bytes are
-aggregated per slot, and only the map is edited to even out the shards or to add one: rows move with their slots.
+Every row is hashed by id and text into one of ``n_slots`` virtual slots, for ever. A small versioned map says which shard holds which slot. Bytes are
+aggregated per slot, and only the map is edited to even out the shards or to add one: rows move with their slots. A slot that repeated rows fill beyond four times
+the mean is held in several parts, each with an entry of its own in the map.
 """
 
 from __future__ import annotations
@@ -15,20 +16,21 @@ from cerulea.llm.common import read_table, stored
 
 N_SLOTS = 4096
 ROW_BYTES = 16
+HOT = 4
 MIX_RANGE = 1024
 
 
-def slot_of(col, n_slots: int = N_SLOTS):
-    """The virtual slot of an id: the first 32 bits of the MD5 of its text, modulo ``n_slots``; null ids are in slot 0."""
-    digits = F.substring(F.md5(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), 1, 8)
-    return F.when(col.isNull(), F.lit(0)).otherwise(F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(n_slots))).cast("int")
+def slot_of(col, crc, n_slots: int = N_SLOTS):
+    """The virtual slot of a row: the first 32 bits of the MD5 of its id and its text's checksum, modulo ``n_slots``, so rows of one id, or of none, are spread by their texts."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.coalesce(col.cast("string"), F.lit("")), crc.cast("string")).cast("binary")), 1, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(n_slots)).cast("int")
 
 
 def measured(docs: DataFrame, n_slots: int = N_SLOTS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, text_crc32, vslot) and ``keep``: what the slots are filled with. size = UTF-8 bytes of the text (null: none) + 16."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size, crc = F.octet_length(text).cast("long") + ROW_BYTES, F.crc32(text.cast("binary"))
-    return docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), slot_of(F.col("doc_id"), n_slots).alias("vslot"), *keep)
+    return docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), *keep).withColumn("vslot", slot_of(F.col("doc_id"), F.col("text_crc32"), n_slots))
 
 
 def slot_bytes(rows: DataFrame) -> DataFrame:
@@ -36,8 +38,26 @@ def slot_bytes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
 
 
+def with_parts(rows: DataFrame, n_slots: int, *spread: str) -> tuple[DataFrame, dict]:
+    """``rows`` with the column part, and {(vslot, part): (bytes, rows)}, whose size is fixed at 2 * ``n_slots``.
+
+    part: 0, or for slots of several rows and more than ``HOT`` times the mean, one of so many parts that each has about the mean, by hash of ``spread``, columns
+    that tell repeated rows apart.
+    """
+    held = {(r["vslot"], 0): (r["bytes"], r["rows"]) for r in slot_bytes(rows).collect()}
+    mean = max(1, -(-sum(b for b, _ in held.values()) // n_slots))
+    hot = [(s, min(n, -(-b // mean))) for (s, _), (b, n) in held.items() if b > HOT * mean and n > 1]
+    if not hot:
+        return rows.withColumn("part", F.lit(0)), held
+    parts = rows.sparkSession.createDataFrame(hot, "vslot int, parts int")  # n_slots / HOT rows at most
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("parts"))).otherwise(0).cast("int")
+    rows = rows.join(F.broadcast(parts), "vslot", "left").withColumn("part", part).drop("parts")
+    split = rows.groupBy("vslot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
+    return rows, {(r["vslot"], r["part"]): (r["bytes"], r["rows"]) for r in split}
+
+
 def initial_map(n_slots: int, n_shards: int) -> list[int]:
-    """Version 0: slot s in shard s modulo the count, whatever the slots hold."""
+    """A first map: slot s in shard s modulo the count, whatever the slots hold."""
     return [s % n_shards for s in range(n_slots)]
 
 
@@ -96,50 +116,51 @@ def grown(current: list[int], size: dict[int, int], n_shards: int) -> list[int]:
         loads[k] -= b
 
 
-def shard_map(spark: SparkSession, totals: DataFrame, n_slots: int, n_shards: int) -> DataFrame:
-    """(version, vslot, shard, first): versions 0 and 1 of the map, stored in the shared folder.
+def shard_map(spark: SparkSession, held: dict, n_slots: int, n_shards: int) -> DataFrame:
+    """(version, vslot, part, shard, first): versions 0 and 1 of the map, stored in the shared folder, for {(vslot, part): (bytes, rows)}.
 
-    first: how many rows of the shard lie in earlier slots. ``totals`` has a row per slot, so what the driver handles is fixed at ``n_slots`` rows.
+    first: how many rows of the shard lie in earlier slots.
     """
-    held = {r["vslot"]: (r["bytes"], r["rows"]) for r in totals.collect()}
-    versions = [initial_map(n_slots, n_shards)]
-    versions.append(rebalanced(versions[0], {s: b for s, (b, _) in held.items()}, n_shards))
+    keys = sorted({(s, 0) for s in range(n_slots)} | set(held))
+    versions = [[(s + part) % n_shards for s, part in keys]]
+    versions.append(rebalanced(versions[0], {k: held[key][0] for k, key in enumerate(keys) if key in held}, n_shards))
     rows = []
     for version, shards in enumerate(versions):
         filled = [0] * n_shards
-        for s, k in enumerate(shards):
-            rows.append((version, s, k, filled[k]))
-            filled[k] += held.get(s, (0, 0))[1]
-    return stored(spark.createDataFrame(rows, "version int, vslot int, shard int, first long").coalesce(1), "slot-map")
+        for key, k in zip(keys, shards, strict=True):
+            rows.append((version, *key, k, filled[k]))
+            filled[k] += held.get(key, (0, 0))[1]
+    return stored(spark.createDataFrame(rows, "version int, vslot int, part int, shard int, first long").coalesce(1), "slot-map")
+
+
+def _placed(rows: DataFrame, n_slots: int, n_shards: int, *spread: str) -> DataFrame:
+    """``rows`` (with vslot and size) with part, and joined with the newest version of a map made for them."""
+    rows, held = with_parts(rows, n_slots, *spread)
+    where = shard_map(rows.sparkSession, held, n_slots, n_shards).where("version = 1").drop("version")
+    return rows.join(F.broadcast(where), ["vslot", "part"])  # 2 * n_slots rows at most
 
 
-def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, keep: tuple[str, ...] = ()) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS) -> DataFrame:
     """Every row with its shard (law ``bytes``), its place in the shard and its virtual slot.
 
-    Columns: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot and the columns named in ``keep``. ``slot`` counts the shard's rows from 0
-    without gaps, by virtual slot and doc_id. Equal doc_ids lie in one slot in any order; a null text has no bytes, a null doc_id lies in slot 0;
-    an empty table gives no rows. Only the ranks inside a slot need a shuffle, over ``n_slots`` keys. A slot holds 1/4096 of the ids, whatever their source or text.
+    Columns: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, part. ``slot`` counts the shard's rows from 0 without gaps, by virtual slot, part and
+    doc_id. A null text has no bytes; null ids and ids that repeat are spread by their texts, and rows that repeat both by the parts of their slot, in any order; an
+    empty table gives no rows. Texts are read once and never shuffled: only (doc_id, size, text_crc32) is stored and ranked, over as many keys as slots and parts.
     """
-    spark = docs.sparkSession
-    rows = measured(docs, n_slots, keep)
-    where = shard_map(spark, slot_bytes(measured(docs, n_slots)), n_slots, n_shards).where("version = 1").drop("version")
-    rank = F.row_number().over(Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32"))
-    return (
-        rows.withColumn("rank", rank)
-        .join(F.broadcast(where), "vslot")  # n_slots rows
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", *keep)
-    )
+    rows = stored(measured(docs, n_slots).withColumn("nth", F.monotonically_increasing_id()), "measured")  # numbers are drawn once
+    placed = _placed(rows, n_slots, n_shards, "nth")
+    rank = F.row_number().over(Window.partitionBy("vslot", "part").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + rank - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", "part")
 
 
 def shard_in_mix_order(docs: DataFrame, keep: tuple[str, ...], n_shards: int = 40, n_slots: int = N_SLOTS) -> DataFrame:
     """Every row with shard, slot and vslot and the columns named in ``keep``; ``slot`` counts the shard's rows from 0 without gaps, by the columns mix_slot and place.
 
-    Shards are as in ``shard``. A slot of the mix holds one block, so a range of them holds a bounded number of rows (unless an id repeats): places come from
-    counts per (shard, range) and ranks inside a range. Rows of equal place go by doc_id and text_crc32.
+    Shards are as in ``shard``; rows that repeat id and text are told apart by their place in the mix. A slot of the mix holds one block, so a range of them holds a
+    bounded number of rows: places come from counts per (shard, range) and ranks inside a range. An empty table gives no rows.
     """
     rows = measured(docs, n_slots, (*keep, "mix_slot", "place")).withColumn("range", F.floor(F.col("mix_slot") / MIX_RANGE))
-    where = shard_map(docs.sparkSession, slot_bytes(measured(docs, n_slots)), n_slots, n_shards).where("version = 1").select("vslot", "shard")
-    rows = rows.join(F.broadcast(where), "vslot")  # n_slots rows
+    rows = _placed(rows, n_slots, n_shards, "mix_slot", "place")
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "range").agg(F.count("*").alias("n"))
     starts = counts.select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

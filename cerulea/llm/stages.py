@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cerulea.llm import decontam, langid, mixing, neardup, sharding
-from cerulea.llm.common import read_table
+from cerulea.llm.common import read_table, row_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.3
@@ -15,33 +15,34 @@ LEAST_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: ``und`` goes (null text, no letter), and so does a text whose words agree on no language (score under 0.3).
 
-    The field is learned from these documents' own lang column; the column itself stays as it was.
+    The field is learned from these documents' own lang column; the column itself stays as it was. Null ids and repeated rows are judged like others, each by its own
+    text; an empty table gives no rows, and where no lang is given nothing can be told, so nothing stays.
     """
     found = langid.identified(docs.select(*COLUMNS), langid.train(docs))
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id. Rows with a null id stay; rows that repeat an id are one document and stay or go together."""
-    docs = docs.select(*COLUMNS)
-    gone = neardup.grouped(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One document of each near-duplicate group, the one with the smallest id; rows with null ids, and rows with one id and other texts, are documents like others. Of
+    rows that repeat id and text one stays. Texts without words all stay; an empty table gives no rows."""
+    return neardup.without_near_duplicates(docs, *COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark; null ids, and rows with one id and other texts, are judged each by its own text. Rows that repeat id and text
+    stay or go together; null and short texts stay; an empty table gives no rows."""
     docs = docs.select(*COLUMNS)
-    gone = decontam.leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = decontam.leaks(docs, read_table(spark, sf_dir, "benchmark")).select("own").distinct()
+    return docs.withColumn("own", row_key()).join(gone, "own", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their slot of the mix and their place in it, which the next stage orders by; files go by them too. Rows that repeat an id share the first of its places."""
-    docs = docs.select(*COLUMNS)
-    place = mixing.mixed(docs).select("doc_id", F.col("mix_source"), F.struct("mix_slot", "place").alias("at")).groupBy("doc_id", "mix_source").agg(F.min("at").alias("at"))
-    same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.coalesce("source", F.lit(mixing.NO_SOURCE)) == F.col("p_source"))
-    rows = docs.join(place.select(F.col("doc_id").alias("p_id"), F.col("mix_source").alias("p_source"), "at"), same)
-    return rows.repartitionByRange("at.mix_slot", "at.place", "doc_id").sortWithinPartitions("at.mix_slot", "at.place", "doc_id").select(*COLUMNS, "at.mix_slot", "at.place")
+    """All documents with their slot of the mix and their place in it, which the next stage orders by; files go by them too. Every row has a place of its own, repeated
+    rows and null ids included; an empty table gives no rows."""
+    names = {c: f"_{c}" for c in COLUMNS if c != "doc_id"}  # names that no column of the mix has
+    rows = mixing.mixed(docs.select("doc_id", "source", *[F.col(c).alias(n) for c, n in names.items()]), keep=tuple(names.values()))
+    rows = rows.select("doc_id", *[F.col(n).alias(c) for c, n in names.items()], "mix_slot", "place")
+    return rows.repartitionByRange("mix_slot", "place", "doc_id").sortWithinPartitions("mix_slot", "place", "doc_id")
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
