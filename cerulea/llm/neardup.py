@@ -238,7 +238,7 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, half_ke
 
     component_id is the smallest doc_id of the group, and the documents with that id are kept. Texts without words, null ones included, are linked with nothing. Equal
     sets are one node of the graph, however many documents have them. A row is its id and its text (own, their key): rows with one id and other texts are judged each
-    by its own text, and rows with null ids like others: their component is that of their group, null if the group has no other id. stays marks one row key of each
+    by its own text. Rows with null ids link others and are linked like others, but have no id to be named by: component_id is null and kept true. stays marks one row key of each
     group, that of the smallest id (null last) and then the smallest key; rows that repeat id and text share it. Shingles are compared by 64-bit fingerprints. An
     empty table gives no rows.
     """
@@ -271,7 +271,7 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, half_ke
     component = classes.select("h1", "h2", "node", "lead").join(named, "node", "left").select("h1", "h2", F.coalesce("first", "lead").alias("first"))
     rows = signed.select("doc_id", "own", "n_shingles", "h1", "h2").join(component, ["h1", "h2"], "left")
     linked = F.col("n_shingles") > 0
-    group = F.when(linked, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    group = F.when(linked & F.col("doc_id").isNotNull(), F.col("first.doc_id")).otherwise(F.col("doc_id"))
     stays = F.when(linked, F.col("own") == F.col("first.own")).otherwise(True)
     return rows.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"), "own", stays.alias("stays"))
 

@@ -1,16 +1,19 @@
 """Operators for training data: odd rows, brute force, held-out accuracy and properties."""
 
+import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cerulea.llm import decontam, langid, licenses, linededup, mixing, neardup, pii, quality, sharding, topk
-from cerulea.llm.common import read_table
+from cerulea.llm import decontam, langid, licenses, linededup, mixing, neardup, pii, quality, sharding, stages, topk
+from cerulea.llm.common import read_table, sample_texts
 from cerulea.llm.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -215,3 +218,152 @@ def test_passages_against_brute_force(spark):
                 gone[i] |= {k, k + 1}
     got = {r.doc_id: (r.n_removed, r.text) for r in linededup.without_passages(docs).where("text IS NOT NULL").collect()}
     assert got == {i: (len(gone[i]), "\n".join(x for k, x in enumerate(v) if k not in gone[i])) for i, v in lines.items()} and gone
+
+
+A, B = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+AGAIN = [(1, A), (1, B), (2, A + " tail"), (3, B + " tail"), (None, A + " tail"), (None, B), (None, "q w e"), (None, "q w e"), (2, A + " tail"), (5, None), (5, None), (6, "")]
+
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_rows_of_one_id_and_of_none_are_told_apart(spark, step):
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in AGAIN[::step]], DOC).withColumn("own", F.lit("x")).repartition(3)
+    short = lambda t: (t or "")[:3] + (t or "")[-4:]
+    rows = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept, r.stays) for r in neardup.grouped(docs).collect())
+    assert rows == Counter({(1, 56, 1, True, True): 2, (2, 57, 1, False, False): 2, (3, 57, 1, False, False): 1, (None, 57, None, True, False): 1, (None, 56, None, True, False): 1, (None, 1, None, True, True): 2, (5, 0, 5, True, True): 2, (6, 0, 6, True, True): 1})
+    left = Counter((r.doc_id, short(r.text)) for r in stages.drop_near_duplicates(spark, docs, "").collect())
+    assert left == Counter({(1, short(A)): 1, (1, short(B)): 1, (None, short("q w e")): 1, (5, ""): 2, (6, ""): 1})
+    items = spark.createDataFrame([(7, A), (7, B), (None, "c " * 30), (8, None)], "item_id long, text string")
+    found = Counter((r.doc_id, r.item_id, r.start_word) for r in decontam.leaks(docs, items).collect())
+    assert found == Counter({(1, 7, 0): 2, (2, 7, 0): 1, (3, 7, 0): 1, (None, 7, 0): 2})
+
+
+def test_no_line_goes_uncompared(spark):
+    body, own = "\n".join(f"line {k} of a passage" for k in range(30)), "\n".join(f"unique {k}" for k in range(12))
+    docs = spark.createDataFrame([(1, body), (2, body), (2, own), (None, own.replace("unique", "single") + "\nx"), (None, None)], "doc_id long, text string")
+    rows = {(r.doc_id, r.n_lines): r for r in linededup.without_repeats(docs).collect()}
+    assert rows[2, 12].text.startswith("unique 0") and rows[1, 30].n_removed == 0 and rows[2, 30].n_removed > 15 and rows[None, 13].n_removed == 0
+    many = spark.createDataFrame([(k, f"own {k}\n" + body) for k in range(2500)], "doc_id long, text string")
+    assert linededup.without_repeats(many).where("n_removed > 15").count() == 2499
+
+
+def test_windows_near_an_item_are_found_by_their_fingerprints(spark):
+    """Items with up to two words changed, from 0.75 on: what the radius loses against no radius at all."""
+    rng = random.Random(11)
+    items, texts = [], []
+    for k in range(400):
+        w = [rng.choice(WORDS) + str(rng.randrange(500)) for _ in range(rng.randrange(30, 90))]
+        items.append((k, " ".join(w)))
+        for _ in range(rng.randrange(0, 3)):
+            w[rng.randrange(len(w))] = "changed"
+        texts.append((k, " ".join([rng.choice(WORDS) for _ in range(rng.randrange(40))] + w + [rng.choice(WORDS) for _ in range(40)])))
+    docs, table = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    every = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, table, 63).collect()}
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(docs, table).collect()}
+    assert len(every) > 250 and set(found) <= every and len(found) >= 0.99 * len(every) and sum(x < 0.9 for x in found.values()) > 50
+
+
+def test_shared_weight_counts_repeats(spark):
+    rng = random.Random(1)
+    rows = [([rng.randrange(6) for _ in range(rng.randrange(9))], [rng.randrange(6) for _ in range(rng.randrange(9))]) for _ in range(200)]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select("a", "b", decontam.shared_weight("a", "b").alias("n")).collect()
+    assert all(r.n == sum((Counter(r.a) & Counter(r.b)).values()) for r in got)
+
+
+def test_mixing_of_far_null_and_repeated_ids(spark):
+    ids = [-(2**63), 2**63 - 1, None, None, 7, 7, 7, *range(200)]
+    docs = spark.createDataFrame([(i, "t", "en", "hot" if k % 3 else None, 1) for k, i in enumerate(ids)], DOC).repartition(5)
+    rows = mixing.mixed(docs, block_rows=4).collect()
+    at = [(r.mix_source, r.block, r.place) for r in rows]
+    assert len(rows) == len(ids) and len(set(at)) == len(ids)
+    for s in ("hot", mixing.NO_SOURCE):
+        mine = [r.doc_id for r in sorted((r for r in rows if r.mix_source == s), key=lambda r: (r.block, r.place))]
+        assert mine == sorted(mine, key=lambda i: (i is not None, i or 0)) and {(b, p) for x, b, p in at if x == s} == {(k // 4, k % 4) for k in range(len(mine))}
+
+
+def test_shards_stay_even_when_rows_repeat(spark):
+    docs = spark.createDataFrame([(None, "x" * 1000, None, None, None)] * 400 + [(3, "y" * 1000, "en", "s", 1)] * 300 + [(k, "x" * 1000, "en", "s", 1) for k in range(400)], DOC).repartition(4)
+    rows, load, by = sharding.shard(docs).collect(), Counter(), defaultdict(list)
+    for r in rows:
+        load[r.shard] += r.size
+        by[r.shard].append(r.slot)
+        assert r.text_crc32 in (zlib.crc32(b"x" * 1000), zlib.crc32(b"y" * 1000)) and r.size == 1016
+    assert len(rows) == 1100 and max(load.values()) <= 1.2 * sum(load.values()) / 40 and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_shards_follow_the_stored_map(spark):
+    """The shard and slot of every row replayed from the ids and texts alone."""
+    docs = read_table(spark, SF, "documents")
+    rows = {r.doc_id: r for r in sharding.shard(docs, 8, 64).collect()}
+    slot, size = {}, Counter()
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        slot[r.doc_id] = int(hashlib.md5(f"{r.doc_id}:{zlib.crc32(raw)}".encode()).hexdigest()[:8], 16) % 64
+        size[slot[r.doc_id]] += len(raw) + 16
+    hot = {s for s, b in size.items() if b > sharding.HOT * -(-sum(size.values()) // 64)}
+    new = sharding.rebalanced(sharding.initial_map(64, 8), size, 8)
+    assert not hot and all(rows[i].vslot == s and rows[i].shard == new[s] and rows[i].part == 0 for i, s in slot.items())
+    order = sorted(slot, key=lambda i: (slot[i], i))
+    for k in range(8):
+        assert [rows[i].slot for i in order if new[slot[i]] == k] == list(range(sum(new[s] == k for s in slot.values())))
+
+
+def test_samples_are_bounded_in_rows_and_characters(spark):
+    docs = spark.createDataFrame([(1, "x" * k) for k in range(50)] + [(2, "y" * 90), (3, None), (4, "z" * 5), (None, "n")], "doc_id long, text string")
+    got = sample_texts(docs, [2, 1, 3, 4, 9], 120)
+    assert [i for i, _ in got][-2:] == [3, 4] and sum(len(t) for _, t in got) <= 120 and len({i for i, _ in got}) == len(got) and sample_texts(docs, []) == []
+
+
+def test_quality_votes_against_brute_force(spark):
+    docs, labels = read_table(spark, SF, "documents"), read_table(spark, "/root/testdata/sf0.01", "labels")
+    model = quality.train(docs, labels)
+    odd = docs.limit(60).collect() + [SimpleNamespace(doc_id=-1, text=None), SimpleNamespace(doc_id=-2, text=""), SimpleNamespace(doc_id=-3, text="Word " * 40000), SimpleNamespace(doc_id=None, text="null id")]
+    rows = quality.scored(spark.createDataFrame([(r.doc_id, r.text) for r in odd], "doc_id long, text string").withColumn("score", F.lit("x")), model).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(odd)
+    for r in odd:
+        z = model.latent([r.text])[0].astype(np.float64)
+        cosine = model.vectors.astype(np.float64) @ z
+        near = np.argsort(-cosine, kind="stable")[: quality.NEIGHBOURS]
+        weight = np.maximum(cosine[near], 0) ** 4
+        assert abs(got[r.doc_id].score - (weight * model.labels[near]).sum() / weight.sum()) < 0.02 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
+
+
+def test_language_of_a_document_is_the_mean_of_its_words(spark):
+    docs = read_table(spark, SF, "documents")
+    model = langid.train(docs)
+    for r in docs.limit(30).collect():
+        names, score = langid.predicted(model, [r.text])
+        w = langid.features([r.text])
+        if not len(w.text):
+            assert names == ["und"]
+            continue
+        emit, step = model.potentials(w), np.exp(model.transition)
+        ahead, behind = [], [np.ones(len(step))]
+        for e in emit:
+            x = ((ahead[-1] if ahead else np.ones(len(step))) @ step) * e
+            ahead.append(x / x.sum())
+        for e in emit[1:][::-1]:
+            x = step @ (e * behind[-1])
+            behind.append(x / x.sum())
+        p = np.array(ahead) * np.array(behind[::-1])
+        mean = (p / p.sum(1, keepdims=True)).mean(0)
+        assert names == [model.languages[int(mean.argmax())]] and abs(score[0] - mean.max()) < 1e-4
+
+
+def test_zeros_before_a_part_do_not_matter():
+    assert pii.base_spans("1." + "0" * 6000 + ".3.4") == [(0, 1, 6006)] and pii.base_spans("0256.1.1.1") == []
+
+
+def test_skip_edges_against_enumeration():
+    """On trees the messages are exact; the edge between two equal tokens carries what one of them says to the other."""
+    text = "card 4000123412341234 was charged and later 4000123412341234 again"
+    g = pii.graph([text])
+    rng = np.random.default_rng(2)
+    model = pii.Model(rng.normal(size=(1 << 14, 5)) * 0.3, rng.normal(size=(3, 5, 5)))
+    assert len(g.start) == 2 and [e[2] for e in g.edges.tolist()] == [1]
+    own = model.unary[g.features].sum(1)
+    joint = np.exp(own[0][:, None] + own[1][None, :] + model.pair[1])
+    want = np.stack([joint.sum(1), joint.sum(0)]) / joint.sum()
+    assert np.allclose(model.marginals(g, 60), want, atol=1e-6)
+    alone = pii.Graph(g.text, g.start, g.end, g.features, g.edges[:0])
+    assert not np.allclose(model.marginals(alone), want, atol=1e-2)
