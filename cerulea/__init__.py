@@ -1 +1,13 @@
-"""Finding, measuring and ranking small water surfaces in map tiles, as Spark queries."""
+"""Pool-sized water surfaces in map tiles, found, measured and ranked with Spark.
+
+    from cerulea import detections, ranked
+    ranked(detections(pixels, scanned).where("shown"))
+"""
+
+from cerulea.functions import color, geo, text
+from cerulea.operators.detect import Limits, clusters, detections, fragments, merge_pairs, merged, parts_of, ranked, top, totals, visible
+from cerulea.operators.raster import clean, components, tile_components, tile_labels, water_mask
+from cerulea.plans.cover import cover, estimate, grid, serpentine, spiral
+from cerulea.streaming.feed import changes, keep_buckets, keep_ranking, keep_state, latest
+
+__all__ = ["Limits", "changes", "clean", "clusters", "color", "components", "cover", "detections", "estimate", "fragments", "geo", "grid", "keep_buckets", "keep_ranking", "keep_state", "latest", "merge_pairs", "merged", "parts_of", "ranked", "serpentine", "spiral", "text", "tile_components", "tile_labels", "top", "totals", "visible", "water_mask"]

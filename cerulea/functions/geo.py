@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,19 +91,21 @@ def segments_meet(a, b, c, d) -> Column:
 
 
 def box_meets_ring(box: dict[str, Column], ring: list[tuple[float, float]]) -> Column:
-    """Cheap tests first: the ring's own box, then corners and centre in the ring, vertices in the box, sides across sides."""
-    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
-    w, s, e, n = box["west"], box["south"], box["east"], box["north"]
-    apart = (w > max(xs)) | (e < min(xs)) | (s > max(ys)) | (n < min(ys))
-    corners = [(w, s), (e, s), (e, n), (w, n)]
-    inside = in_ring((w + e) / 2, (s + n) / 2, ring)
-    for x, y in corners:
-        inside = inside | in_ring(x, y, ring)
-    sides = F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), side, strict=True)]) for side in edges(ring)])
-    holds = F.exists(sides, lambda p: p["x1"].between(w, e) & p["y1"].between(s, n))
-    own = [(corners[k - 1], corners[k]) for k in range(4)]
-    crossed = F.exists(sides, lambda p: reduce(or_, [segments_meet(a, b, (p["x1"], p["y1"]), (p["x2"], p["y2"])) for a, b in own]))
-    return ~apart & (inside | holds | crossed)
+    """Whether a box touches the area of a ring: some side, clipped to the box, is not empty, or the box lies inside as a whole, so that one corner tells."""
+    ends = [dict(zip(("x", "y", "dx", "dy"), map(float, (x1, y1, x2 - x1, y2 - y1)), strict=True)) for x1, y1, x2, y2 in edges(ring)]
+    sides = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in end.items()]) for end in ends])
+
+    def span(start, step, low, high) -> tuple[Column, Column]:
+        """From which part of a side to which it lies between two parallels; from 1 to 0 if nowhere."""
+        p, q = (low - start) / step, (high - start) / step
+        level, within = step == 0, start.between(low, high)
+        return F.when(level, F.when(within, 0.0).otherwise(1.0)).otherwise(F.least(p, q)), F.when(level, F.when(within, 1.0).otherwise(0.0)).otherwise(F.greatest(p, q))
+
+    def clipped(side) -> Column:
+        across, up = span(side["x"], side["dx"], box["west"], box["east"]), span(side["y"], side["dy"], box["south"], box["north"])
+        return F.greatest(F.lit(0.0), across[0], up[0]) <= F.least(F.lit(1.0), across[1], up[1])
+
+    return F.exists(sides, clipped) | in_ring(box["west"], box["south"], ring)
 
 
 def ring_area(ring: str) -> Column:

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed formats.
+# Fixed formats
 GOOGLE = "https://www.google.com/maps/search/?api=1&query="
+BING, BING_VIEW = "https://www.bing.com/maps?cp=", "&lvl=19&style=a"
+OSM = "https://www.openstreetmap.org/?mlat="
 CSV_HEADER = "rank,id,kind,lat,lon,area_m2,confidence,truncated,google_maps"
 
 
@@ -29,11 +31,11 @@ def google_link(lat, lon) -> Column:
 
 
 def bing_link(lat, lon) -> Column:
-    return F.concat(F.lit("https://www.bing.com/maps?cp="), fixed(lat, 6), F.lit("~"), fixed(lon, 6), F.lit("&lvl=19&style=a"))
+    return F.concat(F.lit(BING), fixed(lat, 6), F.lit("~"), fixed(lon, 6), F.lit(BING_VIEW))
 
 
 def osm_link(lat, lon) -> Column:
-    return F.concat(F.lit("https://www.openstreetmap.org/?mlat="), fixed(lat, 6), F.lit("&mlon="), fixed(lon, 6), F.lit("#map=19/"), fixed(lat, 6), F.lit("/"), fixed(lon, 6))
+    return F.concat(F.lit(OSM), fixed(lat, 6), F.lit("&mlon="), fixed(lon, 6), F.lit("#map=19/"), fixed(lat, 6), F.lit("/"), fixed(lon, 6))
 
 
 def area_label(area) -> Column:
@@ -63,3 +65,28 @@ def tile_url(template: str, z, x, y) -> Column:
 def csv_line(rank, name, kind, lat, lon, area, sure, cut) -> Column:
     """Only the link is quoted."""
     return F.concat_ws(",", rank.cast("string"), name, kind, fixed(lat, 6), fixed(lon, 6), fixed(area, 1), fixed(sure, 3), cut.cast("string"), F.concat(F.lit('"'), google_link(lat, lon), F.lit('"')))
+
+
+def place_label(lat, lon, digits: int = 5) -> Column:
+    return F.concat(fixed(lat, digits), F.lit(", "), fixed(lon, digits))
+
+
+def count_label(n) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n.cast("long"), 0)
+
+
+def dims_label(area) -> Column:
+    """The sides of a rectangle of that area, twice as long as wide."""
+    short = F.sqrt(area / 2)
+    return F.concat(F.lit("≈ "), fixed(2 * short, 1), F.lit(" × "), fixed(short, 1), F.lit(" m"))
+
+
+def progress(done, total, elapsed) -> dict[str, Column]:
+    """Share done, and the time left at the pace so far, which counts from the fourth tile on."""
+    return {"share": done / total, "left": F.when(done > 3, elapsed / done * (total - done))}
+
+
+def cache_key(z, x, y, url) -> Column:
+    """The file name under which a tile's bytes are kept: its place and 24 digits of its address's SHA-256."""
+    return F.concat_ws("-", *[c.cast("string") for c in (z, x, y)], F.concat(F.substring(F.sha2(url.cast("binary"), 256), 1, 24), F.lit(".bin")))

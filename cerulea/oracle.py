@@ -5,8 +5,9 @@ from __future__ import annotations
 from cerulea.functions.geo import CIRCUMFERENCE, MAX_LATITUDE
 from cerulea.functions.text import GOOGLE
 from cerulea.operators.detect import Limits
-from cerulea.queries import PLAN_ZOOM, RING, ZOOMS
-from cerulea.sources.scene import COLOURS, TILE_X, TILE_Y
+from cerulea.queries import ESTIMATE_ZOOMS, PLAN_ZOOM, RING, ZOOMS
+from cerulea.sources.area import PLACES
+from cerulea.sources.scene import COLOURS, LAKE, TILE_X, TILE_Y
 
 
 def _size(z) -> str:
@@ -137,6 +138,16 @@ MERGED = f"""{PAIRS}, links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FRO
   ranked AS (SELECT row_number() OVER (ORDER BY area DESC, confidence DESC, cluster)::INT AS rank, cluster, kind, area, confidence, truncated, lon, lat, pixels FROM merged WHERE shown)"""
 
 
+# the scene with the lake, and the tiles that were scanned there
+_WATER = ", ".join(map(str, COLOURS[0]))
+LAKE_PIXELS = PIXELS.replace("FROM supplier),", f"FROM supplier UNION ALL SELECT -1, {LAKE[0]}, {LAKE[1]}, {LAKE[2]}, {LAKE[2]}, {_WATER}),").replace("y // 256", "floor(y / 256.0)::INT").replace("(y % 256)", "((y % 256 + 256) % 256)")
+SCANNED = f"""scanned AS (SELECT ({TILE_X} + c)::INT AS tx, ({TILE_Y} + unnest(range({LAKE[1]} // 256 - ({LAKE[1]} % 256 <> 0)::INT, (SELECT max(gy + h - 1) FROM rects) // 256 + 1)))::INT AS ty
+  FROM (SELECT unnest([0, 1, 2, 3, 5, 6, 7, 8]) AS c))"""
+LAKE_MERGED = MERGED.replace(PIXELS, f"{LAKE_PIXELS}, {SCANNED}").replace("SELECT (tx, ty) FROM mask", "SELECT (tx, ty) FROM scanned")
+LAKE_BOXES = f"{LAKE_MERGED}, boxes AS (SELECT cluster, round(min(west), 9) AS west, round(min(south), 9) AS south, round(max(east), 9) AS east, round(max(north), 9) AS north FROM frags JOIN named USING (frag) GROUP BY 1)"
+_SEEN = f"confidence >= {_L.shown}"
+
+
 def _recursive(body: str, steps: str) -> str:
     return f"WITH RECURSIVE {steps} {body}"
 
@@ -159,8 +170,8 @@ def _within(p: str, q: str, r: str) -> str:
     return f"x{r} BETWEEN least(x{p}, x{q}) AND greatest(x{p}, x{q}) AND y{r} BETWEEN least(y{p}, y{q}) AND greatest(y{p}, y{q})"
 
 
-def _cover() -> str:
-    lon, lat, z = [p[0] for p in RING], [p[1] for p in RING], PLAN_ZOOM
+def _cover(z: int = PLAN_ZOOM) -> str:
+    lon, lat = [p[0] for p in RING], [p[1] for p in RING]
     span = lambda w, a, b: f"unnest(range({_tile(w(f'({a}::DOUBLE)', z), z)}, {_tile(w(f'({b}::DOUBLE)', z), z)} + 1))::INT"
     corners = [("w", "s"), ("e", "s"), ("e", "n"), ("w", "n")]
     rims = " UNION ALL ".join(f"SELECT tx, ty, {corners[k - 1][0]} AS xa, {corners[k - 1][1]} AS ya, {corners[k][0]} AS xb, {corners[k][1]} AS yb FROM bounds" for k in range(4))
@@ -193,8 +204,50 @@ def _map(body: str, *steps: str) -> str:
     return f"WITH {', '.join(steps)} {body}"
 
 
+def _estimate(z: int) -> str:
+    return f"SELECT {z} AS zoom, CASE WHEN (SELECT count(*) FROM cand) > 50000 THEN (SELECT count(*) FROM cand) ELSE (SELECT count(*) FROM cover) END AS tiles, (SELECT count(*) FROM cand) > 50000 AS approximate"
+
+
+def _rectangle(lon: str, lat: str) -> str:
+    half = f"(450 / (111320.0::DOUBLE * cos(radians({lat}))))"
+    up = "(350 / 111320.0::DOUBLE)"
+    area = f"abs(radians(2 * {half}) * ((2 + 2 * sin(radians({lat} - {up}))) - (2 + 2 * sin(radians({lat} + {up}))))) * 6378137.0 * 6378137.0 / 2"
+    return f"round({lon} - {half}, 9) AS lon0, round({lat} - {up}, 9) AS lat0, round({lon} + {half}, 9) AS lon2, round({lat} + {up}, 9) AS lat2, round({area}, 1) AS area"
+
+
+_DEMO = ", ".join(f"('{n}', {lat}::DOUBLE, {lon}::DOUBLE)" for n, lat, lon in PLACES)
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
+        "scan_detections": _recursive("SELECT cluster, pixels, area, parts, tiles, confidence, kind, truncated, open_water, shown, west, south, east, north FROM merged JOIN boxes USING (cluster)", LAKE_BOXES),
+        "scan_ranking": _recursive("SELECT rank, cluster, area, confidence FROM ranked", LAKE_MERGED),
+        "scan_totals": _recursive(
+            f"""SELECT count(*) FILTER ({_SEEN} AND shown) AS n, round(coalesce(sum(area) FILTER ({_SEEN} AND shown), 0), 3) AS area, count(*) FILTER ({_SEEN} AND shown AND kind <> 'hot_tub') AS n_pools,
+  round(coalesce(sum(area) FILTER ({_SEEN} AND shown AND kind <> 'hot_tub'), 0), 3) AS area_pools, count(*) FILTER (open_water) AS suppressed FROM merged""",
+            LAKE_MERGED,
+        ),
+        "scan_stats": _map(
+            f"SELECT count(*) AS tiles, count(*) FILTER ((tx, ty) IN (SELECT (tx, ty) FROM mask)) AS wet, count(*) FILTER ((tx, ty) NOT IN (SELECT (tx, ty) FROM mask)) AS empty, round(sum(pow(256 * {_mpp(_lat('((ty + 0.5) * 256)', 19), 19)}, 2)), 1) AS swept_m2 FROM scanned",
+            MASK.replace(PIXELS, f"{LAKE_PIXELS}, {SCANNED}"),
+        ),
+        "plan_estimates": " UNION ALL ".join(f"(WITH {_cover(z)} {_estimate(z)})" for z in ESTIMATE_ZOOMS),
+        "plan_grid": _map(
+            f"SELECT event_id, ({_tile(_wx('lon', 14), 14)} + dx)::INT AS tx, ({_tile(_wy('lat', 14), 14)} + dy)::INT AS ty FROM points, (SELECT unnest(range(-2, 2)) AS dx) a, (SELECT unnest(range(-2, 2)) AS dy) b", POINTS
+        ),
+        "area_rectangles": _map(f"SELECT event_id::VARCHAR AS name, {_rectangle('lon', 'lat')} FROM near UNION ALL SELECT name, {_rectangle('lon', 'lat')} FROM (VALUES {_DEMO}) d(name, lat, lon)", NEAR),
+        "fmt_labels": _map(
+            """SELECT event_id, printf('%.5f, %.5f', lat, lon) AS place, format('{:,}', event_id * 7919) AS count,
+  printf('≈ %.1f × %.1f m', 2 * sqrt((event_id % 400 + 3)::DOUBLE / 2), sqrt((event_id % 400 + 3)::DOUBLE / 2)) AS dims, round(event_id % 10 / 10, 6) AS share,
+  CASE WHEN event_id % 10 > 3 THEN round((event_id % 97)::DOUBLE / (event_id % 10) * (10 - event_id % 10), 6) END AS left FROM points""".replace(" AS left ", ' AS "left" '),
+            POINTS,
+        ),
+        "cache_keys": _map("SELECT event_id, '19-' || tx || '-' || ty || '-' || substr(sha256('https://tiles.example/19/' || ty || '/' || tx), 1, 24) || '.bin' AS file FROM tiles", POINTS, TILES),
+        "color_confidence": f"""WITH m AS (SELECT event_id, (event_id % 11)::DOUBLE / 11 AS strict, (event_id % 67)::DOUBLE / 67 * 100 + 130 AS hue, (event_id % 13)::DOUBLE / 13 AS saturation, (event_id % 17)::DOUBLE / 17 * 0.2::DOUBLE AS texture,
+  (event_id % 19)::DOUBLE / 19 AS fill, (event_id % 101)::DOUBLE / 101 * 900 + 1 AS size, event_id % 2 = 0 AS truncated FROM events),
+j AS (SELECT event_id, ({_SURE}) * CASE WHEN truncated THEN 0.9::DOUBLE ELSE 1 END * CASE WHEN texture > 0.1 AND fill < 0.5 THEN 0.78::DOUBLE ELSE 1 END AS sure FROM m)
+SELECT event_id, floor({_UNIT.format("sure")} * 1000 + 0.5)::DOUBLE / 1000 AS confidence FROM j""",
+
         "geo_world_px": _map(f"SELECT event_id, round({_wx('lon', 19)}, 3) AS wx, round({_wy('lat', 19)}, 3) AS wy FROM points", POINTS),
         "geo_tile_of": _map("SELECT * FROM tiles", POINTS, TILES),
         "geo_tile_bbox": _map(f"SELECT event_id, round({_lon('(tx * 256)', 19)}, 9) AS west, round({_lat('((ty + 1) * 256)', 19)}, 9) AS south, round({_lon('((tx + 1) * 256)', 19)}, 9) AS east, round({_lat('(ty * 256)', 19)}, 9) AS north FROM tiles", POINTS, TILES),

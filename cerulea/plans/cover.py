@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cerulea.functions import geo
+from cerulea.operators.ordering import numbered
+
+EXACT_TILES = 50_000
+
+
+def box_of(ring: list[tuple[float, float]], z: int) -> tuple[int, int, int, int]:
+    """First and last column, first and last row of the tiles in the ring's box."""
+    n = 2**z
+    across = lambda lon: min(max(math.floor((lon + 180) / 360 * n), 0), n - 1)
+
+    def down(lat: float) -> int:
+        bounded = math.radians(max(-geo.MAX_LATITUDE, min(geo.MAX_LATITUDE, lat)))
+        return min(max(math.floor((1 - math.asinh(math.tan(bounded)) / math.pi) / 2 * n), 0), n - 1)
+
+    lon, lat = [p[0] for p in ring], [p[1] for p in ring]
+    return across(min(lon)), across(max(lon)), down(max(lat)), down(min(lat))
 
 
 def candidates(spark: SparkSession, ring: list[tuple[float, float]], z: int) -> DataFrame:
@@ -26,7 +44,7 @@ def cover(spark: SparkSession, ring: list[tuple[float, float]], z: int) -> DataF
 def serpentine(tiles: DataFrame, low_y: int) -> DataFrame:
     """Row by row from the north, every other row backwards; rows are counted from the box's first one."""
     key = F.when((F.col("ty") - low_y) % 2 == 0, F.col("tx")).otherwise(-F.col("tx"))
-    return tiles.withColumn("idx", F.row_number().over(Window.orderBy("ty", key)) - 1)
+    return numbered(tiles, [F.col("ty"), key], "idx")
 
 
 def spiral(tiles: DataFrame, centre_x: int, centre_y: int) -> DataFrame:
@@ -35,4 +53,21 @@ def spiral(tiles: DataFrame, centre_x: int, centre_y: int) -> DataFrame:
     r = F.greatest(F.abs(dx), F.abs(dy))
     side = F.when(dy == -r, 0).when(dx == r, 1).when(dy == r, 2).otherwise(3)
     along = F.when(side == 0, dx).when(side == 1, dy).when(side == 2, -dx).otherwise(-dy)
-    return tiles.withColumn("idx", F.row_number().over(Window.orderBy(r, side, along)) - 1)
+    return numbered(tiles, [r, side, along], "idx")
+
+
+def estimate(spark: SparkSession, ring: list[tuple[float, float]], z: int, exact: int = EXACT_TILES) -> DataFrame:
+    """(tiles, approximate): the tiles of the ring, counted, or those of its box where these are more than ``exact``."""
+    x0, x1, y0, y1 = box_of(ring, z)
+    boxed = (x1 - x0 + 1) * (y1 - y0 + 1)
+    if boxed > exact:
+        return spark.range(1).select(F.lit(boxed).cast("long").alias("tiles"), F.lit(True).alias("approximate"))
+    return cover(spark, ring, z).agg(F.count("*").alias("tiles"), F.lit(False).alias("approximate"))
+
+
+def grid(points: DataFrame, n: int, z: int) -> DataFrame:
+    """``points`` (with lon and lat) and tx, ty: n x n tiles around the tile of each point, row by row, one more before than after it if n is even."""
+    zoom, steps = F.lit(z), F.sequence(F.lit(-(n // 2)), F.lit(n - 1 - n // 2))
+    at = lambda axis, c: geo.tile_of(axis(F.col(c), zoom), zoom)
+    rows = points.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
+    return rows.withColumns({"tx": at(geo.world_x, "lon") + F.col("dx"), "ty": at(geo.world_y, "lat") + F.col("dy")}).drop("dx", "dy")

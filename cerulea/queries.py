@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cerulea.functions import geo, text
-from cerulea.functions.color import hsv, is_strict
+from cerulea.functions.color import confidence, hsv, is_strict
 from cerulea.operators import detect, outline, raster
 from cerulea.plans import cover
 from cerulea.sinks import exports
+from cerulea.sinks.shared import stored
 from cerulea.sources import area, scene
 from cerulea.streaming.feed import latest
 
@@ -83,13 +84,11 @@ def plan_cover(spark, sf_dir):
 
 
 def plan_serpentine(spark, sf_dir):
-    tiles = cover.cover(spark, RING, PLAN_ZOOM)
-    low = cover.candidates(spark, RING, PLAN_ZOOM).agg(F.min("ty")).first()[0]
-    return cover.serpentine(tiles, low).select("tx", "ty", F.col("idx").cast("long").alias("idx"))
+    return cover.serpentine(cover.cover(spark, RING, PLAN_ZOOM), cover.box_of(RING, PLAN_ZOOM)[2]).select("tx", "ty", F.col("idx").cast("long").alias("idx"))
 
 
 def plan_spiral(spark, sf_dir):
-    box = cover.candidates(spark, RING, PLAN_ZOOM).agg(*[f(c) for c in ("tx", "ty") for f in (F.min, F.max)]).first()
+    box = cover.box_of(RING, PLAN_ZOOM)
     middle = [int((box[k] + box[k + 1]) / 2 + 0.5) for k in (0, 2)]
     return cover.spiral(cover.cover(spark, RING, PLAN_ZOOM), *middle).select("tx", "ty", F.col("idx").cast("long").alias("idx"))
 
@@ -137,7 +136,7 @@ def component_texture(spark, sf_dir):
 
 
 def _fragments(spark, sf_dir):
-    return detect.fragments(_labels(spark, sf_dir), scene.supplier_pixels(spark, sf_dir))
+    return detect.fragments(raster.tile_components(scene.supplier_pixels(spark, sf_dir)))
 
 
 def fragments(spark, sf_dir):
@@ -149,23 +148,15 @@ def merge_pairs(spark, sf_dir):
 
 
 def _merged(spark, sf_dir):
-    frags = _checkpointed(_fragments(spark, sf_dir))
-    seen = px_water_mask(spark, sf_dir).select("tx", "ty").distinct()
-    return detect.merged(frags, detect.clusters(frags, detect.merge_pairs(frags)), seen)
+    """Detections where only tiles with water were scanned."""
+    return detect.detections(scene.supplier_pixels(spark, sf_dir), px_water_mask(spark, sf_dir).select("tx", "ty").distinct())
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Needs a checkpoint folder: the session's, or a new one where there is none, as in tests."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+_BOX = ("west", "south", "east", "north")
 
 
 def merged_detections(spark, sf_dir):
-    return _merged(spark, sf_dir).drop("main")
+    return _merged(spark, sf_dir).drop("main", *_BOX)
 
 
 def open_water(spark, sf_dir):
@@ -181,7 +172,7 @@ def rank_visible(spark, sf_dir):
 
 
 def top_k(spark, sf_dir):
-    return rank_all(spark, sf_dir).where("rank <= 25")
+    return detect.top(_merged(spark, sf_dir).where("shown"), 25).select("rank", "cluster", "kind", "area", "confidence", "truncated", "lon", "lat", "pixels")
 
 
 def csv_rows(spark, sf_dir):
@@ -206,15 +197,84 @@ def truncation(spark, sf_dir):
 
 def geojson_rows(spark, sf_dir):
     """A feature for each ranked detection, with the simplified ring of each of its fragments."""
-    labels = _labels(spark, sf_dir)
-    frags = _checkpointed(detect.fragments(labels, scene.supplier_pixels(spark, sf_dir)))
-    named = detect.clusters(frags, detect.merge_pairs(frags))
+    pixels = scene.supplier_pixels(spark, sf_dir)
+    frags = stored(detect.fragments(raster.tile_components(pixels)), "fragments")
+    named = stored(detect.clusters(frags, detect.merge_pairs(frags)), "named")
     found = detect.merged(frags, named, px_water_mask(spark, sf_dir).select("tx", "ty").distinct())
-    kept = labels.join(frags.select(*raster.TILE_KEY, "label"), [*raster.TILE_KEY, "label"], "left_semi")
+    kept = raster.tile_labels(pixels).join(frags.select(*raster.TILE_KEY, "label"), [*raster.TILE_KEY, "label"], "left_semi")
     rings = outline.outlines(kept).join(frags.select(*raster.TILE_KEY, "label", "frag"), [*raster.TILE_KEY, "label"]).join(named, "frag")
     return exports.features(detect.ranked(found.where("shown")), rings.select("cluster", "frag", outline.on_map("ring", scene.ZOOM).alias("ring")))
 
 
+def _scanned(spark, sf_dir):
+    """Detections of the scene with the lake, where tiles without water were scanned too and some with water were not."""
+    return detect.detections(*scene.scanned_scene(spark, sf_dir))
+
+
+def scan_detections(spark, sf_dir):
+    return _scanned(spark, sf_dir).select("cluster", "pixels", "area", "parts", "tiles", "confidence", "kind", "truncated", "open_water", "shown", *[F.round(c, 9).alias(c) for c in _BOX])
+
+
+def scan_ranking(spark, sf_dir):
+    return detect.ranked(_scanned(spark, sf_dir).where("shown")).select("rank", "cluster", "area", "confidence")
+
+
+def scan_totals(spark, sf_dir):
+    """How many are visible, with and without hot tubs, their area, and how many bodies of open water were left out."""
+    found = stored(_scanned(spark, sf_dir), "found")
+    many, few = detect.totals(detect.visible(found)), detect.totals(detect.visible(found, hot_tubs=False)).toDF("n_pools", "area_pools")
+    return many.crossJoin(few).crossJoin(found.agg(F.count(F.when(F.col("open_water"), 1)).alias("suppressed")))  # three single rows
+
+
+def scan_stats(spark, sf_dir):
+    """Tiles scanned, with and without water, and the area swept."""
+    pixels, scanned = scene.scanned_scene(spark, sf_dir)
+    wet = raster.water_mask(pixels).select("tx", "ty").distinct().withColumn("wet", F.lit(1))
+    z = F.lit(scene.ZOOM)
+    side = 256 * geo.metres_per_pixel(geo.lat_of((F.col("ty") + 0.5) * 256, z), z)
+    return scanned.join(wet, ["tx", "ty"], "left").agg(F.count("*").alias("tiles"), F.count("wet").alias("wet"), F.count(F.when(F.col("wet").isNull(), 1)).alias("empty"), F.round(F.sum(side * side), 1).alias("swept_m2"))
+
+
+ESTIMATE_ZOOMS = (14, 17, 22)
+
+
+def plan_estimates(spark, sf_dir):
+    """The estimate at three zooms; at the last the box is too large to count."""
+    rows = [cover.estimate(spark, RING, z).select(F.lit(z).alias("zoom"), "tiles", "approximate") for z in ESTIMATE_ZOOMS]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+def plan_grid(spark, sf_dir):
+    """4 x 4 tiles around each point."""
+    return cover.grid(scene.points(spark, sf_dir), 4, 14).select("event_id", "tx", "ty")
+
+
+def area_rectangles(spark, sf_dir):
+    """A rectangle of 900 x 700 metres around each point near the ring, and the places for a first scan."""
+    ring = area.rectangle(F.col("lon"), F.col("lat"), F.lit(900), F.lit(700))
+    rows = _near(spark, sf_dir).select(F.col("event_id").cast("string").alias("name"), ring.alias("ring")).union(area.demo_areas(spark))
+    return rows.select("name", *[F.round(F.get("ring", F.lit(k))[c], 9).alias(f"{c}{k}") for k in (0, 2) for c in ("lon", "lat")], F.round(geo.ring_area("ring"), 1).alias("area"))
+
+
+def fmt_labels(spark, sf_dir):
+    p, n = scene.points(spark, sf_dir), F.col("event_id")
+    steps = text.progress(n % 10, F.lit(10), (n % 97).cast("double"))
+    return p.select("event_id", text.place_label(F.col("lat"), F.col("lon")).alias("place"), text.count_label(n * 7919).alias("count"), text.dims_label((n % 400).cast("double") + 3).alias("dims"), F.round(steps["share"], 6).alias("share"), F.round(steps["left"], 6).alias("left"))
+
+
+def cache_keys(spark, sf_dir):
+    url = text.tile_url("https://tiles.example/{z}/{y}/{x}", F.lit(19), F.col("tx"), F.col("ty"))
+    return geo_tile_of(spark, sf_dir).select("event_id", text.cache_key(F.lit(19), F.col("tx"), F.col("ty"), url).alias("file"))
+
+
+def color_confidence(spark, sf_dir):
+    """The confidence of made-up measures that reach each branch."""
+    n = F.col("event_id")
+    part = lambda m: (n % m).cast("double") / m
+    sure = confidence(part(11), part(67) * 100 + 130, part(13), part(17) * 0.2, part(19), part(101) * 900 + 1, n % 2 == 0)
+    return _events(spark, sf_dir).select("event_id", sure.alias("confidence"))
+
+
 def aoi_bbox(spark, sf_dir):
     e = F.col("event_id")
     written = F.concat_ws(",", (e % 80).cast("string"), F.concat(F.lit(" "), (e % 170).cast("string")), F.when(e % 11 == 0, "x").otherwise((e % 80 + 1).cast("string")), (e % 170 + 2).cast("string"))
@@ -266,5 +326,5 @@ def fmt_links(spark, sf_dir):
     return geo_tile_of(spark, sf_dir).select("event_id", url.alias("url"), text.duration_label(F.col("event_id")).alias("duration"))
 
 
-QUERIES = {f.__name__: f for f in (geo_world_px, geo_tile_of, geo_tile_bbox, geo_mpp, geo_px_to_lonlat, geo_tile_histogram, point_in_ring, bbox_expand, ring_area, plan_cover, plan_serpentine, plan_spiral, plan_estimate, scene_pixels, px_hsv, px_water_mask, px_strict_ratio, components, component_stats, component_texture, fragments, merge_pairs, merged_detections, open_water, rank_all, rank_visible, top_k, csv_rows, event_log_latest, coverage_stats, fmt_links, boundary_sides, outline_rings, truncation, geojson_rows, aoi_bbox, aoi_permalink, segments_intersect, fmt_area, fmt_map_links)}
+QUERIES = {f.__name__: f for f in (geo_world_px, geo_tile_of, geo_tile_bbox, geo_mpp, geo_px_to_lonlat, geo_tile_histogram, point_in_ring, bbox_expand, ring_area, plan_cover, plan_serpentine, plan_spiral, plan_estimate, scene_pixels, px_hsv, px_water_mask, px_strict_ratio, components, component_stats, component_texture, fragments, merge_pairs, merged_detections, open_water, rank_all, rank_visible, top_k, csv_rows, event_log_latest, coverage_stats, fmt_links, boundary_sides, outline_rings, truncation, geojson_rows, aoi_bbox, aoi_permalink, segments_intersect, fmt_area, fmt_map_links, scan_detections, scan_ranking, scan_totals, scan_stats, plan_estimates, plan_grid, area_rectangles, fmt_labels, cache_keys, color_confidence)}
 QUERIES |= {f"mask_{op.__name__}": partial(_per_tile, op) for op in (raster.erode, raster.dilate, raster.clean)}

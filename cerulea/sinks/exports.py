@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cerulea.functions.text import CSV_HEADER, csv_line, fixed
+from cerulea.functions.text import CSV_HEADER, csv_line, fixed, google_link
 from cerulea.operators.raster import BACKGROUND, SIDE, TILE_KEY
 
 
@@ -20,17 +20,17 @@ def closed(ring) -> Column:
     return F.when((F.size(ring) == 0) | (F.get(ring, 0) == F.try_element_at(ring, F.lit(-1))), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
 
 
-def features(ranked: DataFrame, parts: DataFrame) -> DataFrame:
+def features(ranked: DataFrame, parts: DataFrame, link: bool = False) -> DataFrame:
     """(rank, line): a GeoJSON feature for each detection. ``parts`` has (cluster, frag, ring), a ring of (lon, lat) for each fragment; one polygon a fragment, by name.
 
-    A detection that is shown spans a few tiles, so its rings are few.
+    A detection that is shown spans a few tiles, so its rings are few. With ``link`` a feature also has the address of a map.
     """
     shut = F.transform(closed(F.col("ring")), lambda p: F.array(p["lon"], p["lat"]))
     shapes = parts.select("cluster", F.struct("frag", F.array(shut).alias("polygon")).alias("part")).groupBy("cluster").agg(F.array_sort(F.collect_list("part")).alias("shapes"))
     number = lambda c, d: fixed(F.col(c), d).cast("double").alias(c)
     rows = ranked.join(shapes, "cluster", "left").select("*", number("area", 1).alias("area_m2"), number("lat", 6).alias("lat6"), number("lon", 6).alias("lon6"))
     shape = F.struct(F.lit("MultiPolygon").alias("type"), F.coalesce(F.transform("shapes", lambda p: p["polygon"]), F.array()).alias("coordinates"))
-    facts = F.struct(F.col("cluster").alias("id"), "rank", "kind", "area_m2", "confidence", F.col("lat6").alias("lat"), F.col("lon6").alias("lon"), "truncated")
+    facts = F.struct(F.col("cluster").alias("id"), "rank", "kind", "area_m2", "confidence", F.col("lat6").alias("lat"), F.col("lon6").alias("lon"), "truncated", *([google_link(F.col("lat"), F.col("lon")).alias("google_maps")] if link else []))
     return rows.select("rank", F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), facts.alias("properties"))).alias("line"))
 
 

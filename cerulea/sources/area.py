@@ -66,11 +66,18 @@ def ring_of_permalink(link) -> Column:
     return F.when((F.length(code) > 0) & zoom.between(*ZOOMS) & F.size(points).between(*VERTICES) & good, F.struct(zoom.alias("zoom"), _ring(points).alias("ring")))
 
 
+def _degrees(written, most: float) -> Column:
+    """A plain decimal number, without sign +, exponent or bare point, of at most so many degrees."""
+    plain = (F.translate(written, "0123456789", "").isin("", "-", ".", "-.")) & (F.instr(written, "-") <= 1) & ~F.ltrim(written, F.lit("-")).startswith(".") & ~written.endswith(".")
+    value = F.when(plain, written.try_cast("double"))
+    return F.when(F.abs(value) <= most, value)
+
+
 def place_of(text) -> Column:
-    """(lon, lat) of "lat, lon" as typed in a search; null for anything else and beyond 85 and 180 degrees."""
-    form = r"^(-?\d{1,2}(?:\.\d+)?)[,\s]+(-?\d{1,3}(?:\.\d+)?)$"
-    lat, lon = (F.regexp_extract(F.trim(text), form, k).try_cast("double") for k in (1, 2))
-    return F.when((F.abs(lat) <= 85) & (F.abs(lon) <= 180), _corner(lon, lat))
+    """(lon, lat) of a latitude and a longitude with a comma or blanks between them, as typed in a search; null for anything else and beyond 85 and 180 degrees."""
+    parts = F.filter(F.split(F.translate(F.trim(text), ",\t\n\r", "    "), " "), lambda p: p != "")
+    lat, lon = _degrees(F.get(parts, 0), 85), _degrees(F.get(parts, 1), 180)
+    return F.when((F.size(parts) == 2) & lat.isNotNull() & lon.isNotNull(), _corner(lon, lat))
 
 
 def valid_template(text) -> Column:
@@ -84,3 +91,13 @@ def rectangle(lon, lat, width, height) -> Column:
     up = height / 2 / 111320.0
     side = width / 2 / (111320.0 * F.cos(F.radians(lat)))
     return F.array(_corner(lon - side, lat - up), _corner(lon + side, lat - up), _corner(lon + side, lat + up), _corner(lon - side, lat + up))
+
+
+# Places for a first scan, (name, lat, lon), each the middle of a rectangle of 900 x 700 metres.
+PLACES = (("Vilamoura · PT", 37.0745, -8.1155), ("Scottsdale · US", 33.594, -111.926), ("Marbella · ES", 36.4899, -4.9587), ("Palm Springs · US", 33.8303, -116.5453))
+
+
+def demo_areas(spark: SparkSession) -> DataFrame:
+    """(name, ring) of the places for a first scan."""
+    rows = spark.createDataFrame(list(PLACES), "name string, lat double, lon double")
+    return rows.select("name", rectangle(F.col("lon"), F.col("lat"), F.lit(900), F.lit(700)).alias("ring"))

@@ -25,11 +25,11 @@ def rectangles(keys: DataFrame) -> DataFrame:
 
 
 def pixels(rects: DataFrame) -> DataFrame:
-    """(tx, ty, px, py, r, g, b): the painted pixels, the highest key winning."""
+    """(tx, ty, px, py, r, g, b): the painted pixels, the highest key winning; positions may be negative."""
     across = rects.select("*", F.explode(F.sequence(F.col("gx"), F.col("gx") + F.col("w") - 1)).alias("x"))
     grid = across.select("k", "x", "r", "g", "b", F.explode(F.sequence(F.col("gy"), F.col("gy") + F.col("h") - 1)).alias("y"))
     top = grid.groupBy("x", "y").agg(F.max_by(F.struct("r", "g", "b"), "k").alias("c"))
-    return top.select((TILE_X + F.floor(F.col("x") / 256)).cast("int").alias("tx"), (TILE_Y + F.floor(F.col("y") / 256)).cast("int").alias("ty"), (F.col("x") % 256).cast("int").alias("px"), (F.col("y") % 256).cast("int").alias("py"), "c.r", "c.g", "c.b")
+    return top.select((TILE_X + F.floor(F.col("x") / 256)).cast("int").alias("tx"), (TILE_Y + F.floor(F.col("y") / 256)).cast("int").alias("ty"), F.pmod("x", F.lit(256)).cast("int").alias("px"), F.pmod("y", F.lit(256)).cast("int").alias("py"), "c.r", "c.g", "c.b")
 
 
 def supplier_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,3 +40,34 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, lon, lat): a point on the map for each event."""
     e = F.col("event_id")
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (-179.0 + F.lit(358.0) * ((e * 104729) % 100003) / 100003).alias("lon"), (-85.0 + F.lit(170.0) * ((e * 7919) % 100003) / 100003).alias("lat"))
+
+
+#: One rectangle of water above the lattice that is larger than any pool: west, north and side in pixels.
+LAKE = (300, -900, 600)
+
+
+def scanned_scene(spark: SparkSession, sf_dir: str, table: str = "supplier", key: str = "s_suppkey") -> tuple[DataFrame, DataFrame]:
+    """Pixels of the lattice and the lake, and (tx, ty) of all tiles that were looked at: whole rows of tiles, from the lake's down to the last painted one but for
+    each fifth column, so that there are tiles without water, and tiles beyond the edge of what was scanned."""
+    rects = rectangles(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("k")))
+    x, y, side = LAKE
+    lake = spark.range(1).select(F.lit(-1).cast("long").alias("k"), *[F.lit(v).cast("long").alias(c) for c, v in (("gx", x), ("gy", y), ("w", side), ("h", side))], *[F.lit(COLOURS[0][k]).alias(c) for k, c in enumerate("rgb")])
+    painted = pixels(rects.unionByName(lake))
+    rows = rects.select(F.floor(F.col("gy") / 256).alias("row")).union(rects.select(F.floor((F.col("gy") + F.col("h") - 1) / 256))).agg(F.max("row").alias("last"))
+    rows = rows.select(F.explode(F.sequence(F.lit(y // 256).cast("long"), "last")).alias("row"))
+    tiles = rows.select((TILE_Y + F.col("row")).cast("int").alias("ty"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("column")).where("column % 5 <> 4")
+    return painted, tiles.select((TILE_X + F.col("column")).cast("int").alias("tx"), "ty")
+
+
+def analytic_fragments(rects: DataFrame, zoom: int = ZOOM) -> DataFrame:
+    """Fragments as of rectangles of water, by formula: for (tx, ty, x, y, w, h) and perhaps z and scan, the columns that merging reads."""
+    from cerulea.functions import geo
+
+    z = F.col("z") if "z" in rects.columns else F.lit(zoom)
+    left, top = F.col("tx") * geo.TILE + F.col("x"), F.col("ty") * geo.TILE + F.col("y")
+    rows = rects.withColumns({"pixels": F.col("w") * F.col("h"), "lon": geo.lon_of(left + F.col("w") / 2, z), "lat": geo.lat_of(top + F.col("h") / 2, z), "west": geo.lon_of(left, z), "east": geo.lon_of(left + F.col("w"), z), "north": geo.lat_of(top, z), "south": geo.lat_of(top + F.col("h"), z)})
+    rows = rows.withColumns({"mpp": geo.metres_per_pixel(F.col("lat"), z), "hue": F.lit(188.0), "saturation": F.lit(0.7), "value": F.lit(0.7), "strict": F.lit(0.9), "fill": F.lit(1.0), "texture": F.lit(0.01), "min_px": F.col("x"), "min_py": F.col("y")})
+    rows = rows.withColumns({"area": F.col("pixels") * F.col("mpp") * F.col("mpp"), "at_e": F.col("x") + F.col("w") >= 256, "at_s": F.col("y") + F.col("h") >= 256, "n": F.col("y") <= 0}).drop("w", "h")
+    rows = rows.withColumns({"w": F.col("x") <= 0}).withColumnsRenamed({"at_e": "e", "at_s": "s"}).withColumn("edge", F.col("n") | F.col("e") | F.col("s") | F.col("w"))
+    name = F.format_string("%d/%d/%d:%d,%d", z.cast("long"), F.col("tx"), F.col("ty"), F.col("min_px"), F.col("min_py"))
+    return rows.withColumn("frag", F.concat(F.col("scan").cast("string"), F.lit("/"), name) if "scan" in rects.columns else name).drop("x", "y")
