@@ -9,6 +9,8 @@ from cerulea.sinks.shared import stored
 
 #: Parts in which the neighbours of a node meet its smallest neighbour.
 SALTS = 16
+#: Up to so many edges, a round sends the smallest neighbours of all nodes to every task instead; there are no more of them than twice the edges.
+BROADCAST_EDGES = 100_000
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
@@ -31,6 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     def beside(rows: DataFrame, low: DataFrame) -> DataFrame:
         """(u, v, low). The neighbours of a hub are dealt over several tasks; with a plain exchange on both sides, adaptive execution can split them further."""
+        if now["n"] <= BROADCAST_EDGES:
+            return rows.join(F.broadcast(low), "u")
         copies = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(copies.hint("merge"), ["u", "salt"]).drop("salt")
 
