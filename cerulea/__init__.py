@@ -2,12 +2,24 @@
 
     from cerulea import detections, ranked
     ranked(detections(pixels, scanned).where("shown"))
+
+Names are loaded when they are first used, as workers that run one kernel need none of the others.
 """
 
-from cerulea.functions import color, geo, text
-from cerulea.operators.detect import Limits, clusters, detections, fragments, merge_pairs, merged, parts_of, ranked, top, totals, visible
-from cerulea.operators.raster import clean, components, tile_components, tile_labels, water_mask
-from cerulea.plans.cover import cover, estimate, grid, serpentine, spiral
-from cerulea.streaming.feed import changes, keep_buckets, keep_ranking, keep_state, latest
+from importlib import import_module
+
+_PUBLIC = {
+    "functions": ("color", "geo", "text"),
+    "operators.detect": ("Limits", "clusters", "detections", "fragments", "merge_pairs", "merged", "parts_of", "ranked", "top", "totals", "visible"),
+    "operators.raster": ("clean", "components", "tile_components", "tile_labels", "water_mask"),
+    "plans.cover": ("cover", "estimate", "grid", "serpentine", "spiral"),
+    "streaming.feed": ("changes", "keep_buckets", "keep_ranking", "keep_state", "latest"),
+}
+__all__ = sorted(name for names in _PUBLIC.values() for name in names)
+
 
-__all__ = ["Limits", "changes", "clean", "clusters", "color", "components", "cover", "detections", "estimate", "fragments", "geo", "grid", "keep_buckets", "keep_ranking", "keep_state", "latest", "merge_pairs", "merged", "parts_of", "ranked", "serpentine", "spiral", "text", "tile_components", "tile_labels", "top", "totals", "visible", "water_mask"]
+def __getattr__(name: str):
+    for module, names in _PUBLIC.items():
+        if name in names:
+            return import_module(f"cerulea.functions.{name}") if module == "functions" else getattr(import_module(f"cerulea.{module}"), name)
+    raise AttributeError(name)
