@@ -279,9 +279,10 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, half_ke
 def without_near_duplicates(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns (doc_id and text among them) of one row of each group, the one that ``stays``; of rows that repeat its id and text one. Texts without words all stay."""
     gone = grouped(docs.select(*columns)).where(~F.col("stays")).select("own").distinct()
-    # repeated rows meet before the shuffle; a row without words gets a number, so it meets none
-    alone = F.when(F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())
-    rows = docs.select(*columns, row_key().alias("own"), alone.alias("alone")).dropDuplicates(["own", "alone"])
+    # repeated rows meet before the shuffle; a row without words gets a key of its own, so it meets none. One exchange serves both steps
+    number = F.unhex(F.md5(F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")).cast("binary")))
+    key = F.when(F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), row_key()).otherwise(number)
+    rows = docs.select(*columns, key.alias("own")).dropDuplicates(["own"])
     return rows.join(gone, "own", "left_anti").select(*columns)
 
 
