@@ -53,6 +53,7 @@ def unit(x) -> Column:
 
 def confidence(strict, hue, saturation, texture, fill, area, truncated) -> Column:
     """0 to 1 in thousandths: a weighted sum of six criteria, lowered for cut-off and for rough sparse shapes."""
+    # fixed values: the weights, and where each criterion begins and ends
     parts = (
         (0.30, strict),
         (0.18, F.exp(-(hue - 189) * (hue - 189) / (2 * 26 * 26))),
