@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cerulea.llm.common import ascii_lower, read_table
+from cerulea.llm.common import ascii_lower, read_table, row_key
 
 #: Words of lower-cased text, and what lies between words; the second pair is for text in any case.
 WORD, GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,20 +46,26 @@ def needed(n: int, containment: float) -> int:
     return math.ceil(containment * n - 1e-9)
 
 
+def folding(vocabulary: list[str]):
+    """A lower-casing that finds every word of ``vocabulary``: the quick lower(), where all of them are ASCII, as only ASCII words become those; else that of A-Z alone."""
+    return F.lower if all(t.isascii() for t in vocabulary) else lambda c: ascii_lower(F.col(c))
+
+
 def token_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """How often each template token occurs in all texts. One row a token comes back: as many as the templates have."""
     spark = docs.sparkSession
     known = spark.createDataFrame([(t,) for t in vocabulary], "token string")
     words = docs.select(F.explode(F.split(F.col("text"), f"(?:{ANY_WORD.replace('[^', '[').rstrip('+')})+")).alias("word"))
-    # lower() finds a superset quickly; the exact rule, A-Z only, is applied to what it finds
-    hits = words.join(F.broadcast(known), (F.lower("word") == F.col("token")) & (ascii_lower(F.col("word")) == F.col("token")))
+    # the exact rule, A-Z only, is applied to what the quick one finds
+    hits = words.join(F.broadcast(known), (folding(vocabulary)("word") == F.col("token")) & (ascii_lower(F.col("word")) == F.col("token")))
     return {t: 0 for t in vocabulary} | {r["token"]: r["n"] for r in hits.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
 def matching_blocks(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, line, template, label, overlap, containment): every line that holds at least ``containment`` of a template's tokens.
+    """(doc_id, own, line, template, label, overlap, containment): every line that holds at least ``containment`` of a template's tokens.
 
-    Sets of distinct words of A-Z lower-cased lines; null and empty texts have no lines that match. Exact for any template with a token.
+    Sets of distinct words of A-Z lower-cased lines; null and empty texts have no lines that match. Exact for any template with a token. own is the key of id and text,
+    so lines of null ids, and of rows with one id and other texts, are told apart; rows that repeat both give their lines once. An empty table gives no rows.
     """
     spark = docs.sparkSession
     sets = [(label, tokens(text)) for label, text in templates]
@@ -76,16 +82,16 @@ def matching_blocks(docs: DataFrame, templates=TEMPLATES, containment: float = C
     whole = spark.createDataFrame(whole, "template int, label string, ranks array<int>, n int, need int")
 
     known = F.array(*[F.lit(t) for t in prefixes])
-    likely = docs.select("doc_id", "text").where(F.arrays_overlap(F.split(F.lower("text"), GAP), known))
-    lines = likely.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "block"))
+    likely = docs.select("doc_id", "text").where(F.arrays_overlap(F.split(folding(vocabulary)("text"), GAP), known))
+    lines = likely.select("doc_id", row_key().alias("own"), F.posexplode(F.split("text", "\n")).alias("line", "block"))
     rank_of = F.create_map(*[x for t, r in ranks.items() for x in (F.lit(t), F.lit(r))])
     held = F.array_sort(F.array_compact(F.transform(F.array_distinct(F.split(ascii_lower(F.col("block")), GAP)), lambda t: F.try_element_at(rank_of, t))))
-    blocks = lines.select("doc_id", "line", held.alias("held")).where(F.size("held") > 0)
-    shared = blocks.select("doc_id", "line", "held", F.posexplode("held").alias("j", "rank"))
+    blocks = lines.select("doc_id", "own", "line", held.alias("held")).where(F.size("held") > 0)
+    shared = blocks.select("doc_id", "own", "line", "held", F.posexplode("held").alias("j", "rank"))
     position = 1 + F.least(F.col("n") - F.col("i") - 1, F.size("held") - F.col("j") - 1) >= F.col("need")
-    pairs = shared.join(F.broadcast(index), "rank").where((F.size("held") >= F.col("need")) & position).select("doc_id", "line", "held", "template").distinct()
+    pairs = shared.join(F.broadcast(index), "rank").where((F.size("held") >= F.col("need")) & position).select("doc_id", "own", "line", "held", "template").distinct()
     overlap = F.size(F.array_intersect("held", "ranks"))
-    return pairs.join(F.broadcast(whole), "template").withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need")).select("doc_id", "line", "template", "label", "overlap", (F.col("overlap") / F.col("n")).alias("containment"))
+    return pairs.join(F.broadcast(whole), "template").withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need")).select("doc_id", "own", "line", "template", "label", "overlap", (F.col("overlap") / F.col("n")).alias("containment"))
 
 
 def _spaces(col):
@@ -93,11 +99,11 @@ def _spaces(col):
 
 
 def phrase_places(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels): where the words of a phrase stand consecutively; null texts count as empty."""
+    """(doc_id, own, n_words, n_base, first_word, last_word, base_labels): where the words of a phrase stand consecutively; null texts count as empty."""
     text = F.coalesce("text", F.lit(""))
     rough = "(?i)cc|license|reserved"
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.col("text")), GAP, " ")), F.lit(" "))
-    rows = docs.select("doc_id", F.regexp_count(text, F.lit(ANY_WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(rough), plain).alias("plain"))
+    rows = docs.select("doc_id", row_key().alias("own"), F.regexp_count(text, F.lit(ANY_WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(rough), plain).alias("plain"))
     counts, firsts, lasts = [], [], []
     for k, (phrase, _) in enumerate(PHRASES):
         spaced, long = f" {phrase} ", len(phrase) + 1
@@ -108,19 +114,20 @@ def phrase_places(docs: DataFrame) -> DataFrame:
         lasts.append(F.when(found, F.col("n_words") - _spaces(F.substring_index("plain", spaced, -1)) - len(phrase.split())))
     labels = [F.when(F.col(f"n{k}") > 0, label) for k, (_, label) in enumerate(PHRASES)]
     rows = rows.select("*", *counts).select("*", F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"))
-    return rows.select("doc_id", "n_words", sum((F.col(f"n{k}") for k in range(1, len(PHRASES))), F.col("n0")).alias("n_base"), "first_word", "last_word", F.array_sort(F.array_compact(F.array(*labels))).alias("base"))
+    return rows.select("doc_id", "own", "n_words", sum((F.col(f"n{k}") for k in range(1, len(PHRASES))), F.col("n0")).alias("n_base"), "first_word", "last_word", F.array_sort(F.array_compact(F.array(*labels))).alias("base"))
 
 
 def scanned(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """A row for each document: the places of the phrases, and the labels of phrases and of templates that a line matches.
 
-    score: 1 with a phrase, else the highest containment of a template found, else 0. Rows that repeat a doc_id share the template labels found in any of them.
+    score: 1 with a phrase, else the highest containment of a template found, else 0. Every row has the labels of its own text, null ids and
+    rows with one id and other texts included; rows that repeat both stay and are alike. An empty table gives no rows.
     """
-    found = matching_blocks(docs, templates, containment).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.count("*").alias("n_blocks"))
+    found = matching_blocks(docs, templates, containment).groupBy("own").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.count("*").alias("n_blocks"))
     more = F.coalesce("more", F.array().cast("array<string>"))
     return (
         phrase_places(docs)
-        .join(found, "doc_id", "left")
+        .join(found, "own", "left")
         .select(
             "doc_id",
             "n_words",

@@ -85,6 +85,21 @@ def test_license_blocks(spark, odd, none):
     assert licenses.scanned(odd).select("doc_id").distinct().count() == odd.select("doc_id").distinct().count() and licenses.scanned(none).count() == 0
 
 
+def test_license_labels_by_row_and_beyond_ascii(spark):
+    """Each row has the labels of its own text: one id with other texts, null ids, repeated rows; a template with letters that only the A-Z rule keeps apart."""
+    own = (*licenses.TEMPLATES, ("etat", "ÉTAT ÖL ΑΣ"))
+    texts = ["x\n" + t for _, t in own] + ["plain", None, "ÉTAT ÖL ΑΣ.Α", "état öl ας", "Released under\nthe MIT License."]
+    rows = [(1 if k % 2 else None, t, None, None, 0) for k, t in enumerate(texts)] + [(7, "Released under the MIT License.", "en", "a", 1)] * 2
+    want = Counter()
+    for i, text, *_ in rows:
+        lines = [set(licenses.tokens(x)) for x in (text or "").split("\n")]
+        hit = {label for label, t in own if any(len(b & set(licenses.tokens(t))) >= licenses.needed(len(licenses.tokens(t)), licenses.CONTAINMENT) for b in lines)}
+        flat = " " + " ".join(re.findall(licenses.WORD, (text or "").translate({c: c + 32 for c in range(65, 91)}))) + " "
+        want[i, ",".join(sorted(hit | {label for phrase, label in licenses.PHRASES if f" {phrase} " in flat}))] += 1
+    got = Counter((r.doc_id, r.labels) for r in licenses.scanned(spark.createDataFrame(rows, DOC), own).collect())
+    assert got == want and any("etat" in k[1] for k in got)
+
+
 def test_pii_patterns_against_regular_expressions(spark, odd, none):
     rng = random.Random(5)
     for _ in range(3000):
