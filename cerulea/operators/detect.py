@@ -105,6 +105,17 @@ def parts_of(frags: DataFrame, labels: DataFrame) -> DataFrame:
     return frags.join(labels, "frag").select("cluster", F.substring_index("frag", ":", 1).alias("tile"), "frag")
 
 
+#: Pixels around a fragment that its picture shows, and the largest side of a picture.
+CROP_MARGIN, CROP_SIDE = 6, 120
+
+
+def crop_boxes(frags: DataFrame) -> DataFrame:
+    """(frag, tile, x0, y0, width, height): the part of the tile that shows a fragment, cut at the tile's edge, and at the largest side to the east and south."""
+    rows = frags.select("frag", *key_of(frags), *[F.greatest(F.lit(0), F.col(c) - CROP_MARGIN).cast("long").alias(n) for c, n in (("min_px", "x0"), ("min_py", "y0"))], "max_px", "max_py")
+    side = lambda last, first: F.least(F.lit(CROP_SIDE), F.least(F.lit(SIDE), F.col(last) + 1 + CROP_MARGIN) - F.col(first)).cast("long")
+    return rows.withColumns({"width": side("max_px", "x0"), "height": side("max_py", "y0")}).drop("max_px", "max_py")
+
+
 def detections(pixels: DataFrame, scanned: DataFrame, limits: Limits = Limits(), detector=tile_components) -> DataFrame:
     """Pixels to merged detections. ``scanned`` names the tiles that were looked at; ``detector`` takes pixels to components and may be any other with its columns."""
     frags = stored(fragments(detector(pixels), limits), "fragments")  # read by each step of the merging

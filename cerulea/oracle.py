@@ -291,6 +291,7 @@ SELECT event_id, floor({_UNIT.format("sure")} * 1000 + 0.5)::DOUBLE / 1000 AS co
         "fmt_area": "WITH s AS (SELECT event_id, (event_id * 7919 % 4000037)::DOUBLE / 4 + 0.03::DOUBLE AS a FROM events) SELECT event_id, CASE WHEN a >= 1e6 THEN printf('%.2f km²', a / 1e6) WHEN a >= 1e4 THEN printf('%.2f ha', a / 1e4) WHEN a >= 100 THEN printf('%.0f m²', a) ELSE printf('%.1f m²', a) END AS label FROM s",
         "fmt_map_links": _map("SELECT event_id, printf('https://www.bing.com/maps?cp=%.6f~%.6f&lvl=19&style=a', lat, lon) AS bing, printf('https://www.openstreetmap.org/?mlat=%.6f&mlon=%.6f#map=19/%.6f/%.6f', lat, lon, lat, lon) AS osm FROM points", POINTS),
         "component_texture": _recursive("SELECT * FROM texture", TEXTURE),
+        "thumb_boxes": _recursive("SELECT frag, greatest(0, min_px - 6)::BIGINT AS x0, greatest(0, min_py - 6)::BIGINT AS y0, least(120, least(256, max_px + 7) - greatest(0, min_px - 6))::BIGINT AS width, least(120, least(256, max_py + 7) - greatest(0, min_py - 6))::BIGINT AS height FROM frags", FRAGMENTS),
         "fragments": _recursive("SELECT frag, pixels, round(area, 4) AS area, round(lon, 8) AS lon, round(lat, 8) AS lat, fill, texture, strict, n, e, s, w FROM frags", FRAGMENTS),
         "merge_pairs": _recursive("SELECT * FROM pairs", PAIRS),
         "merged_detections": _recursive("SELECT * FROM merged", MERGED),

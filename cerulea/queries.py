@@ -143,6 +143,16 @@ def fragments(spark, sf_dir):
     return _fragments(spark, sf_dir).select("frag", "pixels", F.round("area", 4).alias("area"), F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"), "fill", "texture", "strict", "n", "e", "s", "w")
 
 
+def thumb_boxes(spark, sf_dir):
+    return detect.crop_boxes(_fragments(spark, sf_dir)).select("frag", "x0", "y0", "width", "height")
+
+
+def thumb_images(spark, sf_dir):
+    """The picture of each fragment: its size in bytes and its digest."""
+    images = exports.thumbnails(_fragments(spark, sf_dir), scene.supplier_pixels(spark, sf_dir))
+    return images.select("frag", F.length("png").cast("long").alias("bytes"), F.sha2("png", 256).alias("sha256"))
+
+
 def merge_pairs(spark, sf_dir):
     return detect.merge_pairs(_fragments(spark, sf_dir))
 
@@ -326,5 +336,5 @@ def fmt_links(spark, sf_dir):
     return geo_tile_of(spark, sf_dir).select("event_id", url.alias("url"), text.duration_label(F.col("event_id")).alias("duration"))
 
 
-QUERIES = {f.__name__: f for f in (geo_world_px, geo_tile_of, geo_tile_bbox, geo_mpp, geo_px_to_lonlat, geo_tile_histogram, point_in_ring, bbox_expand, ring_area, plan_cover, plan_serpentine, plan_spiral, plan_estimate, scene_pixels, px_hsv, px_water_mask, px_strict_ratio, components, component_stats, component_texture, fragments, merge_pairs, merged_detections, open_water, rank_all, rank_visible, top_k, csv_rows, event_log_latest, coverage_stats, fmt_links, boundary_sides, outline_rings, truncation, geojson_rows, aoi_bbox, aoi_permalink, segments_intersect, fmt_area, fmt_map_links, scan_detections, scan_ranking, scan_totals, scan_stats, plan_estimates, plan_grid, area_rectangles, fmt_labels, cache_keys, color_confidence)}
+QUERIES = {f.__name__: f for f in (geo_world_px, geo_tile_of, geo_tile_bbox, geo_mpp, geo_px_to_lonlat, geo_tile_histogram, point_in_ring, bbox_expand, ring_area, plan_cover, plan_serpentine, plan_spiral, plan_estimate, scene_pixels, px_hsv, px_water_mask, px_strict_ratio, components, component_stats, component_texture, fragments, merge_pairs, merged_detections, open_water, rank_all, rank_visible, top_k, csv_rows, event_log_latest, coverage_stats, fmt_links, boundary_sides, outline_rings, truncation, geojson_rows, aoi_bbox, aoi_permalink, segments_intersect, fmt_area, fmt_map_links, scan_detections, scan_ranking, scan_totals, scan_stats, plan_estimates, plan_grid, area_rectangles, fmt_labels, cache_keys, color_confidence, thumb_boxes, thumb_images)}
 QUERIES |= {f"mask_{op.__name__}": partial(_per_tile, op) for op in (raster.erode, raster.dilate, raster.clean)}

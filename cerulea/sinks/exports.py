@@ -11,8 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cerulea.functions import geo
 from cerulea.functions.text import CSV_HEADER, csv_line, fixed, google_link
-from cerulea.operators.raster import BACKGROUND, SIDE, TILE_KEY
+from cerulea.operators.detect import ZOOM, crop_boxes
+from cerulea.operators.ordering import numbered
+from cerulea.operators.raster import BACKGROUND, SIDE, TILE_KEY, key_of
 
 
 def closed(ring) -> Column:
@@ -65,10 +68,15 @@ def png(rgb: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
-def _drawn(tile: pa.Table) -> pa.Table:
+def _painted(tile: pa.Table) -> np.ndarray:
     image = np.empty((SIDE, SIDE, 3), np.uint8)
     image[:] = BACKGROUND
     image[tile["py"].to_numpy(), tile["px"].to_numpy()] = np.stack([tile[c].to_numpy() for c in "rgb"], 1)
+    return image
+
+
+def _drawn(tile: pa.Table) -> pa.Table:
+    image = _painted(tile)
     return pa.table([pa.array([tile[c][0].as_py()], pa.int32()) for c in TILE_KEY] + [pa.array([png(image)], pa.binary())], names=[*TILE_KEY, "png"])
 
 
@@ -76,3 +84,52 @@ def tile_images(pixels: DataFrame) -> DataFrame:
     """(tx, ty, png) of tiles of at most 65,536 pixels (px, py, r, g, b); the rest is background."""
     rows = pixels.select(*[F.col(c).cast("int").alias(c) for c in (*TILE_KEY, "px", "py", "r", "g", "b")])
     return rows.groupBy(*TILE_KEY).applyInArrow(_drawn, "tx int, ty int, png binary")
+
+
+def _cropped(tile: pa.Table, crops: pa.Table) -> pa.Table:
+    image, rows = _painted(tile), crops.to_pylist()
+    shown = [png(image[c["y0"] : c["y0"] + c["height"], c["x0"] : c["x0"] + c["width"]]) for c in rows]
+    return pa.table([pa.array([c["frag"] for c in rows], pa.string()), pa.array(shown, pa.binary())], names=["frag", "png"])
+
+
+def thumbnails(frags: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(frag, png): a picture of each fragment. Pixels and fragments of a tile meet in one task; a tile has 65,536 pixels at most. Pixels that are not given are background."""
+    key = key_of(frags)
+    rows = pixels.select(*key, *[F.col(c).cast("int").alias(c) for c in ("px", "py", "r", "g", "b")])
+    return rows.groupBy(*key).cogroup(crop_boxes(frags).groupBy(*key)).applyInArrow(_cropped, "frag string, png binary")
+
+
+def with_thumbnails(found: DataFrame, thumbs: DataFrame) -> DataFrame:
+    """Detections with the picture of their main fragment; null where there is none."""
+    return found.join(thumbs.withColumnRenamed("frag", "main"), "main", "left")
+
+
+def _feature(geometry: Column, facts: Column) -> Column:
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), facts.alias("properties")))
+
+
+def tile_features(tiles: DataFrame, zoom: int = ZOOM) -> DataFrame:
+    """(rank, line): the square of each tile (tx, ty, perhaps scan and z) as a GeoJSON feature, for the grid of a plan or the area that was scanned. Without z all are of ``zoom``."""
+    key = key_of(tiles)
+    box = geo.tile_bounds(F.col("tx"), F.col("ty"), F.col("z") if "z" in key else F.lit(zoom))
+    corners = [F.array(box[x], box[y]) for x, y in (("west", "north"), ("east", "north"), ("east", "south"), ("west", "south"), ("west", "north"))]
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*corners)).alias("coordinates"))
+    rows = numbered(tiles.select(*key).distinct(), [F.col(c) for c in key], "rank", 1)
+    return rows.select("rank", _feature(shape, F.struct(*key)).alias("line"))
+
+
+#: Fixed value: how many markers a map shows.
+MARKERS = 250
+
+
+def markers(ranked: DataFrame, most: int = MARKERS) -> DataFrame:
+    """(rank, line): the first ``most`` of a ranking as GeoJSON points."""
+    shape = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    facts = F.struct(F.col("cluster").alias("id"), "rank", "kind", "area", "confidence")
+    return ranked.where(F.col("rank") <= most).select("rank", _feature(shape, facts).alias("line"))
+
+
+def area_feature(ring) -> Column:
+    """A ring as a GeoJSON feature; null for a null ring."""
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(closed(ring), lambda p: F.array(p["lon"], p["lat"]))).alias("coordinates"))
+    return F.when(ring.isNotNull(), F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.create_map().cast("map<string,string>").alias("properties"))))

@@ -6,7 +6,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from cerulea.operators import outline, raster
+from cerulea.operators import detect, outline, raster
 from cerulea.sinks import archive, exports
 from cerulea.sources import area
 from cerulea.sources.images import image_pixels
@@ -141,6 +141,31 @@ def test_geojson_and_csv_files(spark, tmp_path):
     assert lines[0].startswith("rank,id") and len(lines) == 31 and lines[30].startswith("30,c29,pool,37.000000,21.000000,71.0,")
 
 
+def test_thumbnails_and_map_features(spark, tmp_path):
+    frags = spark.createDataFrame([("a", 5, 6, 10, 20, 12, 21), ("b", 5, 6, 0, 0, 255, 255), ("c", 5, 6, 250, 3, 255, 4), ("d", 9, 9, 1, 1, 2, 2)], "frag string, tx int, ty int, min_px int, min_py int, max_px int, max_py int")
+    boxes = {r.frag: (r.x0, r.y0, r.width, r.height) for r in detect.crop_boxes(frags).collect()}
+    assert boxes == {"a": (4, 14, 15, 14), "b": (0, 0, 120, 120), "c": (244, 0, 12, 11), "d": (0, 0, 9, 9)}
+    pixels = spark.createDataFrame([(5, 6, 10, 20, 1, 2, 3), (7, 7, 0, 0, 1, 2, 3)], "tx int, ty int, px int, py int, r int, g int, b int")
+    thumbs = exports.thumbnails(frags, pixels)
+    shown = {r.frag: r.png for r in thumbs.collect()}
+    assert {k: tuple(int.from_bytes(v[n : n + 4], "big") for n in (16, 20)) for k, v in shown.items()} == {k: v[2:] for k, v in boxes.items()}
+    image = np.full((14, 15, 3), raster.BACKGROUND, np.uint8)
+    image[6, 6] = 1, 2, 3
+    assert shown["a"] == exports.png(image)
+    found = spark.createDataFrame([("a",), ("z",)], "main string")
+    assert {r.main: r.png is None for r in exports.with_thumbnails(found, thumbs).collect()} == {"a": False, "z": True}
+    assert exports.thumbnails(frags.limit(0), pixels).count() == 0
+    tiles = spark.createDataFrame([(1, 0), (0, 0), (1, 0)], "tx int, ty int")
+    exports.write_geojson(exports.tile_features(tiles, 1), str(tmp_path / "t"))
+    grid = json.loads("".join(p.read_text() for p in sorted((tmp_path / "t").glob("part-*"))))["features"]
+    assert [f["properties"] for f in grid] == [{"tx": 0, "ty": 0}, {"tx": 1, "ty": 0}]
+    assert np.allclose(grid[0]["geometry"]["coordinates"], [[(-180, 85.0511288), (0, 85.0511288), (0, 0), (-180, 0), (-180, 85.0511288)]], atol=1e-6)
+    assert [json.loads(r.line)["geometry"]["coordinates"] for r in exports.markers(ranked(spark), 2).orderBy("rank").collect()] == [[-8, 37], [-7, 37]]
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in ((0, 0), (1, 0), (1, 1))])
+    row = spark.range(1).select(exports.area_feature(ring), exports.area_feature(F.lit(None).cast("array<struct<lon:double,lat:double>>"))).first()
+    assert json.loads(row[0])["geometry"]["coordinates"] == [[[0, 0], [1, 0], [1, 1], [0, 0]]] and row[1] is None
+
+
 def test_archive(spark, tmp_path):
     folder = str(tmp_path)
     for at, scan in enumerate(("a", "b", "a", "c")):
