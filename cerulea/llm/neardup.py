@@ -27,6 +27,8 @@ PERCENT = 75
 LEAST_AGREEMENT = 0.4
 #: Documents, and shingles, of a block; a longer text is a block of its own.
 TILE_ROWS, TILE_SHINGLES = 256, 1 << 19
+#: Up to so many linked documents, 64 bits of each one's key are sent to every task (about 200 MB at most), so that other texts are not exchanged.
+BROADCAST_NODES = 2_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -196,8 +198,15 @@ def _shingled(words: int):
 
 
 def shingles_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): the whole set of each node of ``nodes`` (node, own), sorted; read from one row with that key."""
-    texts = docs.select(row_key().alias("own"), "text").join(nodes, "own").select("node", "text").dropDuplicates(["node"])
+    """(node, shingles): the whole set of each node of ``nodes`` (node, own), a stored table, sorted; read from one row with that key.
+
+    Beyond ``BROADCAST_NODES`` nodes all texts are exchanged by key once; the result is the same.
+    """
+    texts = docs.select(row_key().alias("own"), "text")
+    if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+        few = F.broadcast(nodes.select(F.xxhash64("own").alias("key")))
+        texts = texts.withColumn("key", F.xxhash64("own")).join(few, "key", "left_semi").drop("key")
+    texts = texts.join(nodes, "own").select("node", "text").dropDuplicates(["node"])
     return texts.mapInArrow(_shingled(words), "node long, shingles array<bigint>")
 
 

@@ -162,6 +162,16 @@ def brute_components(texts):
     return sets, root
 
 
+def test_sets_are_alike_with_and_without_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"a b c d e f {k % 3}") for k in range(9)] + [(None, "a b c d e f 0"), (4, None)], "doc_id long, text string")
+    nodes = docs.where("text is not null").select(neardup.row_key().alias("own"), F.coalesce("doc_id", F.lit(99)).alias("node")).where("node < 4 or node = 99")
+    found = []
+    for most in (neardup.BROADCAST_NODES, 2):
+        monkeypatch.setattr(neardup, "BROADCAST_NODES", most)
+        found.append(sorted(map(tuple, neardup.shingles_of(docs, nodes, 5).collect())))
+    assert found[0] == found[1] and [n for n, _ in found[0]] == [0, 1, 2, 3, 99] and all(len(x) == 3 for _, x in found[0])
+
+
 def test_near_duplicates_against_brute_force(spark, odd, none):
     rng, texts = random.Random(2), {}
     for i in range(160):
