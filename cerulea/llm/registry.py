@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: A module adds its functions named op*, and the SQL in its ORACLE_SQL where SQL can express them.
-_MODULES = ("mixing", "licenses", "topk", "pii", "quality", "neardup", "langid", "decontam", "linededup", "sharding")
+_MODULES = ("mixing", "licenses", "topk", "pii", "quality", "neardup", "langid", "decontam", "linededup", "sharding", "whitening", "resampling", "substrings")
 
 
 def queries() -> dict:
