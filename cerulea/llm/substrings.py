@@ -11,12 +11,12 @@ deep node, whose first place is a minimum that Spark combines before the shuffle
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +28,8 @@ WORDS = 20
 GROUP_ROWS, HOT = 20_000, 1_000
 #: Rows up to which a table of keys is sent to every task; larger ones are joined by a shuffle. Numbers alone take less room.
 BROADCAST_ROWS, BROADCAST_NUMBERS = 500_000, 2_000_000
-BLOCK_CHARS = 1 << 20
+#: Bytes of whole texts that a kernel takes at once; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 18
 
 _COEFFICIENTS = np.random.default_rng(23).integers(1, 2**63, 1 << 10, dtype=np.uint64) | np.uint64(1)
 
@@ -75,9 +76,11 @@ def runs(of: np.ndarray, h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndar
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
-    texts = batch.column("text").to_pylist()
-    for lo, hi in text_blocks(texts, BLOCK_CHARS):
-        yield lo, hi, [b" ".join((t or "").encode("utf-8", "surrogatepass").split()) for t in texts[lo:hi]]
+    column = batch.column("text").cast(pa.binary())
+    block = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1) // BLOCK_BYTES
+    edges = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), batch.num_rows]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        yield lo, hi, [b" ".join((t or b"").split()) for t in column[lo:hi].to_pylist()]
 
 
 def _anchors(words: int):
@@ -157,7 +160,7 @@ def _deep_nodes(words: int):
         """The words of a group's segments that a window covers which stands earlier; first and last word of each stretch."""
         ids, own, n = rows["doc_id"].to_pylist(), rows["own"].to_pylist(), rows["n"].to_numpy().astype(np.int64)
         text, start = rows["words"].to_pylist(), rows["start"].to_numpy().astype(np.int64)
-        token = np.concatenate([word_hashes(text[lo:hi])[4] for lo, hi in text_blocks(text, BLOCK_CHARS)])
+        token = np.concatenate([word_hashes(text[lo:hi])[4] for lo, hi in text_blocks(text, BLOCK_BYTES)])
         number = {key: k for k, key in enumerate(sorted({(i is None, i or 0, o) for i, o in zip(ids, own, strict=True)}))}
         doc = np.array([number[i is None, i or 0, o] for i, o in zip(ids, own, strict=True)])
         size = n + words - 1
@@ -179,23 +182,12 @@ def _deep_nodes(words: int):
     return spans
 
 
-def _windows(words: int):
-    """(node, doc_id, own, start): every window of the segments, by the MD5 of its words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                text = batch.column("words")[k].as_py()
-                gap = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
-                begin, end = np.concatenate([[0], gap + 1]), np.append(gap, len(text))
-                n = len(begin) - words + 1
-                for low in range(0, n, 1 << 16):
-                    some = range(low, min(n, low + (1 << 16)))
-                    nodes = [hashlib.md5(text[begin[i] : end[i + words - 1]]).digest() for i in some]
-                    at = pa.array(np.full(len(some), k))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column("doc_id").take(at), batch.column("own").take(at), pa.array((batch.column("start")[k].as_py() + np.array(some)).astype(np.int32))], names=["node", "doc_id", "own", "start"])
-
-    return run
+def windows(found: DataFrame, words: int) -> DataFrame:
+    """(node, doc_id, own, start): every window of segments (doc_id, own, start, words), by the MD5 of its words."""
+    split = found.select("doc_id", "own", "start", F.split(F.col("words").cast("string"), " ").alias("w"))
+    nodes = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.unhex(F.md5(F.array_join(F.slice("w", i + 1, words), " ").cast("binary"))))
+    each = split.select("doc_id", "own", "start", F.posexplode(nodes).alias("k", "node"))
+    return each.select("node", "doc_id", "own", (F.col("start") + F.col("k")).alias("start"))
 
 
 def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -211,7 +203,7 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     hot = repeated.where(F.col("m") > HOT)
     if hot.isEmpty():
         return shallow
-    leaves = stored(segments(docs, hot, words).select("doc_id", "own", "start", "words").mapInArrow(_windows(words), "node binary, doc_id long, own binary, start int"), "windows")  # read twice
+    leaves = stored(windows(segments(docs, hot, words), words), "windows")  # read twice
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "own", "start")
     nodes = stored(leaves.groupBy("node").agg(F.min(place).alias("head"), F.count("*").alias("m")).where("m > 1").select("node", "head"), "deep-nodes")
     if nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
