@@ -90,10 +90,8 @@ def segments_meet(a, b, c, d) -> Column:
     return ((t[0] != t[1]) & (t[2] != t[3])) | touching[0] | touching[1] | touching[2] | touching[3]
 
 
-def box_meets_ring(box: dict[str, Column], ring: list[tuple[float, float]]) -> Column:
-    """Whether a box touches the area of a ring: some side, clipped to the box, is not empty, or the box lies inside as a whole, so that one corner tells."""
-    ends = [dict(zip(("x", "y", "dx", "dy"), map(float, (x1, y1, x2 - x1, y2 - y1)), strict=True)) for x1, y1, x2, y2 in edges(ring)]
-    sides = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in end.items()]) for end in ends])
+def side_meets(side: Column, box: dict[str, Column]) -> Column:
+    """Whether a side, a struct of its start (x, y) and its way (dx, dy), has a point in a box: clipped to the box, it is not empty."""
 
     def span(start, step, low, high) -> tuple[Column, Column]:
         """From which part of a side to which it lies between two parallels; from 1 to 0 if nowhere."""
@@ -101,11 +99,37 @@ def box_meets_ring(box: dict[str, Column], ring: list[tuple[float, float]]) -> C
         level, within = step == 0, start.between(low, high)
         return F.when(level, F.when(within, 0.0).otherwise(1.0)).otherwise(F.least(p, q)), F.when(level, F.when(within, 1.0).otherwise(0.0)).otherwise(F.greatest(p, q))
 
-    def clipped(side) -> Column:
-        across, up = span(side["x"], side["dx"], box["west"], box["east"]), span(side["y"], side["dy"], box["south"], box["north"])
-        return F.greatest(F.lit(0.0), across[0], up[0]) <= F.least(F.lit(1.0), across[1], up[1])
+    across, up = span(side["x"], side["dx"], box["west"], box["east"]), span(side["y"], side["dy"], box["south"], box["north"])
+    return F.greatest(F.lit(0.0), across[0], up[0]) <= F.least(F.lit(1.0), across[1], up[1])
+
+
+def box_meets_ring(box: dict[str, Column], ring: list[tuple[float, float]]) -> Column:
+    """Whether a box touches the area of a ring: some side, clipped to the box, is not empty, or the box lies inside as a whole, so that one corner tells."""
+    ends = [dict(zip(("x", "y", "dx", "dy"), map(float, (x1, y1, x2 - x1, y2 - y1)), strict=True)) for x1, y1, x2, y2 in edges(ring)]
+    sides = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in end.items()]) for end in ends])
+    return F.exists(sides, lambda side: side_meets(side, box)) | in_ring(box["west"], box["south"], ring)
+
+
+def sides_of(ring: str) -> Column:
+    """The sides of an array column of (lon, lat), open or closed, as structs of start and way; a side without length is left out."""
+    other = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    sides = F.zip_with(ring, other, lambda p, q: F.struct(p["lon"].alias("x"), p["lat"].alias("y"), (q["lon"] - p["lon"]).alias("dx"), (q["lat"] - p["lat"]).alias("dy")))
+    return F.filter(sides, lambda s: (s["dx"] != 0) | (s["dy"] != 0))
+
+
+def crosses_level(side: Column, lat) -> Column:
+    """Whether a side has its ends on different sides of a parallel, the upper end being outside."""
+    return (side["y"] > lat) != (side["y"] + side["dy"] > lat)
+
+
+def lon_at(side: Column, lat) -> Column:
+    """Where a side that crosses a parallel does so."""
+    return side["x"] + side["dx"] * ((lat - side["y"]) / F.when(side["dy"] != 0, side["dy"]))
+
 
-    return F.exists(sides, clipped) | in_ring(box["west"], box["south"], ring)
+def in_sides(lon, lat, sides) -> Column:
+    """Even-odd rule for the sides of a ring in an array column."""
+    return F.size(F.filter(sides, lambda s: crosses_level(s, lat) & (lon < lon_at(s, lat)))) % 2 == 1
 
 
 def ring_area(ring: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from cerulea.functions.geo import CIRCUMFERENCE, MAX_LATITUDE
 from cerulea.functions.text import GOOGLE
 from cerulea.operators.detect import Limits
-from cerulea.queries import ESTIMATE_ZOOMS, PLAN_ZOOM, RING, ZOOMS
+from cerulea.queries import AREA_WAYS, AREA_ZOOM, ESTIMATE_ZOOMS, PLAN_ZOOM, RING, ZOOMS
 from cerulea.sources.area import PLACES
 from cerulea.sources.scene import COLOURS, LAKE, TILE_X, TILE_Y
 
@@ -170,21 +170,61 @@ def _within(p: str, q: str, r: str) -> str:
     return f"x{r} BETWEEN least(x{p}, x{q}) AND greatest(x{p}, x{q}) AND y{r} BETWEEN least(y{p}, y{q}) AND greatest(y{p}, y{q})"
 
 
+def _span(start: str, way: str, low: str, high: str) -> tuple[str, str]:
+    """From which part of a side to which it lies between two parallels."""
+    p, q = f"(({low}) - {start}) / {way}", f"(({high}) - {start}) / {way}"
+    within = f"{start} BETWEEN {low} AND {high}"
+    return f"CASE WHEN {way} = 0 THEN CASE WHEN {within} THEN 0 ELSE 1 END ELSE least({p}, {q}) END", f"CASE WHEN {way} = 0 THEN CASE WHEN {within} THEN 1 ELSE 0 END ELSE greatest({p}, {q}) END"
+
+
+def _clipped(west: str, south: str, east: str, north: str) -> str:
+    """Whether the side (x, y, dx, dy) has a point in a box."""
+    across, up = _span("x", "dx", west, east), _span("y", "dy", south, north)
+    return f"greatest(0.0::DOUBLE, {across[0]}, {up[0]}) <= least(1.0::DOUBLE, {across[1]}, {up[1]})"
+
+
+def _crossing(lon: str, lat: str) -> str:
+    """Whether a ray to the east from a point crosses the side (x, y, dx, dy)."""
+    return f"(y > {lat}) <> (y + dy > {lat}) AND {lon} < x + dx * (({lat} - y) / nullif(dy, 0))"
+
+
 def _cover(z: int = PLAN_ZOOM) -> str:
+    """A tile counts if some side, clipped to it, is not empty, or if one of its corners, and so all of it, is inside."""
     lon, lat = [p[0] for p in RING], [p[1] for p in RING]
     span = lambda w, a, b: f"unnest(range({_tile(w(f'({a}::DOUBLE)', z), z)}, {_tile(w(f'({b}::DOUBLE)', z), z)} + 1))::INT"
-    corners = [("w", "s"), ("e", "s"), ("e", "n"), ("w", "n")]
-    rims = " UNION ALL ".join(f"SELECT tx, ty, {corners[k - 1][0]} AS xa, {corners[k - 1][1]} AS ya, {corners[k][0]} AS xb, {corners[k][1]} AS yb FROM bounds" for k in range(4))
-    ring = ", ".join("(" + ", ".join(f"{v}::DOUBLE" for v in e) + ")" for e in _edges())
-    inside = " OR ".join(_inside(x, y) for x, y in [("((w + e) / 2)", "((s + n) / 2)"), *corners])
+    ring = ", ".join(f"({x1}::DOUBLE, {y1}::DOUBLE, {x2 - x1}::DOUBLE, {y2 - y1}::DOUBLE)" for x1, y1, x2, y2 in _edges())
     return f"""cand AS (SELECT tx, ty FROM (SELECT {span(_wx, min(lon), max(lon))} AS tx) CROSS JOIN (SELECT {span(_wy, max(lat), min(lat))} AS ty)),
   bounds AS (SELECT tx, ty, {_lon("(tx * 256)", z)} AS w, {_lat("((ty + 1) * 256)", z)} AS s, {_lon("((tx + 1) * 256)", z)} AS e, {_lat("(ty * 256)", z)} AS n FROM cand),
-  ring(xc, yc, xd, yd) AS (VALUES {ring}), rims AS ({rims}),
-  turns AS (SELECT *, {_turn("a", "b", "c")} AS t1, {_turn("a", "b", "d")} AS t2, {_turn("c", "d", "a")} AS t3, {_turn("c", "d", "b")} AS t4 FROM rims CROSS JOIN ring),
-  crossed AS (SELECT DISTINCT tx, ty FROM turns WHERE (t1 <> t2 AND t3 <> t4) OR (t1 = 0 AND {_within("a", "b", "c")}) OR (t2 = 0 AND {_within("a", "b", "d")}) OR (t3 = 0 AND {_within("c", "d", "a")}) OR (t4 = 0 AND {_within("c", "d", "b")})),
-  held AS (SELECT DISTINCT tx, ty FROM bounds JOIN ring ON xc BETWEEN w AND e AND yc BETWEEN s AND n),
-  cover AS (SELECT tx, ty FROM bounds WHERE NOT (w > {max(lon)} OR e < {min(lon)} OR s > {max(lat)} OR n < {min(lat)})
-    AND ({inside} OR (tx, ty) IN (SELECT (tx, ty) FROM held) OR (tx, ty) IN (SELECT (tx, ty) FROM crossed)))"""
+  ring(x, y, dx, dy) AS (VALUES {ring}),
+  cover AS (SELECT tx, ty FROM bounds CROSS JOIN ring GROUP BY tx, ty HAVING bool_or({_clipped("w", "s", "e", "n")}) OR count(*) FILTER ({_crossing("w", "s")}) % 2 = 1)"""
+
+
+def _corner(i: int, c: int) -> str:
+    size, centre = "CASE WHEN c_custkey % 97 = 0 THEN 0.01::DOUBLE ELSE 0.0005::DOUBLE END", ("(-8.5 + 0.9 * ((c_custkey * 7919) % 1009)::DOUBLE / 1009)", "(36.9 + 0.4 * ((c_custkey * 104729) % 1013)::DOUBLE / 1013)")[c]
+    return f"({centre} + {AREA_WAYS[i][c]} * ((c_custkey * {i + 3}) % 5 + 1) * {size})"
+
+
+CORNERS = "corners AS (SELECT c_custkey AS area, unnest([" + ", ".join(f"{{'i': {i}, 'x': {_corner(i, 0)}, 'y': {_corner(i, 1)}}}" for i in range(len(AREA_WAYS))) + "], recursive := true) FROM customer)"
+SIDES = f"{CORNERS}, sides AS (SELECT p.area, p.i, p.x, p.y, q.x - p.x AS dx, q.y - p.y AS dy FROM corners p JOIN corners q ON q.area = p.area AND q.i = (p.i + 1) % {len(AREA_WAYS)} WHERE q.x <> p.x OR q.y <> p.y)"
+
+
+def _areas(z: int, at_most: int = 0) -> str:
+    """cover (area, tx, ty) of the rings, and boxed (area, tiles of its box); those of larger boxes than ``at_most``, if given, are not covered."""
+    at = lambda w, f, c: f"{_tile(w(f'{f}({c})', z), z)}"
+    few = f" WHERE boxed <= {at_most}" if at_most else ""
+    return f"""{SIDES}, frames AS (SELECT area, {at(_wx, "min", "x")} AS x0, {at(_wx, "max", "x")} AS x1, {at(_wy, "max", "y")} AS y0, {at(_wy, "min", "y")} AS y1 FROM corners GROUP BY 1),
+  boxed AS (SELECT *, (x1 - x0 + 1)::BIGINT * (y1 - y0 + 1) AS boxed FROM frames),
+  cand AS (SELECT area, tx, unnest(range(y0, y1 + 1))::INT AS ty FROM (SELECT *, unnest(range(x0, x1 + 1))::INT AS tx FROM boxed{few})),
+  bounds AS (SELECT area, tx, ty, {_lon("(tx * 256)", z)} AS w, {_lat("((ty + 1) * 256)", z)} AS s, {_lon("((tx + 1) * 256)", z)} AS e, {_lat("(ty * 256)", z)} AS n FROM cand),
+  cover AS (SELECT area, tx, ty FROM bounds JOIN sides USING (area) GROUP BY ALL HAVING bool_or({_clipped("w", "s", "e", "n")}) OR count(*) FILTER ({_crossing("w", "s")}) % 2 = 1)"""
+
+
+def _hilbert(z: int) -> str:
+    """A recursive walk down the bits of the tile numbers, from the highest, in the frame of each quarter of the curve."""
+    return f"""curve(area, tx, ty, x, y, d, k) AS (SELECT area, tx, ty, tx::BIGINT, ty::BIGINT, 0::BIGINT, {z - 1} FROM cover UNION ALL
+    SELECT area, tx, ty, CASE WHEN b = 1 THEN u WHEN a = 1 THEN s - 1 - v ELSE v END, CASE WHEN b = 1 THEN v WHEN a = 1 THEN s - 1 - u ELSE u END, d * 4 + CASE WHEN a = 1 THEN 3 - b ELSE b END, k - 1
+    FROM (SELECT *, x // s AS a, y // s AS b, x % s AS u, y % s AS v FROM (SELECT *, 1::BIGINT << k AS s FROM curve WHERE k >= 0))),
+  hilbert AS (SELECT area, tx, ty, row_number() OVER (PARTITION BY area ORDER BY d) - 1 AS hilbert FROM curve WHERE k = -1)"""
 
 
 def _bare(name: str, dx: int, dy: int) -> str:
@@ -218,6 +258,23 @@ def _rectangle(lon: str, lat: str) -> str:
 _DEMO = ", ".join(f"('{n}', {lat}::DOUBLE, {lon}::DOUBLE)" for n, lat, lon in PLACES)
 
 
+def _diff(rounds: int = 10) -> str:
+    """Mutual nearest pairs, round after round; at sf0.01 none is left after the last."""
+    place = "-8.03 + 0.01 * ((event_id * 7919) % 1009)::DOUBLE / 1009", "37.07 + 0.04 * ((event_id * 104729) % 1013)::DOUBLE / 1013"
+    across = "(y.lon - x.lon) * 111320.0::DOUBLE * cos(radians((x.lat + y.lat) / 2))"
+    steps = [
+        f"old AS (SELECT event_id AS a, {place[0]} AS lon, {place[1]} AS lat FROM events WHERE event_id % 5 <> 0)",
+        f"new AS (SELECT event_id + 1000000 AS b, {place[0]} + ((event_id * 31) % 13 - 6) * 0.000004::DOUBLE AS lon, {place[1]} + ((event_id * 17) % 11 - 5) * 0.000004::DOUBLE AS lat FROM events WHERE event_id % 7 <> 0)",
+        f"p0 AS MATERIALIZED (SELECT a, b, m FROM (SELECT a, b, round(sqrt(({across}) * ({across}) + pow((y.lat - x.lat) * 111320, 2)), 6) AS m FROM old x JOIN new y ON y.lat BETWEEN x.lat - 0.00005 AND x.lat + 0.00005 AND abs(x.lon - y.lon) < 0.0001) WHERE m < 5)",
+    ]
+    for k in range(rounds):
+        steps += [
+            f"m{k} AS MATERIALIZED (SELECT a, b, m FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY m, b) AS na, row_number() OVER (PARTITION BY b ORDER BY m, a) AS nb FROM p{k}) WHERE na = 1 AND nb = 1)",
+            f"p{k + 1} AS MATERIALIZED (SELECT * FROM p{k} WHERE a NOT IN (SELECT a FROM m{k}) AND b NOT IN (SELECT b FROM m{k}))",
+        ]
+    return ", ".join(steps) + ", met AS (" + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(rounds)) + ")"
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "scan_detections": _recursive("SELECT cluster, pixels, area, parts, tiles, confidence, kind, truncated, open_water, shown, west, south, east, north FROM merged JOIN boxes USING (cluster)", LAKE_BOXES),
@@ -232,6 +289,30 @@ def oracle_sql() -> dict[str, str]:
             MASK.replace(PIXELS, f"{LAKE_PIXELS}, {SCANNED}"),
         ),
         "plan_estimates": " UNION ALL ".join(f"(WITH {_cover(z)} {_estimate(z)})" for z in ESTIMATE_ZOOMS),
+        "areas_cover": _map("SELECT * FROM cover", _areas(AREA_ZOOM)),
+        "areas_estimate": _map("SELECT area, count(*) AS tiles, false AS approximate FROM cover GROUP BY 1 UNION ALL SELECT area, boxed, true FROM boxed WHERE boxed > 50000", _areas(AREA_ZOOM + 2, 50_000)),
+        "areas_orders": _recursive(
+            """SELECT area, tx, ty, row_number() OVER (PARTITION BY area ORDER BY ty, CASE WHEN (ty - y0) % 2 = 0 THEN tx ELSE -tx END) - 1 AS serpentine,
+  row_number() OVER (PARTITION BY area ORDER BY r, side, CASE side WHEN 0 THEN dx WHEN 1 THEN dy WHEN 2 THEN -dx ELSE -dy END) - 1 AS spiral, hilbert FROM sided JOIN hilbert USING (area, tx, ty)""",
+            f"{_areas(AREA_ZOOM)}, {_hilbert(AREA_ZOOM)}, mids AS (SELECT area, min(ty) AS y0, floor((min(tx) + max(tx)) / 2 + 0.5)::INT AS mx, floor((min(ty) + max(ty)) / 2 + 0.5)::INT AS my FROM cover GROUP BY 1), "
+            "moved AS (SELECT *, tx - mx AS dx, ty - my AS dy, greatest(abs(tx - mx), abs(ty - my)) AS r FROM cover JOIN mids USING (area)), "
+            "sided AS (SELECT *, CASE WHEN dy = -r THEN 0 WHEN dx = r THEN 1 WHEN dy = r THEN 2 ELSE 3 END AS side FROM moved)",
+        ),
+        "areas_points": _map(
+            f"SELECT area, count(*) AS n FROM (SELECT area, event_id FROM frames JOIN sides USING (area) JOIN pts ON lon BETWEEN w AND e AND lat BETWEEN s AND n GROUP BY ALL HAVING count(*) FILTER ({_crossing('lon', 'lat')}) % 2 = 1) GROUP BY 1",
+            f"{SIDES}, frames AS (SELECT area, min(x) AS w, max(x) AS e, min(y) AS s, max(y) AS n FROM corners GROUP BY 1)",
+            "pts AS (SELECT event_id, -8.5 + 0.9 * ((event_id * 15485863) % 100003)::DOUBLE / 100003 AS lon, 36.9 + 0.4 * ((event_id * 32452843) % 100019)::DOUBLE / 100019 AS lat FROM events)",
+        ),
+        "scan_diff": f"WITH {_diff()} SELECT CASE WHEN b IS NULL THEN 'removed' ELSE 'unchanged' END AS op, a AS before, b AS after, round(m, 3) AS metres FROM old LEFT JOIN met USING (a) UNION ALL SELECT 'added', NULL, b, NULL FROM new WHERE b NOT IN (SELECT b FROM met)",
+        "dated_imagery": """WITH o AS (SELECT o_orderkey AS id, o_custkey % 50 AS tx, o_custkey % 3 AS ty, floor(epoch(o_orderdate))::BIGINT AS taken FROM orders),
+  r AS (SELECT tx, ty, taken, max(id) AS release FROM o WHERE id % 10 = 0 GROUP BY 1, 2, 3)
+SELECT s.id, s.tx, s.ty, s.taken, r.release, r.taken AS released_at FROM (SELECT * FROM o WHERE id % 10 <> 0) s ASOF LEFT JOIN r ON s.tx = r.tx AND s.ty = r.ty AND s.taken >= r.taken""",
+        "ring_bbox": _map("SELECT area, round(min(x), 9) AS west, round(min(y), 9) AS south, round(max(x), 9) AS east, round(max(y), 9) AS north FROM corners GROUP BY 1", CORNERS),
+        "bbox_intersects_ring": _map(
+            f"SELECT area, bool_or({_clipped('w', 's', 'e', 'n')}) OR count(*) FILTER ({_crossing('w', 's')}) % 2 = 1 AS meets FROM boxes JOIN sides USING (area) GROUP BY 1",
+            SIDES,
+            "boxes AS (SELECT area, x + (area % 7 - 3)::DOUBLE * 0.0007 AS w, y - (area % 7 - 3)::DOUBLE * 0.0007 AS s, x + (area % 7 - 3)::DOUBLE * 0.0007 + (area % 3 + 1)::DOUBLE * 0.0004 AS e, y - (area % 7 - 3)::DOUBLE * 0.0007 + (area % 3 + 1)::DOUBLE * 0.0004 AS n FROM corners WHERE i = 0)",
+        ),
         "plan_grid": _map(
             f"SELECT event_id, ({_tile(_wx('lon', 14), 14)} + dx)::INT AS tx, ({_tile(_wy('lat', 14), 14)} + dy)::INT AS ty FROM points, (SELECT unnest(range(-2, 2)) AS dx) a, (SELECT unnest(range(-2, 2)) AS dy) b", POINTS
         ),

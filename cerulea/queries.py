@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from cerulea.functions import geo, text
 from cerulea.functions.color import confidence, hsv, is_strict
-from cerulea.operators import detect, outline, raster
-from cerulea.plans import cover
+from cerulea.operators import calibrate, dated, detect, diff, outline, raster
+from cerulea.plans import areas, cover
 from cerulea.sinks import exports
 from cerulea.sinks.shared import stored
 from cerulea.sources import area, scene
@@ -266,6 +266,96 @@ def area_rectangles(spark, sf_dir):
     return rows.select("name", *[F.round(F.get("ring", F.lit(k))[c], 9).alias(f"{c}{k}") for k in (0, 2) for c in ("lon", "lat")], F.round(geo.ring_area("ring"), 1).alias("area"))
 
 
+AREA_ZOOM = 16
+#: Eight ways around a centre, for rings that never cross themselves.
+AREA_WAYS = ((4, 0), (3, 3), (0, 4), (-3, 3), (-4, 0), (-3, -3), (0, -4), (3, -3))
+
+
+def _areas(spark, sf_dir):
+    """(area, ring): a star of eight corners for each customer, each 97th one twenty times as wide."""
+    k = F.col("c_custkey")
+    lon, lat = -8.5 + F.lit(0.9) * ((k * 7919) % 1009) / 1009, 36.9 + F.lit(0.4) * ((k * 104729) % 1013) / 1013
+    size = F.when(k % 97 == 0, 0.01).otherwise(0.0005)
+    corners = [F.struct((lon + dx * ((k * (i + 3)) % 5 + 1) * size).alias("lon"), (lat + dy * ((k * (i + 3)) % 5 + 1) * size).alias("lat")) for i, (dx, dy) in enumerate(AREA_WAYS)]
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("area"), F.array(*corners).alias("ring"))
+
+
+def areas_cover(spark, sf_dir):
+    """The tiles of each customer's ring, by quadtree descent."""
+    return areas.cover(_areas(spark, sf_dir), AREA_ZOOM).select("area", "tx", "ty")
+
+
+def areas_estimate(spark, sf_dir):
+    """Tiles of each ring at a zoom where the boxes of the wide ones are too large to count."""
+    return areas.estimates(_areas(spark, sf_dir), AREA_ZOOM + 2)
+
+
+def areas_orders(spark, sf_dir):
+    """Three orders of visit of each area's tiles."""
+    covered = stored(areas_cover(spark, sf_dir), "covered")
+    rows = areas.serpentine(covered).withColumnRenamed("idx", "serpentine").join(areas.spiral(covered).withColumnRenamed("idx", "spiral"), ["area", "tx", "ty"])
+    return rows.join(areas.hilbert(covered, AREA_ZOOM).withColumnRenamed("idx", "hilbert"), ["area", "tx", "ty"]).select("area", "tx", "ty", *[F.col(c).cast("long").alias(c) for c in ("serpentine", "spiral", "hilbert")])
+
+
+def areas_points(spark, sf_dir):
+    """How many points lie in each area that has any."""
+    e = F.col("event_id")
+    points = _events(spark, sf_dir).select((-8.5 + F.lit(0.9) * ((e * 15485863) % 100003) / 100003).alias("lon"), (36.9 + F.lit(0.4) * ((e * 32452843) % 100019) / 100019).alias("lat"))
+    return areas.located(points, _areas(spark, sf_dir), AREA_ZOOM).groupBy("area").agg(F.count("*").alias("n"))
+
+
+def ring_bbox(spark, sf_dir):
+    r = _areas(spark, sf_dir)
+    return r.select("area", *[F.round(f(c), 9).alias(n) for n, f, c in (("west", F.array_min, "ring.lon"), ("south", F.array_min, "ring.lat"), ("east", F.array_max, "ring.lon"), ("north", F.array_max, "ring.lat"))])
+
+
+def bbox_intersects_ring(spark, sf_dir):
+    """Whether a box beside the first corner of each ring touches it."""
+    first = F.get("ring", F.lit(0))
+    shift, wide = (F.col("area") % 7 - 3).cast("double") * 0.0007, (F.col("area") % 3 + 1).cast("double") * 0.0004
+    box = {"west": first["lon"] + shift, "south": first["lat"] - shift, "east": first["lon"] + shift + wide, "north": first["lat"] - shift + wide}
+    rows = _areas(spark, sf_dir).select("area", geo.sides_of("ring").alias("sides"), *[c.alias(n) for n, c in box.items()])
+    held = {n: F.col(n) for n in box}
+    return rows.select("area", (F.exists("sides", lambda s: geo.side_meets(s, held)) | geo.in_sides(F.col("west"), F.col("south"), F.col("sides"))).alias("meets"))
+
+
+def scan_diff(spark, sf_dir):
+    """Two scans of a dense place, of which each lacks some detections and the second has moved all by up to a few metres."""
+    e = F.col("event_id")
+    lon, lat = -8.03 + F.lit(0.01) * ((e * 7919) % 1009) / 1009, 37.07 + F.lit(0.04) * ((e * 104729) % 1013) / 1013
+    before = _events(spark, sf_dir).where(e % 5 != 0).select(e.alias("cluster"), lon.alias("lon"), lat.alias("lat"))
+    after = _events(spark, sf_dir).where(e % 7 != 0).select((e + 1_000_000).alias("cluster"), (lon + ((e * 31) % 13 - 6) * 0.000004).alias("lon"), (lat + ((e * 17) % 11 - 5) * 0.000004).alias("lat"))
+    return diff.scan_diff(before, after).select("op", "before", "after", F.round("metres", 3).alias("metres"))
+
+
+def dated_imagery(spark, sf_dir):
+    """Each tenth order is a release of its customer's tile, the others are scans: the release that each scan saw."""
+    at = F.unix_timestamp("o_orderdate")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("tx"), (F.col("o_custkey") % 3).alias("ty"), at.alias("taken"))
+    releases = rows.where("id % 10 = 0").withColumnRenamed("id", "release")
+    return dated.as_of(rows.where("id % 10 <> 0"), releases, ["tx", "ty"], "taken").select("id", "tx", "ty", "taken", "release", "released_at")
+
+
+#: What the confidence is made of.
+MEASURES = ["strict", "hue", "saturation", "texture", "fill", "size"]
+
+
+def judged(spark, sf_dir):
+    """Made-up measures of detections, and whether somebody found them to be right."""
+    n = F.col("event_id")
+    part = lambda m: (n % m).cast("double") / m
+    rows = _events(spark, sf_dir).select("event_id", part(11).alias("strict"), part(67).alias("hue"), part(13).alias("saturation"), part(17).alias("texture"), part(19).alias("fill"), part(101).alias("size"))
+    chance = 0.15 + 0.4 * F.col("strict") + 0.2 * F.col("fill") - 0.15 * F.col("texture") + 0.1 * F.col("saturation")
+    return rows.withColumn("label", ((n * 7919) % 1000 / 1000 < chance).cast("int"))
+
+
+def calibration(spark, sf_dir):
+    """The weights of the confidence that the judgements ask for, and how often each level of the calibrated confidence was right."""
+    rows = judged(spark, sf_dir)
+    sure = calibrate.calibrated(rows, MEASURES, calibrate.fitted(rows, MEASURES))
+    return sure.groupBy(F.floor(F.col("calibrated") * 10).cast("int").alias("tenth")).agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("right"), F.round(F.avg("calibrated"), 3).alias("calibrated"))
+
+
 def fmt_labels(spark, sf_dir):
     p, n = scene.points(spark, sf_dir), F.col("event_id")
     steps = text.progress(n % 10, F.lit(10), (n % 97).cast("double"))
@@ -336,5 +426,5 @@ def fmt_links(spark, sf_dir):
     return geo_tile_of(spark, sf_dir).select("event_id", url.alias("url"), text.duration_label(F.col("event_id")).alias("duration"))
 
 
-QUERIES = {f.__name__: f for f in (geo_world_px, geo_tile_of, geo_tile_bbox, geo_mpp, geo_px_to_lonlat, geo_tile_histogram, point_in_ring, bbox_expand, ring_area, plan_cover, plan_serpentine, plan_spiral, plan_estimate, scene_pixels, px_hsv, px_water_mask, px_strict_ratio, components, component_stats, component_texture, fragments, merge_pairs, merged_detections, open_water, rank_all, rank_visible, top_k, csv_rows, event_log_latest, coverage_stats, fmt_links, boundary_sides, outline_rings, truncation, geojson_rows, aoi_bbox, aoi_permalink, segments_intersect, fmt_area, fmt_map_links, scan_detections, scan_ranking, scan_totals, scan_stats, plan_estimates, plan_grid, area_rectangles, fmt_labels, cache_keys, color_confidence, thumb_boxes, thumb_images)}
+QUERIES = {f.__name__: f for f in (geo_world_px, geo_tile_of, geo_tile_bbox, geo_mpp, geo_px_to_lonlat, geo_tile_histogram, point_in_ring, bbox_expand, ring_area, plan_cover, plan_serpentine, plan_spiral, plan_estimate, scene_pixels, px_hsv, px_water_mask, px_strict_ratio, components, component_stats, component_texture, fragments, merge_pairs, merged_detections, open_water, rank_all, rank_visible, top_k, csv_rows, event_log_latest, coverage_stats, fmt_links, boundary_sides, outline_rings, truncation, geojson_rows, aoi_bbox, aoi_permalink, segments_intersect, fmt_area, fmt_map_links, scan_detections, scan_ranking, scan_totals, scan_stats, plan_estimates, plan_grid, area_rectangles, fmt_labels, cache_keys, color_confidence, thumb_boxes, thumb_images, areas_cover, areas_estimate, areas_orders, areas_points, ring_bbox, bbox_intersects_ring, scan_diff, dated_imagery, calibration)}
 QUERIES |= {f"mask_{op.__name__}": partial(_per_tile, op) for op in (raster.erode, raster.dilate, raster.clean)}
