@@ -85,10 +85,15 @@ def truncated(frags: DataFrame, scanned: DataFrame) -> DataFrame:
 def merged(frags: DataFrame, labels: DataFrame, scanned: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """A row for each cluster: sums, pixel-weighted means, the box, the truncation and the confidence. ``open_water`` marks what exceeds a legal pool, ``shown`` what is
     emitted. Which tiles and outlines a cluster has is in ``parts_of``, a table, as a coast has very many."""
+    rows = frags.join(labels, "frag").join(truncated(frags, scanned).withColumn("cut", F.lit(True)), "frag", "left")
+    return summed(rows, limits)
+
+
+def summed(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """A row for each cluster of fragments with their cluster and ``cut``, true where a side is open."""
     n = F.sum("pixels")
     mean = lambda c: F.round(F.sum(F.col(c) * F.col("pixels")) / n, 6)
-    rows = frags.join(labels, "frag").join(truncated(frags, scanned).withColumn("cut", F.lit(True)), "frag", "left")
-    once = [F.first(c).alias(c) for c in key_of(frags)[:-2]]
+    once = [F.first(c).alias(c) for c in key_of(rows)[:-2]]
     rows = rows.groupBy("cluster").agg(
         *once, n.alias("pixels"), F.sum("area").alias("area"), F.count("*").alias("parts"), F.count_distinct("tx", "ty").alias("tiles"),
         *[mean(c).alias(c) for c in ("hue", "saturation", "value", "strict", "fill", "texture")],

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cerulea.functions import geo
-from cerulea.operators.raster import SIDE, TILE_KEY
+from cerulea.operators.raster import SIDE, key_of
 
 EPSILON = 1.2
 #: Ways to walk, clockwise from east; and for each the pixel side that is walked so, with the pixel on the right hand.
@@ -18,13 +18,14 @@ _FROM = ((0, 0), (1, 0), (1, 1), (0, 1))
 
 
 def boundary_sides(labels: DataFrame) -> DataFrame:
-    """(tx, ty, label, top, right, bottom, left): how many pixel sides of each component face another label, no label or the tile's edge.
+    """(tile, label, top, right, bottom, left): how many pixel sides of each component face another label, no label or the tile's edge.
 
     Every pixel tells its four neighbours its label; what a pixel does not hear is a boundary. One shuffle on the pixel, none on the component's own shape.
     """
+    key = key_of(labels)
     told = F.array(F.struct("px", "py", F.lit(-1).alias("side")), *[F.struct((F.col("px") - dx).alias("px"), (F.col("py") - dy).alias("py"), F.lit(k).alias("side")) for k, (dx, dy) in enumerate(_ACROSS)])
-    heard = labels.select(*TILE_KEY, "label", F.explode(told).alias("s")).groupBy(*TILE_KEY, "label", "s.px", "s.py").agg(*[F.max((F.col("s.side") == k).cast("int")).alias(f"s{k}") for k in range(-1, 4)])
-    return heard.where("`s-1` = 1").groupBy(*TILE_KEY, "label").agg(*[F.sum(1 - F.col(f"s{k}")).alias(n) for k, n in enumerate(("top", "right", "bottom", "left"))])
+    heard = labels.select(*key, "label", F.explode(told).alias("s")).groupBy(*key, "label", "s.px", "s.py").agg(*[F.max((F.col("s.side") == k).cast("int")).alias(f"s{k}") for k in range(-1, 4)])
+    return heard.where("`s-1` = 1").groupBy(*key, "label").agg(*[F.sum(1 - F.col(f"s{k}")).alias(n) for k, n in enumerate(("top", "right", "bottom", "left"))])
 
 
 def outer_rings(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> dict[int, np.ndarray]:
@@ -95,30 +96,36 @@ def simplified(ring: np.ndarray, epsilon: float = EPSILON) -> np.ndarray:
     return out if len(out) >= 3 else ring
 
 
-_RINGS = pa.schema([("tx", pa.int32()), ("ty", pa.int32()), ("label", pa.int32()), ("ring", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))])
-
-
-def _traced(tile: pa.Table, epsilon: float) -> pa.Table:
-    x, y, label = (tile[c].to_numpy().astype(np.int64) for c in ("px", "py", "label"))
-    rings = outer_rings(x, y, label)
-    rows = [[{"x": float(p), "y": float(q)} for p, q in simplified(r, epsilon)] for r in rings.values()]
-    n = len(rings)
-    return pa.table([pa.array([tile[c][0].as_py()] * n, pa.int32()) for c in TILE_KEY] + [pa.array(list(rings), pa.int32()), pa.array(rows, _RINGS.field("ring").type)], schema=_RINGS)
+_RING = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 
 
 def outlines(labels: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """(tx, ty, label, ring): the simplified outer ring of each component in pixel corners of its tile. A tile is one bounded group: 65,536 pixels at most."""
+    """(tile, label, ring): the simplified outer ring of each component in pixel corners of its tile. A tile, by scan and zoom where the table has them, is one bounded
+    group: 65,536 pixels at most."""
+    key, types = key_of(labels), dict(labels.dtypes)
 
     def traced(tile: pa.Table) -> pa.Table:
-        return _traced(tile, epsilon)
+        x, y, label = (tile[c].to_numpy().astype(np.int64) for c in ("px", "py", "label"))
+        rings = outer_rings(x, y, label)
+        rows = [[{"x": float(p), "y": float(q)} for p, q in simplified(r, epsilon)] for r in rings.values()]
+        return pa.table([pa.array([tile[c][0].as_py()] * len(rings), tile[c].type) for c in key] + [pa.array(list(rings), pa.int32()), pa.array(rows, _RING)], names=[*key, "label", "ring"])
+
+    fields = ", ".join(f"{c} {types[c]}" for c in key)
+    return labels.groupBy(*key).applyInArrow(traced, f"{fields}, label int, ring array<struct<x: double, y: double>>")
+
 
-    return labels.groupBy(*TILE_KEY).applyInArrow(traced, "tx int, ty int, label int, ring array<struct<x: double, y: double>>")
+def on_map(ring: str, z):
+    """A ring in pixel corners of the tile (tx, ty) of zoom ``z``, a number or a column, as one of (lon, lat)."""
+    x, y, zoom = F.col("tx") * geo.TILE, F.col("ty") * geo.TILE, F.lit(z)
+    return F.transform(ring, lambda p: F.struct(geo.lon_of(x + p["x"], zoom).alias("lon"), geo.lat_of(y + p["y"], zoom).alias("lat")))
 
 
-def on_map(ring: str, z: int):
-    """A ring in pixel corners of the tile (tx, ty) as one of (lon, lat)."""
-    x, y = F.col("tx") * geo.TILE, F.col("ty") * geo.TILE
-    return F.transform(ring, lambda p: F.struct(geo.lon_of(x + p["x"], F.lit(z)).alias("lon"), geo.lat_of(y + p["y"], F.lit(z)).alias("lat")))
+def rings_of(labels: DataFrame, frags: DataFrame, named: DataFrame, zoom: int = 19) -> DataFrame:
+    """(cluster, frag, ring): the outer ring of each fragment on the map, for the labels of the tiles and the clusters ``named`` (frag, cluster). Without z all are of ``zoom``."""
+    key = [*key_of(labels), "label"]
+    parts = frags.select(*key, "frag").join(named, "frag")
+    z = F.col("z") if "z" in key else zoom
+    return outlines(labels.join(parts.select(*key), key, "left_semi")).join(parts, key).select("cluster", "frag", on_map("ring", z).alias("ring"))
 
 
 def shoelace(ring: str):

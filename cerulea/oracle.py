@@ -127,7 +127,7 @@ MERGED = f"""{PAIRS}, links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FRO
   reach(frag, other) AS (SELECT frag, frag FROM frags UNION SELECT r.frag, l.b FROM reach r JOIN links l ON l.a = r.other),
   named AS (SELECT frag, min(other) AS cluster FROM reach GROUP BY 1),
   rims AS (SELECT frag, unnest([[tx, ty - 1, n::INT], [tx, ty + 1, s::INT], [tx - 1, ty, w::INT], [tx + 1, ty, e::INT]]) AS t FROM frags),
-  cut AS (SELECT DISTINCT frag FROM rims WHERE t[3] = 1 AND (t[1], t[2]) NOT IN (SELECT (tx, ty) FROM mask)),
+  cut AS (SELECT DISTINCT frag FROM rims WHERE t[3] = 1 AND (t[1], t[2]) NOT IN (SELECT (tx, ty) FROM pixels)),
   summed AS (SELECT cluster, sum(pixels)::BIGINT AS pixels, sum(area) AS area, count(*) AS parts, count(DISTINCT (tx, ty)) AS tiles,
     {", ".join(f"round(sum({c} * pixels) / sum(pixels), {d}) AS {c}" for c, d in [*((c, 6) for c in ("hue", "saturation", "value", "strict", "fill", "texture")), ("lon", 8), ("lat", 8)])},
     bool_or(frag IN (SELECT frag FROM cut)) AS truncated FROM frags JOIN named USING (frag) GROUP BY 1),
@@ -143,7 +143,7 @@ _WATER = ", ".join(map(str, COLOURS[0]))
 LAKE_PIXELS = PIXELS.replace("FROM supplier),", f"FROM supplier UNION ALL SELECT -1, {LAKE[0]}, {LAKE[1]}, {LAKE[2]}, {LAKE[2]}, {_WATER}),").replace("y // 256", "floor(y / 256.0)::INT").replace("(y % 256)", "((y % 256 + 256) % 256)")
 SCANNED = f"""scanned AS (SELECT ({TILE_X} + c)::INT AS tx, ({TILE_Y} + unnest(range({LAKE[1]} // 256 - ({LAKE[1]} % 256 <> 0)::INT, (SELECT max(gy + h - 1) FROM rects) // 256 + 1)))::INT AS ty
   FROM (SELECT unnest([0, 1, 2, 3, 5, 6, 7, 8]) AS c))"""
-LAKE_MERGED = MERGED.replace(PIXELS, f"{LAKE_PIXELS}, {SCANNED}").replace("SELECT (tx, ty) FROM mask", "SELECT (tx, ty) FROM scanned")
+LAKE_MERGED = MERGED.replace(PIXELS, f"{LAKE_PIXELS}, {SCANNED}").replace("SELECT (tx, ty) FROM pixels)", "SELECT (tx, ty) FROM scanned)")
 LAKE_BOXES = f"{LAKE_MERGED}, boxes AS (SELECT cluster, round(min(west), 9) AS west, round(min(south), 9) AS south, round(max(east), 9) AS east, round(max(north), 9) AS north FROM frags JOIN named USING (frag) GROUP BY 1)"
 _SEEN = f"confidence >= {_L.shown}"
 

@@ -157,9 +157,16 @@ def merge_pairs(spark, sf_dir):
     return detect.merge_pairs(_fragments(spark, sf_dir))
 
 
+def _looked_at(spark, sf_dir):
+    """Fragments of the scene, stored, and its tiles: all that anything was painted on were looked at, with water or without."""
+    pixels = scene.supplier_pixels(spark, sf_dir)
+    frags = stored(detect.fragments(raster.tile_components(pixels)), "fragments")
+    return frags, scene.supplier_tiles(spark, sf_dir)
+
+
 def _merged(spark, sf_dir):
-    """Detections where only tiles with water were scanned."""
-    return detect.detections(scene.supplier_pixels(spark, sf_dir), px_water_mask(spark, sf_dir).select("tx", "ty").distinct())
+    frags, scanned = _looked_at(spark, sf_dir)
+    return detect.merged(frags, detect.clusters(frags, detect.merge_pairs(frags)), scanned)
 
 
 _BOX = ("west", "south", "east", "north")
@@ -202,18 +209,15 @@ def outline_rings(spark, sf_dir):
 
 
 def truncation(spark, sf_dir):
-    return detect.truncated(_fragments(spark, sf_dir), px_water_mask(spark, sf_dir).select("tx", "ty").distinct())
+    return detect.truncated(*_looked_at(spark, sf_dir))
 
 
 def geojson_rows(spark, sf_dir):
     """A feature for each ranked detection, with the simplified ring of each of its fragments."""
-    pixels = scene.supplier_pixels(spark, sf_dir)
-    frags = stored(detect.fragments(raster.tile_components(pixels)), "fragments")
+    frags, scanned = _looked_at(spark, sf_dir)
     named = stored(detect.clusters(frags, detect.merge_pairs(frags)), "named")
-    found = detect.merged(frags, named, px_water_mask(spark, sf_dir).select("tx", "ty").distinct())
-    kept = raster.tile_labels(pixels).join(frags.select(*raster.TILE_KEY, "label"), [*raster.TILE_KEY, "label"], "left_semi")
-    rings = outline.outlines(kept).join(frags.select(*raster.TILE_KEY, "label", "frag"), [*raster.TILE_KEY, "label"]).join(named, "frag")
-    return exports.features(detect.ranked(found.where("shown")), rings.select("cluster", "frag", outline.on_map("ring", scene.ZOOM).alias("ring")))
+    found = detect.ranked(detect.merged(frags, named, scanned).where("shown"))
+    return exports.features(found, outline.rings_of(raster.tile_labels(scene.supplier_pixels(spark, sf_dir)), frags, named))
 
 
 def _scanned(spark, sf_dir):

@@ -15,7 +15,7 @@ from cerulea.functions import geo
 from cerulea.functions.text import CSV_HEADER, csv_line, fixed, google_link
 from cerulea.operators.detect import ZOOM, crop_boxes
 from cerulea.operators.ordering import numbered
-from cerulea.operators.raster import BACKGROUND, SIDE, TILE_KEY, key_of
+from cerulea.operators.raster import BACKGROUND, SIDE, key_of
 
 
 def closed(ring) -> Column:
@@ -75,15 +75,15 @@ def _painted(tile: pa.Table) -> np.ndarray:
     return image
 
 
-def _drawn(tile: pa.Table) -> pa.Table:
-    image = _painted(tile)
-    return pa.table([pa.array([tile[c][0].as_py()], pa.int32()) for c in TILE_KEY] + [pa.array([png(image)], pa.binary())], names=[*TILE_KEY, "png"])
+def tile_images(pixels: DataFrame) -> DataFrame:
+    """(tile, png) of tiles, by scan and zoom where the table has them, of at most 65,536 pixels (px, py, r, g, b); the rest is background."""
+    key, types = key_of(pixels), dict(pixels.dtypes)
+    rows = pixels.select(*key, *[F.col(c).cast("int").alias(c) for c in ("px", "py", "r", "g", "b")])
 
+    def drawn(tile: pa.Table) -> pa.Table:
+        return pa.table([pa.array([tile[c][0].as_py()], tile[c].type) for c in key] + [pa.array([png(_painted(tile))], pa.binary())], names=[*key, "png"])
 
-def tile_images(pixels: DataFrame) -> DataFrame:
-    """(tx, ty, png) of tiles of at most 65,536 pixels (px, py, r, g, b); the rest is background."""
-    rows = pixels.select(*[F.col(c).cast("int").alias(c) for c in (*TILE_KEY, "px", "py", "r", "g", "b")])
-    return rows.groupBy(*TILE_KEY).applyInArrow(_drawn, "tx int, ty int, png binary")
+    return rows.groupBy(*key).applyInArrow(drawn, ", ".join(f"{c} {types[c]}" for c in key) + ", png binary")
 
 
 def _cropped(tile: pa.Table, crops: pa.Table) -> pa.Table:

@@ -36,6 +36,14 @@ def supplier_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(rectangles(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))))
 
 
+def supplier_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tx, ty) of the tiles that the rectangles reach, from their corners: no pixel is painted for it."""
+    rects = rectangles(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k")))
+    span = lambda at, size: F.explode(F.sequence(F.floor(F.col(at) / 256), F.floor((F.col(at) + F.col(size) - 1) / 256)))
+    cells = rects.select("gy", "h", span("gx", "w").alias("x")).select("x", span("gy", "h").alias("y"))
+    return cells.select((TILE_X + F.col("x")).cast("int").alias("tx"), (TILE_Y + F.col("y")).cast("int").alias("ty")).distinct()
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, lon, lat): a point on the map for each event."""
     e = F.col("event_id")

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cerulea.sinks.shared import file_system, remove, scratch
+
 
 def latest(events: DataFrame, key: str = "id", seq: str = "seq", op: str = "op") -> DataFrame:
-    """The last event of each key, unless it removes it. Later events win whatever order they come in; a maximum needs no sort and combines before the shuffle."""
+    """The last event of each key, unless it removes it. Later events win whatever order they come in; a maximum needs no sort and combines before the shuffle. Of two
+    events of one key and ``seq`` the one with the greater columns, in their order, wins."""
     payload = [c for c in events.columns if c not in (key, seq)]
-    last = events.groupBy(key).agg(F.max_by(F.struct(*payload), seq).alias("last"), F.max(seq).alias(seq))
+    last = events.groupBy(key).agg(F.max(F.struct(F.col(seq), F.struct(*payload).alias("last"))).alias("_m")).select(key, "_m.last", F.col(f"_m.{seq}").alias(seq))
     return last.select(key, seq, *[F.col(f"last.{c}").alias(c) for c in payload]).where(F.col(op) != "remove")
 
 
@@ -69,26 +72,16 @@ def keep_buckets(feed: DataFrame, state: str, checkpoint: str, key: str = "id",
         last.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(state)
         for b, versions in old.items():
             for v in sorted(versions)[:-1]:
-                _remove(spark, f"{state}/bucket={b}/v={v}")
+                remove(spark, f"{state}/bucket={b}/v={v}")
         if after:
             after(batch, n)
 
     return feed.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _folder(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    system, where = _folder(spark, path)
-    system.delete(where, True)
-
-
 def _versions(spark: SparkSession, state: str) -> dict[int, list[int]]:
     """The versions that each bucket has; names of folders only, as many as buckets, twice."""
-    system, where = _folder(spark, f"{state}/bucket=*/v=*")
+    system, where = file_system(spark, f"{state}/bucket=*/v=*")
     out: dict[int, list[int]] = {}
     for found in system.globStatus(where) or []:
         b, v = (int(part.split("=")[1]) for part in found.getPath().toString().rstrip("/").split("/")[-2:])
@@ -108,8 +101,9 @@ def keep_ranking(feed: DataFrame, state: str, ranking: str, checkpoint: str):
     from cerulea.operators.detect import ranked
 
     def rank(batch: DataFrame, n: int) -> None:
-        ranked(read_state(batch.sparkSession, state, batch.schema)).write.mode("overwrite").parquet(f"{ranking}/v={n}")
+        with scratch(batch.sparkSession):
+            ranked(read_state(batch.sparkSession, state, batch.schema)).write.mode("overwrite").parquet(f"{ranking}/v={n}")
         if n > 1:
-            _remove(batch.sparkSession, f"{ranking}/v={n - 2}")
+            remove(batch.sparkSession, f"{ranking}/v={n - 2}")
 
     return keep_buckets(feed, state, checkpoint, key="cluster", after=rank)
