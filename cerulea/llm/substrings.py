@@ -5,26 +5,26 @@ have the places where one sequence of that many words stands; all but the first
 
 Suffixes are dealt by prefixes of variable length, counted from an anchor: the smallest hash among the half-window runs of words in a window. Equal windows have equal
 anchors, and successive windows mostly share one, so they travel together as one segment of text. Anchors that stand once cannot lie in a repeat and are dropped;
-those that stand up to ``HOT`` times are packed into groups; a more frequent one is followed down to a prefix of a whole window, where its suffixes are leaves of one
-deep node, whose first place is a minimum that Spark combines before the shuffle. A group's tree is its sorted suffixes: a node is a run of suffixes that share its depth.
+those that stand up to ``HOT`` times are packed into groups. The segments of a more frequent one are dealt over groups of about ``HOT``; what comes first in such a group
+meets the first ones of the others by a longer prefix, the whole window. A group's tree is its sorted suffixes: a node is a run of suffixes that share its depth.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cerulea.llm.common import RollingHash, mix64, read_table, row_key, stored, text_blocks, word_bounds
-from cerulea.llm.graph import SALTS
 
 WORDS = 20
-#: Segments of a group, and of an anchor that is followed down to whole windows.
+#: Segments of a group, and of an anchor beyond which its segments are dealt over several groups.
 GROUP_ROWS, HOT = 20_000, 1_000
 #: Rows up to which a table of keys is sent to every task; larger ones are joined by a shuffle. Numbers alone take less room.
 BROADCAST_ROWS, BROADCAST_NUMBERS = 500_000, 2_000_000
@@ -153,11 +153,13 @@ def suffix_ranks(token: np.ndarray, suffix: np.ndarray, depth: int) -> np.ndarra
     return rank[suffix]
 
 
-def _deep_nodes(words: int):
-    schema = pa.schema([("own", pa.binary()), ("first", pa.int32()), ("last", pa.int32())])
+_NODES = pa.schema([("doc_id", pa.int64()), ("own", pa.binary()), ("first", pa.int32()), ("last", pa.int32()), ("node", pa.binary())])
+
 
+def _deep_nodes(words: int):
     def spans(rows: pa.Table) -> pa.Table:
-        """The words of a group's segments that a window covers which stands earlier; first and last word of each stretch."""
+        """The words of a group's segments that a window covers which stands earlier in the group: first and last word of each stretch. Of an anchor that is dealt over
+        several groups also the first window of each deep node, with the MD5 of its words as the node's name."""
         ids, own, n = rows["doc_id"].to_pylist(), rows["own"].to_pylist(), rows["n"].to_numpy().astype(np.int64)
         text, start = rows["words"].to_pylist(), rows["start"].to_numpy().astype(np.int64)
         token = np.concatenate([word_hashes(text[lo:hi])[4] for lo, hi in text_blocks(text, BLOCK_BYTES)])
@@ -174,22 +176,25 @@ def _deep_nodes(words: int):
         gone[order] = place[order] != place[order][head][np.cumsum(head) - 1]
         at = np.flatnonzero(gone)
         new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(segment[at]) != 0)]) if len(at) else np.zeros(0, bool)
-        first = at[new]
-        last = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] if len(at) else first
-        at = lambda x: pa.array(x.astype(np.int32))
-        return pa.table([rows["own"].combine_chunks().take(pa.array(segment[first])), at((start[segment] + moved)[first]), at((start[segment] + moved)[last] + words - 1)], schema=schema)
+        begin, end = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] if len(at) else at
+        names = [None] * len(begin)
+        if rows["hot"][0].as_py():
+            heads = np.sort(order[head])
+            parts, whose = [], -1
+            for i in heads.tolist():
+                if segment[i] != whose:
+                    whose = segment[i]
+                    parts = text[whose].split(b" ")
+                names.append(hashlib.md5(b" ".join(parts[moved[i] : moved[i] + words])).digest())
+            begin, end = np.append(begin, heads), np.append(end, heads)
+        of = pa.array(segment[begin])
+        first = start[segment] + moved
+        where = [pa.array(v.astype(np.int32)) for v in (first[begin], first[end] + words - 1)]
+        return pa.table([rows["doc_id"].combine_chunks().take(of), rows["own"].combine_chunks().take(of), *where, pa.array(names, pa.binary())], schema=_NODES)
 
     return spans
 
 
-def windows(found: DataFrame, words: int) -> DataFrame:
-    """(node, doc_id, own, start): every window of segments (doc_id, own, start, words), by the MD5 of its words."""
-    split = found.select("doc_id", "own", "start", F.split(F.col("words").cast("string"), " ").alias("w"))
-    nodes = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.unhex(F.md5(F.array_join(F.slice("w", i + 1, words), " ").cast("binary"))))
-    each = split.select("doc_id", "own", "start", F.posexplode(nodes).alias("k", "node"))
-    return each.select("node", "doc_id", "own", (F.col("start") + F.col("k")).alias("start"))
-
-
 def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(own, first, last): stretches of words of ``docs`` (doc_id, own, text; each own once) that windows cover whose words stand earlier too, by (doc_id, own, start), a
     null id last. Stretches of one text may overlap or touch; together they are its repeats, each from its true first to its true last word."""
@@ -197,22 +202,24 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     repeated = stored(repeated, "repeated-anchors")
     total = repeated.agg(F.sum(F.when(F.col("m") <= HOT, F.col("m")))).first()[0] or 0
     groups = -(-total // GROUP_ROWS) or 1
-    found = segments(docs, repeated, words)
-    packed = found.where(F.col("m") <= HOT).select("doc_id", "own", "start", "n", "words", F.pmod(F.xxhash64("anchor"), F.lit(groups)).alias("group"))
-    shallow = packed.groupBy("group").applyInArrow(_deep_nodes(words), "own binary, first int, last int")
-    hot = repeated.where(F.col("m") > HOT)
-    if hot.isEmpty():
-        return shallow
-    leaves = stored(windows(segments(docs, hot, words), words), "windows")  # read twice
-    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "own", "start")
-    nodes = stored(leaves.groupBy("node").agg(F.min(place).alias("head"), F.count("*").alias("m")).where("m > 1").select("node", "head"), "deep-nodes")
-    if nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        met = leaves.join(F.broadcast(nodes), "node")
-    else:  # the leaves of one node are dealt over several tasks
-        copies = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = leaves.withColumn("salt", F.pmod(F.xxhash64("own", "start"), F.lit(SALTS)).cast("int")).join(copies.hint("merge"), ["node", "salt"])
-    deep = met.where(place != F.col("head")).select("own", F.col("start").alias("first"), (F.col("start") + words - 1).alias("last"))
-    return shallow.union(deep)
+    hot, dealt = F.col("m") > HOT, F.pmod(F.xxhash64("own", "start"), F.ceil(F.col("m") / max(1, HOT)))
+    # numbers of dealt groups are far beyond those of the packed ones
+    group = F.when(hot, F.xxhash64("anchor", dealt).bitwiseOR(F.lit(1 << 62))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(groups)))
+    packed = segments(docs, repeated, words).select("doc_id", "own", "start", "n", "words", hot.alias("hot"), group.alias("group"))
+    found = packed.groupBy("group").applyInArrow(_deep_nodes(words), "doc_id long, own binary, first int, last int, node binary")
+    found = stored(found, "deep-nodes")  # read twice
+    earlier = Window.partitionBy("node").orderBy(F.col("doc_id").isNull(), "doc_id", "own", "first")
+    later = found.where("node IS NOT NULL").withColumn("nth", F.row_number().over(earlier)).where("nth > 1")  # a row of each group at most
+    return found.where("node IS NULL").select("own", "first", "last").union(later.select("own", "first", "last"))
+
+
+def joined_up(spans: str):
+    """Sorted stretches (first, last) of an array column, with those that overlap or touch made one: the maximal repeats of a text."""
+    last = lambda acc: F.element_at(acc, -1)
+    span = lambda first, end: F.array(F.struct(first.alias("first"), end.alias("last")))
+    touches = lambda acc, s: (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["last"] >= s["first"] - 1)
+    grown = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), span(last(acc)["first"], F.greatest(last(acc)["last"], s["last"])))
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<first: int, last: int>>"), lambda acc, s: F.when(touches(acc, s), grown(acc, s)).otherwise(F.concat(acc, span(s["first"], s["last"]))))
 
 
 def _cleaned(words: int):
@@ -255,7 +262,8 @@ def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     judged = marked.where(F.col("text").isNotNull() & ~F.col("copy")).select("doc_id", "own", "text")
     again = few(known.where("m > 1").select("own"), BROADCAST_ROWS)  # rows that repeat id and text take part once
     judged = judged.join(again, "own", "left_anti").union(judged.join(again, "own", "left_semi").dropDuplicates(["own"]).select("own", "doc_id", "text")).select("doc_id", "own", "text")
-    spans = stored(repeats(judged, words).groupBy("own").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "repeats")
+    spans = repeats(judged, words).groupBy("own").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = stored(spans.select("own", joined_up("spans").alias("spans")), "repeats")
     size = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
     held = F.broadcast(spans) if size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_NUMBERS else spans
     return marked.join(held, "own", "left").select("doc_id", "text", "copy", "spans").mapInArrow(_cleaned(words), "doc_id long, n_words long, n_removed long, text string")
