@@ -173,3 +173,23 @@ def test_archive(spark, tmp_path):
     archive.remove(spark, folder, "c", 9)
     assert [(r.id, r.seq, r.pools) for r in archive.listed(spark, folder).collect()] == [("a", 2, 2), ("b", 1, 1)]
     assert archive.load(spark, folder, "a").count() == 2 and archive.load(spark, folder, "c") is None and archive.listed(spark, folder, 1).count() == 1
+
+
+def test_scans_and_zooms_keep_their_outlines_and_images(spark):
+    """Two scans and two zooms with a pool each in the tile of one number."""
+    rows = [(scan, z, 250400, 201560, x + dx, 40 + dy, 45, 170, 190) for scan, z, x in (("a", 19, 20), ("b", 19, 90), ("a", 18, 160)) for dx in range(20) for dy in range(12)]
+    pixels = spark.createDataFrame(rows, "scan string, z int, tx int, ty int, px int, py int, r int, g int, b int")
+    labels = raster.tile_labels(pixels)
+    rings = {(r.scan, r.z): (r.tx, r.ty, r.label, min(p.x for p in r.ring)) for r in outline.outlines(labels, 0).collect()}
+    assert rings == {("a", 19): (250400, 201560, 1, 20.0), ("b", 19): (250400, 201560, 1, 90.0), ("a", 18): (250400, 201560, 1, 160.0)}
+    sides = {(r.scan, r.z): r.top for r in outline.boundary_sides(labels).collect()}
+    assert len(sides) == 3 and set(sides.values()) == {20}
+    assert exports.tile_images(pixels).select("scan", "z", "png").distinct().count() == 3
+    frags = detect.fragments(raster.tile_components(pixels))
+    named = frags.select("frag", F.col("frag").alias("cluster"))
+    found = detect.ranked(detect.merged(frags, named, pixels.select("scan", "z", "tx", "ty").distinct()))
+    parts = {r.cluster: r.ring for r in outline.rings_of(labels, frags, named).collect()}
+    near = {r.cluster: (r.lon, r.lat) for r in found.collect()}
+    assert len(parts) == 3 and all(min(p.lon for p in ring) < near[c][0] < max(p.lon for p in ring) and min(p.lat for p in ring) < near[c][1] < max(p.lat for p in ring) for c, ring in parts.items())
+    lines = [json.loads(r.line) for r in exports.features(found, outline.rings_of(labels, frags, named), link=True).collect()]
+    assert len(lines) == 3 and all(x["properties"]["google_maps"].startswith("https://www.google.com/maps/search/?api=1&query=") and len(x["geometry"]["coordinates"]) == 1 for x in lines)
