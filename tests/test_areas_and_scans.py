@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from cerulea import queries
 from cerulea.functions import geo
-from cerulea.operators import calibrate, dated, diff
-from cerulea.plans import areas, cover
+from cerulea.operators import calibrate, dated, detect, diff, raster
+from cerulea.plans import areas, cover, resume
+from cerulea.sources import scene
 
 RING = "area int, ring array<struct<lon: double, lat: double>>"
 
@@ -145,3 +146,31 @@ def test_calibration_equals_newton_in_numpy(spark):
     apart = spark.createDataFrame([(float(k), int(k > 4)) for k in range(10)] + [(None, 1), (float("nan"), 0), (3.0, None)], "x double, label int")
     assert np.isfinite(calibrate.fitted(apart, ["x"])).all() and not calibrate.fitted(apart.limit(0), ["x"]).any()
     assert calibrate.calibrated(apart, ["x"], np.array([0.0, 0.0])).where("calibrated = 0.5").count() == 11  # null and NaN stay so
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("at", [1, 2, 3])
+def test_a_killed_scan_ends_as_if_it_had_not_been(spark, tmp_path, at):
+    pixels = scene.supplier_pixels(spark, "/root/testdata/sf0.001").cache()
+    order = cover.serpentine(pixels.select("tx", "ty").distinct(), scene.TILE_Y)
+    folder, calls = f"file://{tmp_path}/scan", []
+
+    def scan(tiles):
+        calls.append(1)
+        found = detect.fragments(raster.tile_components(pixels.join(tiles.select("tx", "ty"), ["tx", "ty"], "left_semi")))
+        if len(calls) == at:  # dies after it has written its fragments, before the batch is marked
+            found.write.mode("overwrite").parquet(f"{folder}/fragments/batch={tiles.agg(F.min('idx')).first()[0]}")
+            raise Killed
+        return found
+
+    with pytest.raises(Killed):
+        resume.run(order, folder, scan, 2)
+    left = resume.pending(order, folder).count()
+    assert left == order.count() - 2 * (at - 1)
+    got = resume.run(order, folder, scan, 2)
+    want = detect.fragments(raster.tile_components(pixels))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and resume.pending(order, folder).count() == 0
+    assert not resume.step(order, folder, scan, 2) and resume.fragments(spark, f"file://{tmp_path}/none") is None
