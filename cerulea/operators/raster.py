@@ -124,8 +124,8 @@ def _hsv(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.where(hue < 0, hue + 360, hue), d / np.where(top == 0, 1.0, top), top
 
 
-def _cleaned_labels(tile: pa.Table, t: WaterThresholds) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Labels of a tile's water after cleaning, and hue, saturation and value of all its pixels in single precision; what is not painted is background."""
+def tile_masks(tile: pa.Table, t: WaterThresholds = WaterThresholds()) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """A tile's water before and after cleaning, and hue, saturation and value of all its pixels; what is not painted is background."""
     x, y = _places(tile)
     r, g, b, a = (np.full((SIDE, SIDE), c, np.int64) for c in (*BACKGROUND, OPAQUE))
     for image, name in ((r, "r"), (g, "g"), (b, "b"), (a, "a")):
@@ -133,10 +133,16 @@ def _cleaned_labels(tile: pa.Table, t: WaterThresholds) -> tuple[np.ndarray, np.
             image[y, x] = tile[name].to_numpy()
     h, s, v = _hsv(r, g, b)
     colour = (h >= t.hue_low) & (h <= t.hue_high) & (v >= t.min_value) & ((s >= t.min_saturation) | ((s >= t.pale_saturation) & (v >= t.pale_value)))
-    held = colour & (a >= t.min_alpha) & (b - r >= t.blue_over_red) & (g - r >= t.green_over_red) & (b - g >= t.blue_over_green_low) & (b - g <= t.blue_over_green_high)
+    raw = held = colour & (a >= t.min_alpha) & (b - r >= t.blue_over_red) & (g - r >= t.green_over_red) & (b - g >= t.blue_over_green_low) & (b - g <= t.blue_over_green_high)
     for grows in (False, True, True, False):
         held = np.logical_or.reduce(_moved(held, False)) if grows else np.logical_and.reduce(_moved(held, True))
-    return (_numbered(held), *(c.astype(np.float32).astype(np.float64) for c in (h, s, v)))
+    return raw, held, (h, s, v)
+
+
+def _cleaned_labels(tile: pa.Table, t: WaterThresholds) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of a tile's water after cleaning, and hue, saturation and value of all its pixels in single precision."""
+    _, held, hsv = tile_masks(tile, t)
+    return (_numbered(held), *(c.astype(np.float32).astype(np.float64) for c in hsv))
 
 
 def _painted(pixels: DataFrame) -> tuple[list[str], DataFrame]:

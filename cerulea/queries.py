@@ -11,7 +11,7 @@ from cerulea.functions import geo, text
 from cerulea.functions.color import confidence, hsv, is_strict
 from cerulea.operators import calibrate, dated, detect, diff, outline, raster
 from cerulea.plans import areas, cover
-from cerulea.sinks import exports
+from cerulea.sinks import exports, mosaic
 from cerulea.sinks.shared import stored
 from cerulea.sources import area, scene
 from cerulea.streaming.feed import latest
@@ -153,6 +153,12 @@ def thumb_images(spark, sf_dir):
     return images.select("frag", F.length("png").cast("long").alias("bytes"), F.sha2("png", 256).alias("sha256"))
 
 
+def mosaic_images(spark, sf_dir):
+    """The annotated picture of each block of 4 x 4 tiles: its size in bytes and its digest."""
+    images = mosaic.mosaics(scene.supplier_pixels(spark, sf_dir), _fragments(spark, sf_dir))
+    return images.select("bx", "by", F.length("png").cast("long").alias("bytes"), F.sha2("png", 256).alias("sha256"))
+
+
 def merge_pairs(spark, sf_dir):
     return detect.merge_pairs(_fragments(spark, sf_dir))
 
@@ -430,5 +436,5 @@ def fmt_links(spark, sf_dir):
     return geo_tile_of(spark, sf_dir).select("event_id", url.alias("url"), text.duration_label(F.col("event_id")).alias("duration"))
 
 
-QUERIES = {f.__name__: f for f in (geo_world_px, geo_tile_of, geo_tile_bbox, geo_mpp, geo_px_to_lonlat, geo_tile_histogram, point_in_ring, bbox_expand, ring_area, plan_cover, plan_serpentine, plan_spiral, plan_estimate, scene_pixels, px_hsv, px_water_mask, px_strict_ratio, components, component_stats, component_texture, fragments, merge_pairs, merged_detections, open_water, rank_all, rank_visible, top_k, csv_rows, event_log_latest, coverage_stats, fmt_links, boundary_sides, outline_rings, truncation, geojson_rows, aoi_bbox, aoi_permalink, segments_intersect, fmt_area, fmt_map_links, scan_detections, scan_ranking, scan_totals, scan_stats, plan_estimates, plan_grid, area_rectangles, fmt_labels, cache_keys, color_confidence, thumb_boxes, thumb_images, areas_cover, areas_estimate, areas_orders, areas_points, ring_bbox, bbox_intersects_ring, scan_diff, dated_imagery, calibration)}
+QUERIES = {f.__name__: f for f in (geo_world_px, geo_tile_of, geo_tile_bbox, geo_mpp, geo_px_to_lonlat, geo_tile_histogram, point_in_ring, bbox_expand, ring_area, plan_cover, plan_serpentine, plan_spiral, plan_estimate, scene_pixels, px_hsv, px_water_mask, px_strict_ratio, components, component_stats, component_texture, fragments, merge_pairs, merged_detections, open_water, rank_all, rank_visible, top_k, csv_rows, event_log_latest, coverage_stats, fmt_links, boundary_sides, outline_rings, truncation, geojson_rows, aoi_bbox, aoi_permalink, segments_intersect, fmt_area, fmt_map_links, scan_detections, scan_ranking, scan_totals, scan_stats, plan_estimates, plan_grid, area_rectangles, fmt_labels, cache_keys, color_confidence, thumb_boxes, thumb_images, areas_cover, areas_estimate, areas_orders, areas_points, ring_bbox, bbox_intersects_ring, scan_diff, dated_imagery, calibration, mosaic_images)}
 QUERIES |= {f"mask_{op.__name__}": partial(_per_tile, op) for op in (raster.erode, raster.dilate, raster.clean)}

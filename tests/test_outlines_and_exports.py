@@ -2,12 +2,14 @@
 
 import base64
 import json
+import struct
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from cerulea.operators import detect, outline, raster
-from cerulea.sinks import archive, exports
+from cerulea.sinks import archive, exports, mosaic
 from cerulea.sources import area
 from cerulea.sources.images import image_pixels
 
@@ -193,3 +195,47 @@ def test_scans_and_zooms_keep_their_outlines_and_images(spark):
     assert len(parts) == 3 and all(min(p.lon for p in ring) < near[c][0] < max(p.lon for p in ring) and min(p.lat for p in ring) < near[c][1] < max(p.lat for p in ring) for c, ring in parts.items())
     lines = [json.loads(r.line) for r in exports.features(found, outline.rings_of(labels, frags, named), link=True).collect()]
     assert len(lines) == 3 and all(x["properties"]["google_maps"].startswith("https://www.google.com/maps/search/?api=1&query=") and len(x["geometry"]["coordinates"]) == 1 for x in lines)
+
+
+def pixels_of(image):
+    """Height x width x 3 bytes of a PNG without filters."""
+    at, body, size = 8, b"", None
+    while at < len(image):
+        n, name = struct.unpack(">I4s", image[at : at + 8])
+        data = image[at + 8 : at + 8 + n]
+        size = struct.unpack(">II", data[:8]) if name == b"IHDR" else size
+        body += data if name == b"IDAT" else b""
+        at += 12 + n
+    return np.frombuffer(zlib.decompress(body), np.uint8).reshape(size[1], 1 + 3 * size[0])[:, 1:].reshape(size[1], size[0], 3)
+
+
+def test_mosaics_pixel_by_pixel(spark):
+    """Every pixel of a block against the rule: colour or background, tint of the mask, frame of a fragment's box, lines between tiles."""
+    x, y = 250400, 201560  # the first tile of its block of 4 x 4
+    pools = [(x, y, 30, 30, 20, 12), (x + 1, y, 250, 60, 6, 10), (x, y + 1, 0, 0, 3, 3)]
+    rows = [(tx, ty, px + i, py + j, 45, 170, 190) for tx, ty, px, py, w, h in pools for i in range(w) for j in range(h)] + [(x + 1, y + 1, 100, 100, 45, 170, 190), (x + 1, y + 1, 9, 9, 80, 140, 60)]
+    pixels = spark.createDataFrame(rows, "tx int, ty int, px int, py int, r int, g int, b int")
+    frags = detect.fragments(raster.tile_components(pixels))
+    found = mosaic.mosaics(pixels, frags, 4).collect()
+    assert [(r.bx, r.by) for r in found] == [(x // 4, y // 4)]
+    got, want = pixels_of(bytes(found[0].png)).astype(int), np.empty((1024, 1024, 3), int)
+    want[:] = raster.BACKGROUND
+    raw = {(r.tx, r.ty, r.px, r.py) for r in raster.water_mask(pixels).collect()}
+    cleaned = {tuple(r) for r in raster.clean(raster.water_mask(pixels)).select("tx", "ty", "px", "py").collect()}
+    spot = lambda tx, ty, px, py: ((ty - y) * 256 + py, (tx - x) * 256 + px)
+    for tx, ty, px, py, *rgb in rows:
+        want[spot(tx, ty, px, py)] = rgb
+    for place in raw | cleaned:
+        (colour, share) = ((255, 0, 255), 0.35) if place in cleaned else ((255, 160, 0), 0.3)
+        want[spot(*place)] = [round(a * (1 - share) + c * share) for a, c in zip(want[spot(*place)].tolist(), colour)]
+    for r in frags.collect():
+        colour = (0, 255, 60) if r.strict > 0.5 else (255, 220, 0) if r.strict > 0.25 else (255, 60, 60)
+        x0, x1, y0, y1 = max(0, r.min_px - 1), min(255, r.max_px + 1), max(0, r.min_py - 1), min(255, r.max_py + 1)
+        for px in range(x0, x1 + 1):
+            for py in range(y0, y1 + 1):
+                if px in (x0, x1) or py in (y0, y1):
+                    want[spot(r.tx, r.ty, px, py)] = colour
+    for k in (256, 512, 768):
+        want[k], want[:, k] = 90, 90
+    assert (got == want).all() and frags.count() >= 2 and raw - cleaned
+    assert mosaic.mosaics(pixels, frags.limit(0), 4).count() == 1 and mosaic.mosaics(pixels.limit(0), frags, 4).count() == 0
