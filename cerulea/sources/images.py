@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cerulea.operators.raster import SIDE
+
 _PIXELS = pa.schema([("z", pa.int32()), ("tx", pa.int32()), ("ty", pa.int32()), *[(c, pa.int32()) for c in ("px", "py", "r", "g", "b", "a")]])
 
 
@@ -20,12 +22,30 @@ def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blue, green, red = (data[:, min(k, channels - 1)] for k in range(3))
             alpha = data[:, 3] if channels == 4 else np.full(len(data), 255, np.int32)
             place = np.arange(len(data), dtype=np.int32)
-            key = [np.full(len(data), row[c], np.int32) for c in ("z", "x", "y")]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*key, place % width, place // width, red, green, blue, alpha)], schema=_PIXELS)
+            parts = max(1, width // SIDE)  # tiles on a side, of a deeper zoom
+            across, down = place % width, place // width
+            key = np.full(len(data), row["z"] + parts.bit_length() - 1, np.int32), row["x"] * parts + across // SIDE, row["y"] * parts + down // SIDE
+            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32)) for v in (*key, across % SIDE, down % SIDE, red, green, blue, alpha)], schema=_PIXELS)
 
 
-def image_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """(z, tx, ty, px, py, r, g, b, a) of every readable image; others are left out. Folders prune as partitions: ``where("z = 19")`` reads no other zoom."""
-    files = spark.read.format("image").option("dropInvalid", True).load(folder)
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every image file with its tile, its size (-1 if it cannot be read) and whether its pixels can be placed: up to 256 x 256, or a square of 256 times a power of two."""
+    files = spark.read.format("image").load(folder)
     plain = files.select(*[F.col(c).cast("int").alias(c) for c in ("z", "x", "y")], "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
-    return plain.mapInArrow(_pixels, "z int, tx int, ty int, px int, py int, r int, g int, b int, a int")
+    fits = (F.col("height") <= SIDE) & (F.col("width") <= SIDE)
+    square = (F.col("height") == F.col("width")) & (F.col("width") % SIDE == 0) & (F.bit_count(F.col("width")) == 1)
+    return plain.withColumn("usable", (F.col("height") > 0) & (F.col("width") > 0) & (fits | square))
+
+
+def image_pixels(spark: SparkSession, folder: str) -> DataFrame:
+    """(z, tx, ty, px, py, r, g, b, a) of every usable image; the others are in ``failed_images``. Folders prune as partitions: ``where("z = 19")`` reads no other zoom.
+
+    An image of 512 x 512 pixels shows its tile twice as fine, so it is cut into the four tiles of the next zoom, and so on for larger ones: a tile has 256 x 256 pixels.
+    """
+    files = _files(spark, folder).where("usable").drop("usable")
+    return files.mapInArrow(_pixels, "z int, tx int, ty int, px int, py int, r int, g int, b int, a int")
+
+
+def failed_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(z, tx, ty): tiles whose image cannot be read or has a size that cannot be placed. They were not looked at, so what touches them stays truncated."""
+    return _files(spark, folder).where("NOT usable").select("z", F.col("x").alias("tx"), F.col("y").alias("ty"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cerulea.operators import detect, outline, raster
 from cerulea.sinks import archive, exports, mosaic
 from cerulea.sources import area
-from cerulea.sources.images import image_pixels
+from cerulea.sources.images import failed_images, image_pixels
 
 
 def one(spark, *columns):
@@ -239,3 +239,17 @@ def test_mosaics_pixel_by_pixel(spark):
         want[k], want[:, k] = 90, 90
     assert (got == want).all() and frags.count() >= 2 and raw - cleaned
     assert mosaic.mosaics(pixels, frags.limit(0), 4).count() == 1 and mosaic.mosaics(pixels.limit(0), frags, 4).count() == 0
+
+
+def test_larger_images_are_cut_and_others_fail(spark, tmp_path):
+    image = np.zeros((512, 512, 3), np.uint8)
+    image[:] = raster.BACKGROUND
+    image[250:262, 100:140] = (45, 170, 190)  # a pool over the border of two of the four tiles
+    for name, data in (("z=18/x=5/y=7", exports.png(image)), ("z=18/x=6/y=7", exports.png(image[:300, :300])), ("z=18/x=7/y=7", b"no image"), ("z=18/x=8/y=7", exports.png(image[:256, :256]))):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "tile.png").write_bytes(data)
+    pixels = image_pixels(spark, str(tmp_path)).cache()
+    assert {tuple(r) for r in pixels.select("z", "tx", "ty").distinct().collect()} == {(19, 10, 14), (19, 11, 14), (19, 10, 15), (19, 11, 15), (18, 8, 7)}
+    wet = {(r.tx, r.ty, r.px, r.py) for r in raster.water_mask(pixels.where("z = 19")).collect()}
+    assert wet == {(10, 14 + (y >= 256), x, y % 256) for y in range(250, 262) for x in range(100, 140)}
+    assert {tuple(r) for r in failed_images(spark, str(tmp_path)).collect()} == {(18, 6, 7), (18, 7, 7)} and raster.tile_components(pixels).count() == 3
