@@ -11,8 +11,14 @@ from importlib import import_module
 _PUBLIC = {
     "functions": ("color", "geo", "text"),
     "operators.detect": ("Limits", "clusters", "detections", "fragments", "merge_pairs", "merged", "parts_of", "ranked", "top", "totals", "visible"),
+    "operators.dated": ("as_of",),
+    "operators.diff": ("scan_diff",),
     "operators.raster": ("clean", "components", "tile_components", "tile_labels", "water_mask"),
     "plans.cover": ("cover", "estimate", "grid", "serpentine", "spiral"),
+    "plans.areas": ("estimates", "hilbert", "located", "ranges"),
+    "plans.resume": ("pending",),
+    "sinks.mosaic": ("mosaics",),
+    "streaming.merge": ("keep_merged", "messages", "progress"),
     "streaming.feed": ("changes", "keep_buckets", "keep_ranking", "keep_state", "latest"),
 }
 __all__ = sorted(name for names in _PUBLIC.values() for name in names)
