@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,18 +12,29 @@ from pyspark.sql import functions as F
 GOOGLE = "https://www.google.com/maps/search/?api=1&query="
 BING, BING_VIEW = "https://www.bing.com/maps?cp=", "&lvl=19&style=a"
 OSM = "https://www.openstreetmap.org/?mlat="
+#: Digits enough for any double with its decimals.
+_WIDE = Context(prec=400)
 CSV_HEADER = "rank,id,kind,lat,lon,area_m2,confidence,truncated,google_maps"
 
 
+def written(v: float, digits: int) -> str | None:
+    """As ``fixed``, for one number. Python's own format is exact but for ties, and a tie has a 5 after the last digit; only those go over decimals."""
+    if v is None or v != v:
+        return None
+    if f"{v:.{digits + 1}f}"[-1] != "5":
+        return f"{v:.{digits}f}"
+    return f"{Decimal(v).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, _WIDE):f}"
+
+
 def fixed(x, digits: int) -> Column:
-    """A number with so many decimals: its exact binary value, halves away from zero. The JVM's formats round the shortest decimal or to even, hence Arrow."""
+    """A number with so many decimals: its exact binary value, halves away from zero; null for null and NaN. The JVM's formats round the shortest decimal or to even, hence
+    Arrow. Spark hands all numbers of a projection to Python in one batch."""
 
     @F.pandas_udf("string")
-    def written(values: pd.Series) -> pd.Series:
-        step = Decimal(1).scaleb(-digits)
-        return values.map(lambda v: None if pd.isna(v) else f"{Decimal(v).quantize(step, ROUND_HALF_UP):f}")
+    def column(values: pd.Series) -> pd.Series:
+        return pd.Series([written(v, digits) for v in values.tolist()], dtype=object)
 
-    return written(x.cast("double"))
+    return column(x.cast("double"))
 
 
 def google_link(lat, lon) -> Column:

@@ -1,6 +1,8 @@
 """Scenarios of geodesy, rasters and detection on tiny tables."""
 
 import math
+import random
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 from pyspark.sql import functions as F
 
@@ -80,3 +82,13 @@ def test_feed_streams_to_the_same_state_as_the_batch(spark, tmp_path):
     last = max(int(p.name[2:]) for p in (tmp_path / "state").iterdir() if p.name.startswith("v="))
     state = spark.read.parquet(str(tmp_path / f"state/v={last}")).where("op <> 'remove'")
     assert sorted((r.id, r.seq) for r in state.collect()) == sorted((r.id, r.seq) for r in latest(events).collect())
+
+
+def test_numbers_are_written_exactly_with_halves_away_from_zero(spark):
+    rng = random.Random(2)
+    values = [0.5, -0.5, 1.5, 2.5, 0.125, -0.125, 8.35, 1.005, 0.25, 1e22, -1e-9, 0.0, 1e15 + 0.5, 123456.5] + [rng.uniform(-1000, 1000) for _ in range(3000)] + [rng.randrange(-4000, 4000) / 16 for _ in range(1000)]
+    for digits in (0, 1, 2, 6):
+        for v in values:
+            assert text.written(v, digits) == f"{Decimal(v).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, Context(prec=400)):f}", (v, digits)
+    rows = spark.createDataFrame([(v,) for v in (0.25, None, float("nan"), 2.5)], "v double").select(text.fixed(F.col("v"), 1).alias("a"), text.fixed(F.col("v"), 0).alias("b")).collect()
+    assert [tuple(r) for r in rows] == [("0.3", "0"), (None, None), (None, None), ("2.5", "3")]
