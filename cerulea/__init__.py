@@ -18,6 +18,8 @@ _PUBLIC = {
     "plans.areas": ("estimates", "hilbert", "located", "ranges"),
     "plans.resume": ("pending",),
     "sinks.mosaic": ("mosaics",),
+    "sinks.tiles": ("keep_tiles",),
+    "sources.images": ("failed_images", "image_pixels", "kept_failures", "kept_pixels", "not_kept"),
     "streaming.merge": ("keep_merged", "messages", "progress"),
     "streaming.feed": ("changes", "keep_buckets", "keep_ranking", "keep_state", "latest"),
 }

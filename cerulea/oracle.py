@@ -349,6 +349,10 @@ SELECT event_id, floor({_UNIT.format("sure")} * 1000 + 0.5)::DOUBLE / 1000 AS co
         "component_stats": "WITH RECURSIVE " + STATS + " SELECT * FROM stats",
         "event_log_latest": "WITH r AS (SELECT user_id AS id, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'remove' WHEN event_id % 3 = 0 THEN 'update' ELSE 'add' END AS op, round(value, 6) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) SELECT id, seq, op, value FROM r WHERE n = 1 AND op <> 'remove'",
         "coverage_stats": _map(f"SELECT count(*) AS tiles, round(sum(pow(256 * {_mpp(_lat('((ty + 0.5) * 256)', 19), 19)}, 2)), 1) AS swept_m2 FROM (SELECT DISTINCT tx, ty FROM pixels)", PIXELS),
+        "kept_tiles": _map(
+            "SELECT 19 AS z, tx, ty, 65536::BIGINT AS pixels, (sum(r) + (65536 - count(*)) * 120)::BIGINT AS red, (sum(g) + (65536 - count(*)) * 118)::BIGINT AS green, (sum(b) + (65536 - count(*)) * 115)::BIGINT AS blue FROM pixels WHERE tx % 3 <> 0 GROUP BY tx, ty",
+            PIXELS,
+        ),
         "fmt_links": _map("SELECT event_id, 'https://tiles.example/19/' || ty || '/' || tx AS url, CASE WHEN event_id >= 3600 THEN (event_id // 3600) || ':' ELSE '' END || lpad(((event_id // 60) % 60)::VARCHAR, 2, '0') || ':' || lpad((event_id % 60)::VARCHAR, 2, '0') AS duration FROM tiles", POINTS, TILES),
         "plan_cover": _map("SELECT * FROM cover", _cover()),
         "plan_estimate": _map("SELECT count(*) AS tiles FROM cover", _cover()),

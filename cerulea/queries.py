@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from cerulea.functions.color import confidence, hsv, is_strict
 from cerulea.operators import calibrate, dated, detect, diff, outline, raster
 from cerulea.plans import areas, cover
 from cerulea.sinks import exports, mosaic
-from cerulea.sinks.shared import stored
-from cerulea.sources import area, scene
+from cerulea.sinks.shared import shared_folder, stored
+from cerulea.sinks.tiles import keep_tiles
+from cerulea.sources import area, images, scene
 from cerulea.streaming.feed import latest
 
 ZOOMS = (3, 14, 19)
@@ -159,6 +161,18 @@ def mosaic_images(spark, sf_dir):
     return images.select("bx", "by", F.length("png").cast("long").alias("bytes"), F.sha2("png", 256).alias("sha256"))
 
 
+TEMPLATE = "https://tiles.example/{z}/{y}/{x}"
+
+
+def kept_tiles(spark, sf_dir):
+    """The scene's tiles written as image files under their cache names and read back, but for each third column: pixels and sums of their colours."""
+    folder = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    drawn = exports.tile_images(scene.supplier_pixels(spark, sf_dir)).withColumn("z", F.lit(scene.ZOOM))
+    keep_tiles(drawn, folder, TEMPLATE)
+    sums = [F.sum(c).alias(n) for c, n in (("r", "red"), ("g", "green"), ("b", "blue"))]
+    return images.kept_pixels(spark, folder, TEMPLATE, "tx % 3 <> 0").groupBy("z", "tx", "ty").agg(F.count("*").alias("pixels"), *sums)
+
+
 def merge_pairs(spark, sf_dir):
     return detect.merge_pairs(_fragments(spark, sf_dir))
 
@@ -373,7 +387,7 @@ def fmt_labels(spark, sf_dir):
 
 
 def cache_keys(spark, sf_dir):
-    url = text.tile_url("https://tiles.example/{z}/{y}/{x}", F.lit(19), F.col("tx"), F.col("ty"))
+    url = text.tile_url(TEMPLATE, F.lit(19), F.col("tx"), F.col("ty"))
     return geo_tile_of(spark, sf_dir).select("event_id", text.cache_key(F.lit(19), F.col("tx"), F.col("ty"), url).alias("file"))
 
 
@@ -432,9 +446,9 @@ def coverage_stats(spark, sf_dir):
 
 
 def fmt_links(spark, sf_dir):
-    url = text.tile_url("https://tiles.example/{z}/{y}/{x}", F.lit(19), F.col("tx"), F.col("ty"))
+    url = text.tile_url(TEMPLATE, F.lit(19), F.col("tx"), F.col("ty"))
     return geo_tile_of(spark, sf_dir).select("event_id", url.alias("url"), text.duration_label(F.col("event_id")).alias("duration"))
 
 
-QUERIES = {f.__name__: f for f in (geo_world_px, geo_tile_of, geo_tile_bbox, geo_mpp, geo_px_to_lonlat, geo_tile_histogram, point_in_ring, bbox_expand, ring_area, plan_cover, plan_serpentine, plan_spiral, plan_estimate, scene_pixels, px_hsv, px_water_mask, px_strict_ratio, components, component_stats, component_texture, fragments, merge_pairs, merged_detections, open_water, rank_all, rank_visible, top_k, csv_rows, event_log_latest, coverage_stats, fmt_links, boundary_sides, outline_rings, truncation, geojson_rows, aoi_bbox, aoi_permalink, segments_intersect, fmt_area, fmt_map_links, scan_detections, scan_ranking, scan_totals, scan_stats, plan_estimates, plan_grid, area_rectangles, fmt_labels, cache_keys, color_confidence, thumb_boxes, thumb_images, areas_cover, areas_estimate, areas_orders, areas_points, ring_bbox, bbox_intersects_ring, scan_diff, dated_imagery, calibration, mosaic_images)}
+QUERIES = {f.__name__: f for f in (geo_world_px, geo_tile_of, geo_tile_bbox, geo_mpp, geo_px_to_lonlat, geo_tile_histogram, point_in_ring, bbox_expand, ring_area, plan_cover, plan_serpentine, plan_spiral, plan_estimate, scene_pixels, px_hsv, px_water_mask, px_strict_ratio, components, component_stats, component_texture, fragments, merge_pairs, merged_detections, open_water, rank_all, rank_visible, top_k, csv_rows, event_log_latest, coverage_stats, fmt_links, boundary_sides, outline_rings, truncation, geojson_rows, aoi_bbox, aoi_permalink, segments_intersect, fmt_area, fmt_map_links, scan_detections, scan_ranking, scan_totals, scan_stats, plan_estimates, plan_grid, area_rectangles, fmt_labels, cache_keys, color_confidence, thumb_boxes, thumb_images, areas_cover, areas_estimate, areas_orders, areas_points, ring_bbox, bbox_intersects_ring, scan_diff, dated_imagery, calibration, mosaic_images, kept_tiles)}
 QUERIES |= {f"mask_{op.__name__}": partial(_per_tile, op) for op in (raster.erode, raster.dilate, raster.clean)}
