@@ -1,9 +1,12 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
-The patterns give base spans. The field then labels every token that holds a digit or an @ (all others are outside by definition): neighbours in the text share a potential,
-and so do a token and the next ones of the document with the same characters or the same shape, however far away. Loopy message passing makes the labels of a document
-consistent, so a number that the patterns reject in one place is still found where context, shape or its twin speak for it. Weights are learned from the base spans of a
-bounded sample of documents, by pseudo-likelihood; the features leave out what the patterns check (Luhn, ranges, the leading +).
+The patterns give base spans, which stay. The field labels every token that holds a digit or an @ (all others are outside by definition): neighbours in the text share a
+potential, and so do a token and the next ones of the document with the same characters or of a similar form, however far away. Base spans are observed, so loopy message
+passing carries what the patterns are sure of to the mentions that they reject: a card with a digit wrong beside the right one, a phone number without its plus.
+
+Weights are learned by pseudo-likelihood from a bounded sample of documents, whose labels are the base spans, and from further mentions put behind them: a base span of
+the document in its own surroundings, broken so that the pattern no longer takes it (a digit changed, the plus dropped, the dots of the domain or a part of 256 or more),
+with its label kept. Without those the field could only learn to repeat the patterns.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ CONFIDENCE = 0.5
 _FEATURES = 1 << 14
 _STEPS = 60
 _EDGES = 3
+_SURE = 50.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -79,6 +83,59 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def broken(kind: int, span: str, turn: int) -> str:
+    """A base span as someone might have mistyped it, so that its pattern takes it no more; ``turn`` picks the way."""
+    if kind == 0:
+        local, domain = span.rsplit("@", 1)
+        return f"{local}@{domain.split('.')[0] if turn % 2 else domain.replace('.', '')}"
+    if kind == 1:
+        parts = span.split(".")
+        parts[turn % 4] = str(256 + turn % 744)
+        return ".".join(parts)
+    if kind == 2:
+        places = [i for i, c in enumerate(span) if c.isdigit()][1:]
+        at = places[turn % len(places)]
+        return span[:at] + str((int(span[at]) + 1 + turn % 9) % 10) + span[at + 1 :]
+    return span[1:]
+
+
+def with_broken(text: str) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """A training text with its labelled spans: the base spans, and behind the text one broken mention of each kind that it has.
+
+    A broken card also makes a text of its own, where it is labelled as nothing: what tells it from any other number is the card that stands elsewhere.
+    """
+    spans, alone = base_spans(text), []
+    out, labelled, size = [text], list(spans), len(text)
+    for kind in sorted({k for _, k, _ in spans}):
+        mine = [(s, e) for s, k, e in spans if k == kind]
+        turn = zlib.crc32(text[mine[0][0] : mine[0][1]].encode("utf-8", "surrogatepass"))
+        s, e = mine[turn % len(mine)]
+        before, after = text[max(0, s - 24) : s].split()[-1:], text[e : e + 24].split()[:1]
+        lead, mention = "\n" + "".join(f"{w} " for w in before), broken(kind, text[s:e], turn)
+        out += [lead, mention, "".join(f" {w}" for w in after)]
+        labelled.append((size + len(lead), kind, size + len(lead) + len(mention)))
+        size += sum(map(len, out[-3:]))
+        if kind == 2:
+            alone.append(("".join(out[-3:]), []))
+    return [("".join(out), labelled), *alone]
+
+
+def similar(core: str, shape: str) -> list[str]:
+    """What tokens that are alike have in common; none for short numbers and the like, of which a text has many for no common reason.
+
+    Numbers of twelve digits and more are alike if they share their first or their second half, as they do with a digit wrong; two cards that only look alike are not.
+    """
+    if "@" in core.strip("@"):
+        return ["@"]
+    if shape.count(".") == 3:
+        return [re.sub("0+", "0", shape)]
+    digits = _digits(core)
+    if len(digits) >= 12:
+        half = len(digits) // 2
+        return [f"{digits[:half]} {len(digits)}", f"{len(digits)} {digits[half:]}"]
+    return [shape.lstrip("+")] if len(digits) >= 5 or core.startswith("(") else []
+
+
 @dataclass
 class Graph:
     """Tokens of some texts, and the edges between them: (token, later token, sort)."""
@@ -108,10 +165,11 @@ def graph(texts: list[str]) -> Graph:
             rows.append([hashed(f) for f in ("bias", f"shape {shape.lstrip('+')}", f"digits {min(size, 24)}", f"runs {re.sub('0+', '0', shape).lstrip('+')}", f"at {'@' in core} {core.count('.')}", f"part {size * 4 // max(1, len(core))}", f"before {''.join(before).lower()}", f"after {''.join(after).lower()}")])
             if i and text[-1] == n and s - end[-1] <= 2 and not whole[end[-1] : s].strip(" ()-."):
                 edges.append((i - 1, i, 0))
-            for sort, key in ((1, core), (2, shape)):
-                if (old := twin.get((sort, key))) is not None and not (sort == 2 and twin.get((1, core)) == old):
-                    edges.append((old, i, sort))
-            twin[1, core] = twin[2, shape] = i
+            same, alike = twin.get((1, core)), similar(core, shape)
+            edges += [(same, i, 1)] if same is not None else []
+            edges += [(old, i, 2) for old in {twin[2, key]: None for key in alike if (2, key) in twin} if old != same]
+            twin[1, core] = i
+            twin |= dict.fromkeys(((2, key) for key in alike), i)
             text.append(n)
             start.append(s)
             end.append(e)
@@ -119,10 +177,17 @@ def graph(texts: list[str]) -> Graph:
 
 
 def silver(g: Graph, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
-    """The kind of the base span that a token lies in, 0 if none."""
-    out = np.zeros(len(g.start), np.int64)
+    """The number of the label of the first span (sorted by start) that a token touches, 0 if none; tokens and spans are gone through together."""
+    out, at, text = np.zeros(len(g.start), np.int64), 0, -1
     for i, (n, s, e) in enumerate(zip(g.text, g.start, g.end, strict=True)):
-        out[i] = next((k + 1 for a, k, b in spans[n] if a < e and s < b), 0)
+        at, text = (at, text) if n == text else (0, n)
+        mine = spans[n]
+        while at < len(mine) and mine[at][2] <= s:
+            at += 1
+        k = at
+        while k < len(mine) and mine[k][0] < e and mine[k][2] <= s:
+            k += 1
+        out[i] = mine[k][1] + 1 if k < len(mine) and mine[k][0] < e else 0
     return out
 
 
@@ -131,9 +196,11 @@ class Model:
     unary: np.ndarray
     pair: np.ndarray
 
-    def marginals(self, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Loopy sum-product with damping, all documents of a block at once: a row for each token, a column for each label."""
+    def marginals(self, g: Graph, rounds: int = ROUNDS, observed: np.ndarray | None = None) -> np.ndarray:
+        """Loopy sum-product with damping, all documents of a block at once: a row for each token, a column for each label. Where ``observed`` is not 0 it is the label."""
         own = self.unary[g.features].sum(1)
+        if observed is not None:
+            own = np.where((observed > 0)[:, None], np.where(np.eye(len(LABELS), dtype=bool)[observed], 0.0, -_SURE), own)
         a, b, sort = g.edges.T
         source, target = np.concatenate([a, b]), np.concatenate([b, a])
         table = np.concatenate([self.pair[sort], self.pair[sort].transpose(0, 2, 1)])
@@ -153,18 +220,24 @@ class Model:
 
 
 def fitted(texts: list[str]) -> Model:
-    """Weights that maximise the pseudo-likelihood of the base spans' labels: each token given the labels of those it shares an edge with."""
-    g = graph(texts)
-    k, truth = len(LABELS), silver(g, [base_spans(t) for t in texts])
+    """Weights that maximise the pseudo-likelihood of the labels of base spans and of broken mentions: each token given the labels of those it shares an edge with."""
+    told = [x for t in texts for x in with_broken(t)]
+    g = graph([t for t, _ in told])
+    k, truth = len(LABELS), silver(g, [spans for _, spans in told])
     model = Model(np.zeros((_FEATURES, k)), np.zeros((_EDGES, k, k)))
     seen_u, seen_p = np.full(model.unary.shape, 1e-6), np.full(model.pair.shape, 1e-6)
+    # a token that the patterns reject though one like it is theirs is what the field is to decide, so it is no example of either
     a, b, sort = g.edges.T
+    known = np.ones(len(truth), bool)
+    for one, other in ((a, b), (b, a)):
+        known[one[(sort > 0) & (truth[one] == 0) & (truth[other] > 0)]] = False
+    a, b, sort = g.edges[known[a] & known[b]].T
     for _ in range(_STEPS if len(truth) else 0):
         logit = model.unary[g.features].sum(1)
         np.add.at(logit, a, model.pair[sort, :, truth[b]])
         np.add.at(logit, b, model.pair[sort, truth[a], :])
         p = np.exp(logit - logit.max(1, keepdims=True))
-        error = np.eye(k)[truth] - p / p.sum(1, keepdims=True)
+        error = (np.eye(k)[truth] - p / p.sum(1, keepdims=True)) * known[:, None]
         du = np.stack([np.bincount(g.features.ravel(), weights=np.repeat(error[:, c], g.features.shape[1]), minlength=_FEATURES) for c in range(k)], 1) - 0.01 * model.unary
         dp = -0.01 * model.pair
         np.add.at(dp, (sort, slice(None), truth[b]), error[a])
@@ -176,13 +249,19 @@ def fitted(texts: list[str]) -> Model:
     return model
 
 
+def possible(kind: int, span: str) -> bool:
+    """Whether a span might be meant as its kind: an @ between two parts, four numbers, or up to two digits more or less than the pattern wants."""
+    n = len(_digits(span))
+    return (bool(span.strip("@").count("@")), span.count(".") == 3 and n >= 4, 12 <= n <= 21, 8 <= n <= 17)[kind]
+
+
 def added_spans(model: Model, texts: list[str], base: list[list[tuple[int, int, int]]], confidence: float = CONFIDENCE) -> list[list[tuple[int, int, int]]]:
-    """Spans of the field that touch no base span; neighbours with one label make one span."""
+    """Spans of the field that touch no base span and are possible as their kind; neighbours with one label make one span. Base spans are observed."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     g = graph(texts)
     if not g.start:
         return out
-    p = model.marginals(g)
+    p = model.marginals(g, observed=silver(g, base))
     label = np.where(p.max(1) >= confidence, p.argmax(1), 0)
     joined = {(a, b) for a, b, sort in g.edges.tolist() if sort == 0}
     for i, k in enumerate(label.tolist()):
@@ -198,7 +277,7 @@ def added_spans(model: Model, texts: list[str], base: list[list[tuple[int, int,
         for s, k, e in spans:
             while at < len(taken) and taken[at][1] <= s:
                 at += 1
-            if not any(x < e and s < y for x, y in taken[max(0, at - 1) : at + 4]):
+            if possible(k, texts[n][s:e]) and not any(x < e and s < y for x, y in taken[max(0, at - 1) : at + 4]):
                 clear.append((s, k, e))
         out[n] = clear
     return out

@@ -392,3 +392,67 @@ def test_skip_edges_against_enumeration():
     assert np.allclose(model.marginals(g, 60), want, atol=1e-6)
     alone = pii.Graph(g.text, g.start, g.end, g.features, g.edges[:0])
     assert not np.allclose(model.marginals(alone), want, atol=1e-2)
+
+
+def test_broken_mentions_are_no_base_spans():
+    rng = random.Random(3)
+    for turn in range(400):
+        number = "".join(rng.choice("0123456789") for _ in range(15))
+        card = next(number + c for c in "0123456789" if pii._luhn(number + c))
+        for kind, span in enumerate((f"bob.{turn}@mail{turn}.example.com", ".".join(str(rng.randrange(256)) for _ in range(4)), " ".join(card[k : k + 4] for k in range(0, 16, 4)), "+1 (415) 555-0132")):
+            assert pii.base_spans(f"to {span} now") == [(3, kind, 3 + len(span))]
+            assert kind not in {k for _, k, _ in pii.base_spans(f"to {pii.broken(kind, span, turn)} now")} and pii.possible(kind, pii.broken(kind, span, turn))
+    ((text, spans),) = pii.with_broken("write bob@a.example.com here, or 10.0.0.1 there")
+    assert len(spans) == 4 and pii.base_spans(text) == spans[:2] and {k for _, k, _ in spans[2:]} == {0, 1} and all(pii.broken(k, text[a:b], 0) for a, k, b in spans[:2])
+    assert pii.with_broken("") == [("", [])] and pii.with_broken("1 of 2") == [("1 of 2", [])]
+    (_, both), (lone, none) = pii.with_broken("pay 4111111111111111 now")
+    assert len(both) == 2 and not none and lone.split()[0] == "pay" and not pii.base_spans(lone)
+
+
+def test_labels_of_tokens_against_all_pairs():
+    rng = random.Random(8)
+    for _ in range(300):
+        texts = ["".join(rng.choice(["a", "1", "22 ", ".", "@", "-", " ", "+", "4111111111111111 ", "+1 (415) 555-0132", "10.0.0.1 ", "b@c.d "]) for _ in range(rng.randrange(30))) for _ in range(3)]
+        g, spans = pii.graph(texts), [pii.base_spans(t) for t in texts]
+        want = [next((k + 1 for a, k, b in spans[n] if a < e and s < b), 0) for n, s, e in zip(g.text, g.start, g.end)]
+        assert pii.silver(g, spans).tolist() == want
+
+
+def test_the_field_finds_what_patterns_reject(spark):
+    """Broken mentions beside whole ones are found, numbers of another sort are left alone, and without skip edges a whole table loses spans."""
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    model = pii.train(docs)
+    planted = {"pay by 4111111111111111 or maybe 4111111111111112 then": "card:33:49", "call +1 (415) 555-0132 or 1 (415) 555-0132 now": "phone:26:42", "mail bob.12@mail.example.com or ann.3@mail now": "email:32:42", "from 10.20.30.40 and 10.20.300.41 up": "ip:21:33"}
+    clean = ["order 4111111111111112 was made", "heat 4736 in 2020 and 17", "chapter 3.1.2 of 12 pages", "see @handle"]
+    rows = pii.marked(spark.createDataFrame(enumerate([*planted, *clean]), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert all(want in r.spans.split(",") and r.n_added == 1 for r, want in zip(rows, planted.values())) and [r.n_added for r in rows[len(planted) :]] == [0] * len(clean)
+    apart = pii.Model(model.unary, np.concatenate([model.pair[:1], 0 * model.pair[1:]]))
+    assert pii.marked(docs, model).where("n_added > 0").count() <= 0.01 * docs.count()  # numbers that are no cards stay alone
+    slips, want = [], {}
+    for r in docs.where("doc_id is not null").select("doc_id", "text").collect():
+        cards = [(s, e) for s, k, e in pii.base_spans(r.text or "") if k == 2]
+        for s, e in cards[:1]:
+            slip = r.text[s:e][:7] + str((int(r.text[s + 7]) + 3) % 10) + r.text[s + 8 : e]
+            want[r.doc_id] = f"card:{len(r.text) + 14}:{len(r.text) + 14 + e - s}"
+            slips.append((r.doc_id, f"{r.text} or perhaps by {slip}"[: len(r.text) + 4] + f"maybe as: {slip} then"))
+    table = docs.join(spark.createDataFrame(slips, "doc_id long, more string"), "doc_id", "left").withColumn("text", F.coalesce("more", "text"))
+    found, lost = ({r.doc_id for r in pii.marked(table, m).collect() if want.get(r.doc_id) in r.spans.split(",")} for m in (model, apart))
+    assert len(want) > 20 and len(found) >= 0.95 * len(want) and len(lost) <= 0.1 * len(want)
+
+
+def test_pii_query_against_regular_expressions(spark):
+    """Every row of the query by regular expressions alone; spans hold the base spans, and those added touch none of them."""
+    sf = "/root/testdata/sf0.01"
+    fits = {"email": lambda x: True, "ip": lambda x: all(int(p) <= 255 for p in x.split(".")), "card": lambda x: 14 <= len(d := re.sub("[^0-9]", "", x)) <= 19 and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0, "phone": lambda x: 10 <= len(re.sub("[^0-9]", "", x)) <= 15}
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    texts = {r.doc_id: r.text or "" for r in read_table(spark, sf, "documents").select("doc_id", "text").collect()}
+    rows = pii.op4_skip_chain_pii(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        base = {k: [(m.start(), m.end()) for m in re.finditer(p, texts[r.doc_id]) if fits[k](m[0])] for k, p in patterns.items()}
+        order = sorted((s, n, k, e) for n, k in enumerate(base) for s, e in base[k])
+        marks = [f"{k}:{s}:{e}" for s, _, k, e in order]
+        assert r.base_sha256 == hashlib.sha256(",".join(marks).encode()).hexdigest() and [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(base[k]) for k in base]
+        found = r.spans.split(",") if r.spans else []
+        added = [(int(a), int(b)) for _, a, b in (x.split(":") for x in found if x not in marks)]
+        assert [x for x in found if x in marks] == marks and len(found) == len(marks) + r.n_added and not any(a < e and s < b for a, b in added for s, _, _, e in order)
