@@ -4,9 +4,10 @@ Windows of a document as long as a benchmark item get a 64-bit SimHash of their
 blocks of bits: with one block more than the radius, any two fingerprints within the radius agree in a block. What is found is verified by the exact weighted
 similarity of the shingles, sum of minima over sum of maxima.
 
-A window can only reach similarity 0.75 if at least three quarters of the item's shingles stand in it, so only such windows are fingerprinted: they are found by
-joining every shingle of every text with those of the items, and are looked up in the blocks of those items. This drops no window that could qualify. It is needed
-because the blocks alone select nothing at this similarity: fingerprints then differ in 17 % of their bits, so a radius that loses nothing leaves blocks of less than
+A window can only reach similarity 0.75 if at least three quarters of the item's shingles stand in it, so only such windows are fingerprinted, and are looked up in the
+blocks of those items. This drops no window that could qualify. Such a window holds one of any set of the item's shingles that make up more than a quarter of it, so texts
+and items meet by those that the fewest items have, and all shingles are counted only for the pairs that met: an instruction that thousands of items begin with joins
+nothing. It is needed because the blocks alone select nothing at this similarity: fingerprints then differ in 17 % of their bits, so a radius that loses nothing leaves blocks of less than
 1 / 0.17 bits, at any width.
 """
 
@@ -82,6 +83,16 @@ def item_table(items: DataFrame) -> DataFrame:
     return rows.withColumn("need", F.ceil(SIMILARITY * F.size("item") - 1e-9).cast("int"))
 
 
+def rarest(items: DataFrame) -> DataFrame:
+    """(key, h): of each item the shingles that the fewest items have (ties: by hash), as many as make up the item less ``need`` and one more; each h once."""
+    each = items.select("key", "need", F.size("item").alias("n"), F.explode("item").alias("h")).groupBy("key", "need", "n", "h").agg(F.count("*").alias("times"))
+    common = each.groupBy("h").agg(F.count("*").alias("among"))
+    # an item is one row, so its own shingles are a bounded group
+    ranked = each.join(common, "h").groupBy("key", "need", "n").agg(F.array_sort(F.collect_list(F.struct("among", "h", "times"))).alias("s"))
+    before = F.transform("s", lambda x, i: F.struct(x["h"].alias("h"), F.aggregate(F.slice("s", 1, i), F.lit(0).cast("long"), lambda a, y: a + y["times"]).alias("before")))
+    return ranked.select("key", F.explode(F.filter(before, lambda x: x["before"] <= F.col("n") - F.col("need"))).alias("x")).select("key", "x.h")
+
+
 def shared_weight(a, b):
     """How many elements two arrays of hashes have in common, each as often as it occurs in both: one pass over both, sorted together."""
     side = lambda hashes, k: F.transform(hashes, lambda h: F.struct(h.alias("h"), F.lit(k).alias("k")))
@@ -98,17 +109,22 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
     One row for a document and item, with the most similar window (ties: the first). A document shorter than an item counts as one window. Null texts, texts and items
     of fewer than five words match nothing. A document is its id and its text (own, their key), and so is an item: null ids, and ids that repeat with other texts, are
     searched and reported like others, and rows that repeat both count as one; of the items of one id and length the most similar is reported. Empty tables give no
-    rows. Items are broadcast only up to 1,000,000 shingles, beyond that they are shuffled.
+    rows. Items are broadcast only up to 1,000,000 shingles, and their index up to as many rows; beyond that they are shuffled.
     """
     items = stored(item_table(items), "items")
-    size = items.agg(F.sum(F.size("item")), F.max("n_words")).first()
-    small = F.broadcast if (size[0] or 0) <= BROADCAST_ROWS else (lambda x: x)
+    size = items.agg(F.sum(F.size("item")), F.max("n_words"), F.count("*")).first()
+    within = lambda rows: F.broadcast if rows <= BROADCAST_ROWS else (lambda x: x)
+    small, small_index = within(size[0] or 0), within(size[2] * (radius + 1))
     width = 16 if (size[1] or 0) < 1 << 16 else 32
 
     docs = docs.select("doc_id", "text", row_key().alias("own"))
-    seeds = items.select("key", "n_words", "need", F.explode(F.array_distinct("item")).alias("h"))
-    places = docs.select("own", words(F.col("text")).alias("w")).select("own", F.posexplode(shingles(F.col("w"))).alias("pos", "h"))
-    hits = places.join(small(seeds), "h").groupBy("own", "key", "n_words", "need").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    seen = docs.select("own", words(F.col("text")).alias("w")).select("own", F.explode(F.array_distinct(shingles(F.col("w")))).alias("h"))
+    met = stored(seen.join(small(rarest(items)), "h").select("own", "key").distinct(), "met")
+    texts = docs.join(met.select("own").distinct(), "own", "left_semi").select("own", "doc_id", words(F.col("text")).alias("w")).dropDuplicates(["own"])
+    texts = stored(texts.select("own", "doc_id", F.size("w").alias("total"), shingles(F.col("w")).alias("all")), "texts")  # read twice
+    wanted = met.join(small(items.select("key", "n_words", "need", F.array_distinct("item").alias("item"))), "key").select("own", "key", "n_words", "need", F.explode("item").alias("h"))
+    places = texts.select("own", F.posexplode("all").alias("pos", "h"))
+    hits = places.join(wanted, ["own", "h"]).groupBy("own", "key", "n_words", "need").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     # a window with enough shared shingles begins between the last of ``need`` successive places, less its length, and the first of them
     n, need = F.col("n_words") - WORDS + 1, F.col("need")
     first = lambda i: F.element_at("at", i)
@@ -118,8 +134,7 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
     wanted = hits.where(F.size("at") >= need).select("own", "key", "n_words", starts.alias("starts")).where(F.size("starts") > 0)
     wanted = wanted.groupBy("own").agg(F.collect_list(F.struct("key", "n_words", "starts")).alias("windows"))
 
-    texts = docs.join(wanted, "own").select("own", "doc_id", "windows", words(F.col("text")).alias("w"))
-    texts = texts.select("own", "doc_id", "windows", F.size("w").alias("total"), shingles(F.col("w")).alias("all"))
+    texts = texts.join(wanted, "own")
     texts = texts.select("own", "doc_id", "total", "all", F.explode("windows").alias("x"))
     room = F.greatest(F.col("total") - F.col("x.n_words"), F.lit(0))
     kept = F.array_distinct(F.transform("x.starts", lambda s: F.least(F.greatest(s, F.lit(0)), room)))
@@ -130,7 +145,7 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_w"))) <= radius
     place = ["own", "key", "start_word"]
     looked = windows.select(*place, "fp_w", F.explode(index_keys(F.col("fp_w"), radius)).alias("bits"))
-    found = looked.join(small(index), ["key", "bits"]).where(near).select(*place).distinct()
+    found = looked.join(small_index(index), ["key", "bits"]).where(near).select(*place).distinct()
     both = windows.join(found, place, "left_semi").join(small(items.select("item_id", "key", "item")), "key")
     scored = both.select("own", "doc_id", "item_id", "n_words", "start_word", (F.size("item") + F.size("window")).alias("sizes"), shared_weight("item", "window").alias("common"))
     scored = scored.withColumn("similarity", F.col("common") / (F.col("sizes") - F.col("common"))).where(F.col("similarity") >= SIMILARITY)

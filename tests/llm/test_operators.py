@@ -434,10 +434,10 @@ def test_the_field_finds_what_patterns_reject(spark):
         for s, e in cards[:1]:
             slip = r.text[s:e][:7] + str((int(r.text[s + 7]) + 3) % 10) + r.text[s + 8 : e]
             want[r.doc_id] = f"card:{len(r.text) + 14}:{len(r.text) + 14 + e - s}"
-            slips.append((r.doc_id, f"{r.text} or perhaps by {slip}"[: len(r.text) + 4] + f"maybe as: {slip} then"))
+            slips.append((r.doc_id, f"{r.text} or maybe as: {slip} then"))
     table = docs.join(spark.createDataFrame(slips, "doc_id long, more string"), "doc_id", "left").withColumn("text", F.coalesce("more", "text"))
     found, lost = ({r.doc_id for r in pii.marked(table, m).collect() if want.get(r.doc_id) in r.spans.split(",")} for m in (model, apart))
-    assert len(want) > 20 and len(found) >= 0.95 * len(want) and len(lost) <= 0.1 * len(want)
+    assert len(want) > 15 and len(found) >= 0.95 * len(want) and len(lost) <= 0.1 * len(want)
 
 
 def test_pii_query_against_regular_expressions(spark):
@@ -456,3 +456,38 @@ def test_pii_query_against_regular_expressions(spark):
         found = r.spans.split(",") if r.spans else []
         added = [(int(a), int(b)) for _, a, b in (x.split(":") for x in found if x not in marks)]
         assert [x for x in found if x in marks] == marks and len(found) == len(marks) + r.n_added and not any(a < e and s < b for a, b in added for s, _, _, e in order)
+
+
+def test_items_and_texts_meet_by_rare_shingles(spark):
+    """Items that begin alike: texts that only share the beginning meet none of them, and what is planted is found as without the filter."""
+    rng = random.Random(12)
+    start = [f"instruction{k}" for k in range(12)]
+    some = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)]
+    items = [(k, " ".join(start + some(40))) for k in range(150)] + [(900, " ".join(start)), (901, "one two three four five " * 9), (902, "one two three four five " * 9), (903, " ".join(["same"] * 30))]
+    held = dict(items)
+    texts = [(k, " ".join(some(20) + start + some(40))) for k in range(150)]
+    texts += [(1000 + k, " ".join(some(10)) + " " + held[k] + " " + " ".join(some(10))) for k in range(0, 150, 5)]
+    texts += [(2000 + k, " ".join(held[k].split()[:22] + ["changed"] + held[k].split()[23:])) for k in range(0, 150, 7)] + [(3000, "x " + held[901] + "y"), (3001, " ".join(["same"] * 200))]
+    docs, table = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    shingled = {k: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] for k, w in ((k, t.split()) for k, t in items)}
+    among = Counter(h for s in shingled.values() for h in set(s))
+    chosen = defaultdict(set)
+    for r in decontam.rarest(decontam.item_table(table)).join(decontam.item_table(table).select("key", "item_id", "item"), "key").collect():
+        chosen[r.item_id] |= {shingled[r.item_id][i] for i, h in enumerate(r.item) if h == r.h}
+    for k, s in shingled.items():
+        times, mine = Counter(s), chosen[k]
+        left = len(s) - sum(times[h] for h in mine)
+        assert left < -(-3 * len(s) // 4) and max(among[h] for h in mine) <= min((among[h] for h in times if h not in mine), default=10**6)  # the rest alone never reaches 0.75
+    want = set()
+    for d, text in texts:
+        w = text.split()
+        own = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        for k, s in shingled.items():
+            if set(own) & set(s):
+                for at in range(max(1, len(own) - len(s) + 1)):
+                    both = (Counter(own[at : at + len(s)]) & Counter(s)).total()
+                    if both / (len(own[at : at + len(s)]) + len(s) - both) >= 0.75:
+                        want.add((d, k))
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, table).collect()} == want and len(want) > 200
+    begun = {d for d, k in want if k == 900}
+    assert begun >= set(range(150))
