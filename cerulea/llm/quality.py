@@ -1,8 +1,8 @@
 """Quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-Terms describe how a text is written: runs of character classes (case, digits, white space, each sign) up to four long, how much of it repeats, how long it is. Their
-TF-IDF matrix over labelled documents gives the latent space; the labelled vectors are broadcast, every document's cosines to all of them are exact, computed in
-blocks, and the nearest vote with their similarity as weight.
+Terms are the words of a text, and how it is written: runs of character classes (case, digits, white space, each sign) up to four long, how much of it repeats, how
+long it is. Their TF-IDF matrix over labelled documents gives the latent space by its singular vectors; the model with the labelled vectors is broadcast, every
+document's cosines to all of them are exact, computed in blocks, and the nearest vote with their similarity as weight.
 """
 
 from __future__ import annotations
@@ -19,12 +19,15 @@ from cerulea.llm.common import SAMPLE_CHARS, RollingHash, held_out, mix64, read_
 
 LABELLED_ROWS = 2000
 NEIGHBOURS = 15
-LATENT = 48
+LATENT = 64
 THRESHOLD = 0.7
 _TERMS = 2048
 _EXTRA = 64
+_WORDS = 2048
+#: Part of the words in a text's squared length; the rest is how it is written.
+WORD_SHARE = 0.25
 _ORDERS = 4
-#: Texts in a block: the counts of a block take 2,112 floats a text.
+#: Texts in a block: the counts of a block take 4,160 floats a text.
 _BLOCK_ROWS = 1024
 
 
@@ -37,16 +40,20 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _BLANK = np.isin(_CLASS, (4, 5))
+_LETTER = np.isin(_CLASS, (1, 2, 3))
 
 
 def term_counts(texts: list[str | None]) -> np.ndarray:
-    """A row for each text: how often it has each hashed term, the last 64 columns being steps of repetition and of length. Null counts as empty."""
+    """A row for each text: how often it has each hashed run of classes, 64 columns of steps of repetition and of length, and how often it has each hashed word (letters
+    and digits, A-Z as a-z). Null counts as empty."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(r) + 1 for r in raw])
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
-    out = np.zeros((len(texts), _TERMS + _EXTRA), np.float32)
+    out = np.zeros((len(texts), _TERMS + _EXTRA + _WORDS), np.float32)
 
     kind = _CLASS[data].astype(np.uint64)
     # the upper-case letters of Latin-1 are C3 80 to C3 9E
@@ -66,7 +73,8 @@ def term_counts(texts: list[str | None]) -> np.ndarray:
 
     start, end = word_bounds(~_BLANK[data] & (data != 0))
     of = np.searchsorted(ends, start, side="right")
-    word = RollingHash(data).of(start, end)
+    hashes = RollingHash(_LOWER[data])
+    word = hashes.of(start, end)
     words = np.bincount(of, minlength=len(texts))
     for k, gap in enumerate((1, 2)):  # pairs of neighbours, and of next neighbours, that the text has had before
         pair, at = mix64(word[:-gap] * np.uint64(3) + word[gap:]), of[:-gap]
@@ -79,9 +87,22 @@ def term_counts(texts: list[str | None]) -> np.ndarray:
         total = out[:, :_TERMS].sum(1)
         out[np.arange(len(texts)), _TERMS + 16 * k + np.minimum(15, (share * 16).astype(int))] = total / 8 + 1
     out[np.arange(len(texts)), _TERMS + 32 + np.minimum(31, 2 * np.log2(words + 1)).astype(int)] = out[:, :_TERMS].sum(1) / 64 + 1
+
+    start, end = word_bounds(_LETTER[data])
+    of, term = np.searchsorted(ends, start, side="right"), (mix64(hashes.of(start, end)) % np.uint64(_WORDS)).astype(np.int64)
+    out[:, _TERMS + _EXTRA :] = np.bincount(of * _WORDS + term, minlength=len(texts) * _WORDS).reshape(len(texts), _WORDS)
     return out
 
 
+def _weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Rows of length 1 (a text without words: shorter): both kinds of terms by the root of their frequency and by idf, each scaled to its part."""
+    style = _TERMS + _EXTRA
+    for part, share in ((slice(0, style), 1 - WORD_SHARE), (slice(style, None), WORD_SHARE)):
+        x[:, part] = np.sqrt(x[:, part]) * idf[part]
+        x[:, part] *= np.sqrt(share) / np.maximum(np.linalg.norm(x[:, part], axis=1, keepdims=True), 1e-12)
+    return x
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -90,9 +111,7 @@ class Model:
     labels: np.ndarray
 
     def latent(self, texts: list[str | None]) -> np.ndarray:
-        x = term_counts(texts)
-        x = np.sqrt(x / x.sum(1, keepdims=True)) * self.idf
-        z = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ self.axes
+        z = _weighted(term_counts(texts), self.idf) @ self.axes
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def scores(self, texts: list[str | None], neighbours: int = NEIGHBOURS) -> np.ndarray:
@@ -106,15 +125,17 @@ class Model:
 
 
 def fitted(texts: list[str], labels: list[int], latent: int = LATENT) -> Model | None:
-    """The latent axes are the first eigenvectors of the terms' second moments over the labelled texts."""
+    """The latent axes are the first right singular vectors of the labelled texts' term matrix, taken from the products of its rows: there are fewer texts than terms."""
     if not texts:
         return None
     x = np.concatenate([term_counts(texts[lo:hi]) for lo, hi in text_blocks(texts, rows=_BLOCK_ROWS)])
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(0.1)
-    x = np.sqrt(x / x.sum(1, keepdims=True)) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    _, axes = np.linalg.eigh(x.T @ x)
-    model = Model(idf, axes[:, ::-1][:, :latent].astype(np.float32), np.zeros((0, 0)), np.asarray(labels, np.float64))
+    x = _weighted(x, idf)
+    power, rows = np.linalg.eigh((x @ x.T).astype(np.float64))
+    power, rows = power[::-1][:latent], rows[:, ::-1][:, :latent]
+    real = power > 1e-6 * power[0]
+    axes = (x.T @ rows[:, real]) / np.sqrt(power[real])
+    model = Model(idf, axes.astype(np.float32), np.zeros((0, 0)), np.asarray(labels, np.float64))
     model.vectors = np.concatenate([model.latent(texts[lo:hi]) for lo, hi in text_blocks(texts, rows=_BLOCK_ROWS)]).astype(np.float32)
     return model
 
@@ -132,10 +153,13 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
     """(doc_id, held_out, score, predicted) for every document; nothing but the text enters a score.
 
     Null and empty texts are scored by their terms of length and repetition; null ids and repeated rows are rows like others (a null id is not held out: it has no
-    remainder, so held_out is null). Without any labelled row scores are 0.5. An empty table gives no rows. A narrow step in blocks of whole texts.
+    remainder, so held_out is null). Without any labelled row scores are 0.5. An empty table gives no rows. A narrow step in blocks of whole texts. The model is
+    broadcast: 4,160 rows of axes and as many vectors as labelled rows, ``LABELLED_ROWS`` at most unless ``train`` is told otherwise, each of ``LATENT`` numbers: 2 MB.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in text_blocks(texts, rows=_BLOCK_ROWS):

@@ -120,6 +120,27 @@ def test_quality_on_held_out_rows(spark, odd, none):
     assert quality.scored(odd, None).count() == odd.count() and quality.scored(none, quality.train(none, labels)).count() == 0
 
 
+def test_quality_knows_words_and_not_only_how_they_are_written(spark):
+    """Texts of one form whose label lies in their words alone; with other letters in place of theirs, scores change."""
+    rng = random.Random(5)
+    good, bad = ([w for w in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60))] for _ in range(2))
+    made = [(k, " ".join(rng.choice((bad, good)[k % 2] if rng.random() < 0.8 else good + bad) for _ in range(40)), k % 2) for k in range(400)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, quality int")
+    model = quality.train(docs, docs)
+    rows = quality.scored(docs, model).where("held_out").collect()
+    assert len(rows) > 60 and sum(r.predicted == r.doc_id % 2 for r in rows) >= 0.95 * len(rows)
+    other = docs.withColumn("text", F.translate("text", "abcdefghijklmnopqrstuvwxyz", "nopqrstuvwxyzabcdefghijklm"))
+    new = {r.doc_id: r.score for r in quality.scored(other, model).collect()}
+    assert sum(abs(new[r.doc_id] - r.score) > 0.05 for r in rows) >= 0.9 * len(rows)
+
+
+def test_quality_without_labels(spark, odd):
+    empty = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.train(odd, empty) is None
+    same = quality.train(odd, spark.createDataFrame([(4, 1), (6, 1), (1, 1), (1, None), (None, 0)], "doc_id long, quality int"))
+    assert all(r.score == 1.0 for r in quality.scored(odd, same).collect())
+
+
 def test_language_on_held_out_rows(spark, odd, none):
     docs = read_table(spark, SF, "documents")
     model = langid.train(docs)
