@@ -19,7 +19,11 @@ from cerulea.llm.common import read_table, stored
 BLOCK_ROWS = 16
 PERIOD = 1000
 MOST_SOURCES = 10_000
-NO_SOURCE = "(none)"
+
+
+def key_of(source: str | None) -> str:
+    """What a source goes by inside: a null one is told from every name, and sorts first."""
+    return "" if source is None else "=" + source
 
 
 def quantised(share: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -45,49 +49,49 @@ def one_period(slots: dict[str, int]) -> list[tuple[str, int, int]]:
 
 
 def target_weights(counts: dict[str, int], weights: dict[str, float] | None, period: int = PERIOD) -> dict[str, int]:
-    """Slots a period by source. Without ``weights``: as the square root of the rows, which lifts small sources. A source without a weight gets one slot."""
+    """Slots a period by key of the source. Without ``weights``: as the square root of the rows, which lifts small sources. A source without a weight gets one slot."""
     if weights is None:
         return quantised({s: math.sqrt(n) for s, n in counts.items()}, period) if counts else {}
     given = quantised({s: w for s, w in weights.items() if s in counts and w > 0} or {"": 1.0}, period)
     return {s: given.get(s, 1) for s in counts}
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, keep: tuple[str, ...] = ()) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, mix_source, block, place, release, deadline, mix_slot) for every row, and the columns named in ``keep``: sorted by mix_slot and place, the corpus is mixed.
 
-    Rows of a source go by doc_id; a null source is a source of its own, null ids come first, equal ids in any order, each row with a place of its own; no other column
+    Rows of a source go by doc_id; a null source is a source of its own (mix_source is null, its weight goes by None), null ids come first, equal ids in any order, each row with a place of its own; no other column
     is read. No row is dropped or repeated: when a source runs out its slots stay empty and the others keep their ratio. An empty table gives no rows. Rows are dealt
     in ranges of (source, doc_id) that Spark draws from a sample, equal ids included, so neither a source with most rows, an id far off nor an id that repeats fills a
     task; the place within a source comes from the numbers of the rows in their range and the counts of the ranges before.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("source", F.lit(NO_SOURCE)).alias("mix_source"), *keep)
-    order = [F.col("mix_source"), F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), *keep)  # as key_of
+    order = [F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("tie")]
     rows = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
     rows = stored(rows.withColumns({"part": F.spark_partition_id(), "seq": F.monotonically_increasing_id()}), "mix-order")  # numbers are drawn once
 
-    ranges = rows.groupBy("mix_source", "part").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    found = rows.groupBy("mix_source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    ranges = rows.groupBy("key", "part").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    found = rows.groupBy("key").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: weights are kept per source, so map the sources to fewer groups first")
-    slots = target_weights({r["mix_source"]: r["n"] for r in found}, weights, period)
+    slots = target_weights({r["key"]: r["n"] for r in found}, weights and {key_of(s): w for s, w in weights.items()}, period)
     total = max(1, sum(slots.values()))
-    before = Window.partitionBy("mix_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # a source has a row here for each range it has rows in
-    starts = ranges.select(F.col("mix_source").alias("s_source"), F.col("part").alias("s_part"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    weight = spark.createDataFrame(sorted(slots.items()), "mix_source string, w long")  # MOST_SOURCES rows at most
-    pattern = spark.createDataFrame(one_period(slots), "mix_source string, i long, at long")  # a row for each slot of a period
+    starts = ranges.select(F.col("key").alias("s_key"), F.col("part").alias("s_part"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    weight = spark.createDataFrame(sorted(slots.items()), "key string, w long")  # MOST_SOURCES rows at most
+    pattern = spark.createDataFrame(one_period(slots), "key string, i long, at long")  # a row for each slot of a period
     place = F.col("seq") + F.col("shift")
     block = F.floor(place / block_rows).cast("long")
     return (
-        rows.join(starts, (F.col("mix_source") == F.col("s_source")) & (F.col("part") == F.col("s_part")))
-        .select("doc_id", "mix_source", block.alias("block"), (place % block_rows).alias("place"), *keep)
-        .join(F.broadcast(weight), "mix_source")
+        rows.join(starts, (F.col("key") == F.col("s_key")) & (F.col("part") == F.col("s_part")))
+        .select("doc_id", "key", block.alias("block"), (place % block_rows).alias("place"), *keep)
+        .join(F.broadcast(weight), "key")
         .withColumn("i", F.col("block") % F.col("w"))
-        .join(F.broadcast(pattern), ["mix_source", "i"])
+        .join(F.broadcast(pattern), ["key", "i"])
         .select(
             "doc_id",
-            "mix_source",
+            F.expr("CASE WHEN key <> '' THEN substr(key, 2) END").alias("mix_source"),
             "block",
             "place",
             F.expr(f"(block * {total}) div w").alias("release"),
@@ -103,9 +107,9 @@ def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL = f"""
-WITH RECURSIVE named AS (SELECT doc_id, coalesce(source, '{NO_SOURCE}') AS mix_source FROM documents),
-counts AS (SELECT mix_source, count(*) AS n FROM named GROUP BY 1),
-weights AS (SELECT mix_source, greatest(1, floor({PERIOD} * sqrt(n) / (SELECT sum(sqrt(n)) FROM counts) + 0.5))::BIGINT AS w, row_number() OVER (ORDER BY mix_source) AS k FROM counts),
+WITH RECURSIVE named AS (SELECT doc_id, coalesce('=' || source, '') AS key FROM documents),
+counts AS (SELECT key, count(*) AS n FROM named GROUP BY 1),
+weights AS (SELECT key, greatest(1, floor({PERIOD} * sqrt(n) / (SELECT sum(sqrt(n)) FROM counts) + 0.5))::BIGINT AS w, row_number() OVER (ORDER BY key) AS k FROM counts),
 lists AS (SELECT list(w ORDER BY k) AS ws, sum(w)::BIGINT AS total, count(*) AS n FROM weights),
 edf(t, sent, pick) AS (
   SELECT 0::BIGINT, list_transform(ws, lambda x: 0::BIGINT), 0::BIGINT FROM lists
@@ -115,11 +119,11 @@ edf(t, sent, pick) AS (
           THEN (((sent[k] + 1) * total + w - 1) // w) * 100000 + k ELSE 9000000000000000000 END)) AS best FROM edf, lists WHERE t < total)
 ),
 pattern AS (SELECT pick AS k, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS i, t - 1 AS slot_at FROM edf WHERE t > 0),
-placed AS (SELECT doc_id, mix_source, row_number() OVER (PARTITION BY mix_source ORDER BY doc_id) - 1 AS p FROM named)
-SELECT doc_id, mix_source, p // {BLOCK_ROWS} AS block, p % {BLOCK_ROWS} AS place,
+placed AS (SELECT doc_id, key, row_number() OVER (PARTITION BY key ORDER BY doc_id) - 1 AS p FROM named)
+SELECT doc_id, CASE WHEN key <> '' THEN substr(key, 2) END AS mix_source, p // {BLOCK_ROWS} AS block, p % {BLOCK_ROWS} AS place,
   ((p // {BLOCK_ROWS}) * total) // w AS release, ((p // {BLOCK_ROWS} + 1) * total + w - 1) // w AS deadline,
   ((p // {BLOCK_ROWS}) // w) * total + slot_at AS mix_slot
-FROM placed JOIN weights USING (mix_source) CROSS JOIN lists JOIN pattern ON pattern.k = weights.k AND pattern.i = (p // {BLOCK_ROWS}) % w
+FROM placed JOIN weights USING (key) CROSS JOIN lists JOIN pattern ON pattern.k = weights.k AND pattern.i = (p // {BLOCK_ROWS}) % w
 """
 
 ORACLE_SQL = {"op1_pfair_mix": _SQL}
