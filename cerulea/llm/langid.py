@@ -23,6 +23,8 @@ EPOCHS = 12
 SPAN = 20
 SEQUENCE = 100
 PIECE = 64
+#: Languages up to which chains are cut into pieces.
+FEW = 16
 UNKNOWN = "und"
 _SIZES = {"trigram": 1 << 15, "affix": 1 << 14, "lexicon": 1 << 16}
 _IN_WORD = np.zeros(256, bool)
@@ -79,22 +81,25 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def forward_backward(emit: np.ndarray, step: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward messages, and the probability of each language, at each word, for chains that begin at ``first``; exact, for chains of any length.
 
-    Chains are cut into pieces of 64 words. The product of a piece's transfer matrices carries messages across it, so all pieces advance together.
+    Chains are cut into pieces of 64 words. The product of a piece's transfer matrices carries messages across it, so all pieces advance together. Such a product takes
+    the cube of the number of languages a word and a piece holds their square, so beyond ``FEW`` languages chains stay whole and advance side by side.
     """
     n, k = emit.shape
     count = np.diff(np.append(first, n))
-    pieces = -(-count // PIECE)
+    piece = PIECE if k <= FEW else int(count.max(initial=1))
+    pieces = -(-count // piece)
     chain = np.repeat(np.arange(len(first)), pieces)
     nth = np.arange(len(chain)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = first[chain] + nth * PIECE
-    length = np.minimum(PIECE, count[chain] - nth * PIECE)
-    across = np.broadcast_to(np.eye(k), (len(chain), k, k)).copy()
-    for t in range(PIECE):
-        on = np.flatnonzero(length > t)
-        if not len(on):
-            break
-        moved = (across[on] @ step) * emit[begin[on] + t][:, None, :]
-        across[on] = moved / moved.sum((1, 2), keepdims=True)
+    begin = first[chain] + nth * piece
+    length = np.minimum(piece, count[chain] - nth * piece)
+    if pieces.max(initial=0) > 1:
+        across = np.broadcast_to(np.eye(k), (len(chain), k, k)).copy()
+        for t in range(piece):
+            on = np.flatnonzero(length > t)
+            if not len(on):
+                break
+            moved = (across[on] @ step) * emit[begin[on] + t][:, None, :]
+            across[on] = moved / moved.sum((1, 2), keepdims=True)
     ahead, behind = np.full((len(chain), k), 1 / k), np.full((len(chain), k), 1 / k)
     for j in range(1, int(pieces.max(initial=0))):
         p = np.flatnonzero(nth == j)
@@ -103,13 +108,13 @@ def forward_backward(emit: np.ndarray, step: np.ndarray, first: np.ndarray) -> t
         p = np.flatnonzero(nth == j)
         behind[p - 1] = _unit((across[p] @ behind[p][:, :, None])[:, :, 0])
     out = np.empty_like(emit)
-    for t in range(PIECE):
+    for t in range(piece):
         on = np.flatnonzero(length > t)
         if not len(on):
             break
         ahead[on] = out[begin[on] + t] = _unit((ahead[on] @ step) * emit[begin[on] + t])
     forward = out.copy()
-    for t in range(PIECE - 1, -1, -1):
+    for t in range(piece - 1, -1, -1):
         on = np.flatnonzero(length > t)
         at = begin[on] + t
         out[at] *= behind[on]
@@ -156,11 +161,12 @@ def fitted(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Model |
 
 def training_rows(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, most_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """(text, lang) to learn from: of the ``most_languages`` values of lang with most rows, at most ``per_language`` ids by hash of the id, never a held-out one, and
-    each language's part of ``most_chars`` characters. Only ids are ranked, not texts; of an id that repeats within a language one text counts."""
+    each language's part of ``most_chars`` characters (of 16 parts in as many as there are languages, beyond 16). Only ids are ranked, not texts; of an id that repeats within a language one text counts."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return []
+    most_chars = most_chars * 16 // max(16, len(counts))  # a word has a number for each language
     # the smallest hashes of a language are sought, so ids far above them are not ranked at all
     far = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, -(2**63) + min(2**64 - 1, 2**64 * 20 * per_language // n))])
     near = known.where(F.xxhash64("doc_id") <= F.try_element_at(far, F.col("lang"))).select("doc_id", "lang").distinct()
@@ -179,6 +185,7 @@ def training_rows(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, most_l
 
 
 def train(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, most_chars: int = SAMPLE_CHARS) -> Model | None:
+    """The field learned from ``training_rows``; None where there is none to learn from, or none with a word."""
     rows = training_rows(docs, per_language, most_languages, most_chars)
     return fitted([t for t, _ in rows], [x for _, x in rows]) if rows else None
 
@@ -207,11 +214,13 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     fields = [f for f in docs.schema if f.name not in ("lang_pred", "lang_score")]
     docs = docs.select(*[f.name for f in fields])
+    k = len(model.languages) if model else 1
+    size = (1 << 21) * 16 // max(16, k)  # a word has a number for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for lo, hi in text_blocks(texts):
+            for lo, hi in text_blocks(texts, size):
                 names, score = predicted(model, texts[lo:hi])
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], names=[*part.schema.names, "lang_pred", "lang_score"])
