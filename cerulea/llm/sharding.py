@@ -7,16 +7,20 @@ the mean is held in several parts, each with an entry of its own in the map.
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cerulea.llm.common import read_table, stored
+from cerulea.sinks.shared import file_system, shared_folder
 
 N_SLOTS = 4096
 ROW_BYTES = 16
 HOT = 4
+TOLERANCE = 0.001
+MAP = "n_slots int, n_shards int, vslot int, part int, shard int, first long"
 MIX_RANGE = 1024
 
 
@@ -61,7 +65,7 @@ def initial_map(n_slots: int, n_shards: int) -> list[int]:
     return [s % n_shards for s in range(n_slots)]
 
 
-def rebalanced(current: list[int], size: dict[int, int], n_shards: int, tolerance: float = 0.001) -> list[int]:
+def rebalanced(current: list[int], size: dict[int, int], n_shards: int, tolerance: float = TOLERANCE) -> list[int]:
     """The map edited until bytes per shard are near equal, moving as few slots as it can.
 
     Again and again the heaviest shard hands the lightest the slot, or swaps with it the pair of slots, that comes nearest to halving their gap. It ends
@@ -116,39 +120,70 @@ def grown(current: list[int], size: dict[int, int], n_shards: int) -> list[int]:
         loads[k] -= b
 
 
-def shard_map(spark: SparkSession, held: dict, n_slots: int, n_shards: int) -> DataFrame:
-    """(version, vslot, part, shard, first): versions 0 and 1 of the map, stored in the shared folder, for {(vslot, part): (bytes, rows)}.
+def map_versions(spark: SparkSession, folder: str) -> list[int]:
+    """The finished versions of the map in a folder, oldest first: each is a table of its own, which counts once Spark has marked it as written whole."""
+    system, where = file_system(spark, f"{folder}/version-*/_SUCCESS")
+    return sorted(int(f.getPath().getParent().getName().rpartition("-")[2]) for f in system.globStatus(where) or [])
 
-    first: how many rows of the shard lie in earlier slots.
+
+def read_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """(n_slots, n_shards, vslot, part, shard, first) of a version of the map, the newest unless told otherwise. first: how many rows of the shard lie in earlier slots."""
+    return spark.read.schema(MAP).parquet(f"{folder}/version-{map_versions(spark, folder)[-1] if version is None else version:06d}")
+
+
+def write_map(spark: SparkSession, folder: str, version: int, entries: dict[tuple[int, int], int], held: dict, n_slots: int, n_shards: int) -> None:
+    """Stores {(vslot, part): shard} as one version; what a writer that died left of it is written over. One writer at a time."""
+    rows, filled = [], [0] * n_shards
+    for key, k in sorted(entries.items()):
+        rows.append((n_slots, n_shards, *key, k, filled[k]))
+        filled[k] += held.get(key, (0, 0))[1]
+    spark.createDataFrame(rows, MAP).coalesce(1).write.mode("overwrite").parquet(f"{folder}/version-{version:06d}")  # 2 * n_slots rows at most
+
+
+def edit_map(spark: SparkSession, folder: str, held: dict, n_slots: int, n_shards: int, tolerance: float = TOLERANCE) -> int:
+    """Reads the newest version of the map, evens it out for {(vslot, part): (bytes, rows)}, stores the result as the next version and returns its number.
+
+    An empty folder gets a first version that knows only the slots. Parts that are new start ``part`` shards after their slot's. For each shard more than the version
+    has, slots go to it alone from the others; slots of shards beyond ``n_shards`` are dealt to the rest. Then slots move until bytes are even within ``tolerance``.
     """
+    versions = map_versions(spark, folder)
+    if not versions:
+        write_map(spark, folder, 0, {(s, 0): k for s, k in enumerate(initial_map(n_slots, n_shards))}, {}, n_slots, n_shards)
+        versions = [0]
+    old = read_map(spark, folder, versions[-1]).collect()
+    if old[0]["n_slots"] != n_slots:
+        raise ValueError(f"the map in {folder} has {old[0]['n_slots']} slots, which hold for ever, not {n_slots}")
+    before, shards = {(r["vslot"], r["part"]): r["shard"] for r in old}, min(old[0]["n_shards"], n_shards)
     keys = sorted({(s, 0) for s in range(n_slots)} | set(held))
-    versions = [[(s + part) % n_shards for s, part in keys]]
-    versions.append(rebalanced(versions[0], {k: held[key][0] for k, key in enumerate(keys) if key in held}, n_shards))
-    rows = []
-    for version, shards in enumerate(versions):
-        filled = [0] * n_shards
-        for key, k in zip(keys, shards, strict=True):
-            rows.append((version, *key, k, filled[k]))
-            filled[k] += held.get(key, (0, 0))[1]
-    return stored(spark.createDataFrame(rows, "version int, vslot int, part int, shard int, first long").coalesce(1), "slot-map")
-
-
-def _placed(rows: DataFrame, n_slots: int, n_shards: int, *spread: str) -> DataFrame:
-    """``rows`` (with vslot and size) with part, and joined with the newest version of a map made for them."""
+    now = [before.get((s, part), before[s, 0] + part) % shards for s, part in keys]
+    size = {k: held[key][0] for k, key in enumerate(keys) if key in held}
+    for more in range(shards, n_shards):
+        now = grown(now, size, more)
+    write_map(spark, folder, versions[-1] + 1, dict(zip(keys, rebalanced(now, size, n_shards, tolerance), strict=True)), held, n_slots, n_shards)
+    return versions[-1] + 1
+
+
+def _placed(rows: DataFrame, n_slots: int, n_shards: int, *spread: str, folder: str | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """``rows`` (with vslot and size) with part, and joined with the version of the map edited for them."""
+    spark = rows.sparkSession
     rows, held = with_parts(rows, n_slots, *spread)
-    where = shard_map(rows.sparkSession, held, n_slots, n_shards).where("version = 1").drop("version")
+    folder = folder or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    where = read_map(spark, folder, edit_map(spark, folder, held, n_slots, n_shards, tolerance)).drop("n_slots", "n_shards")
     return rows.join(F.broadcast(where), ["vslot", "part"])  # 2 * n_slots rows at most
 
 
-def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS) -> DataFrame:
-    """Every row with its shard (law ``bytes``), its place in the shard and its virtual slot.
+def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, folder: str | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """Every row with its shard (law ``bytes``), its place in the shard and its virtual slot, by the map in ``folder``.
+
+    A run edits the newest version it finds there and stores the next one, so when rows were added since, only the slots that must move do (more of them the smaller
+    ``tolerance``, the part of a shard by which the largest and the smallest may differ). Without a folder the map starts anew, in one of its own.
 
     Columns: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, part. ``slot`` counts the shard's rows from 0 without gaps, by virtual slot, part and
     doc_id. A null text has no bytes; null ids and ids that repeat are spread by their texts, and rows that repeat both by the parts of their slot, in any order; an
     empty table gives no rows. Texts are read once and never shuffled: only (doc_id, size, text_crc32) is stored and ranked, over as many keys as slots and parts.
     """
     rows = stored(measured(docs, n_slots).withColumn("nth", F.monotonically_increasing_id()), "measured")  # numbers are drawn once
-    placed = _placed(rows, n_slots, n_shards, "nth")
+    placed = _placed(rows, n_slots, n_shards, "nth", folder=folder, tolerance=tolerance)
     rank = F.row_number().over(Window.partitionBy("vslot", "part").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + rank - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", "part")
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -151,6 +152,22 @@ def test_language_on_held_out_rows(spark, odd, none):
     assert langid.identified(none, langid.train(none)).count() == 0
 
 
+def test_chains_of_many_languages_stay_within_their_memory(monkeypatch):
+    """Whole chains give what pieces give, and hold no matrices."""
+    rng = np.random.default_rng(8)
+    emit, step, first = rng.random((3000, 12)) + 0.01, rng.random((12, 12)) + 0.1, np.array([0, 7, 2500])
+    forward, p = langid.forward_backward(emit, step, first)
+    monkeypatch.setattr(langid, "FEW", 1)
+    again = langid.forward_backward(emit, step, first)
+    assert np.allclose(forward, again[0]) and np.allclose(p, again[1])
+    emit, step = rng.random((20_000, 200)) + 0.01, rng.random((200, 200)) + 0.1
+    tracemalloc.start()
+    _, p = langid.forward_backward(emit, step, np.arange(0, 20_000, 50))  # 400 chains: their matrices alone would be 128 MB
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * emit.nbytes < 400 * 200**2 * 8 * 2 and np.allclose(p.sum(1), 1)
+
+
 def test_chains_in_pieces_equal_plain_forward_backward():
     rng = np.random.default_rng(1)
     emit, step, first = rng.random((500, 3)) + 0.01, rng.random((3, 3)) + 0.1, np.array([0, 1, 200])
@@ -321,11 +338,20 @@ def test_mixing_of_far_null_and_repeated_ids(spark):
     rows = mixing.mixed(docs, block_rows=4).collect()
     at = [(r.mix_source, r.block, r.place) for r in rows]
     assert len(rows) == len(ids) and len(set(at)) == len(ids)
-    for s in ("hot", mixing.NO_SOURCE):
+    for s in ("hot", None):
         mine = [r.doc_id for r in sorted((r for r in rows if r.mix_source == s), key=lambda r: (r.block, r.place))]
         assert mine == sorted(mine, key=lambda i: (i is not None, i or 0)) and {(b, p) for x, b, p in at if x == s} == {(k // 4, k % 4) for k in range(len(mine))}
 
 
+def test_a_null_source_is_no_source_named_so(spark):
+    docs = spark.createDataFrame([(k, "t", "en", (None, "", "(none)", "=")[k % 4], 1) for k in range(400)], DOC)
+    for weights in (None, {None: 3, "": 1, "(none)": 1, "=": 1}):
+        rows = mixing.mixed(docs, weights, block_rows=1).collect()
+        assert Counter(r.mix_source for r in rows) == {None: 100, "": 100, "(none)": 100, "=": 100} and len({r.mix_slot for r in rows}) == 400
+        early = Counter(r.mix_source for r in rows if r.mix_slot < 120)
+        assert early == ({None: 60, "": 20, "(none)": 20, "=": 20} if weights else dict.fromkeys((None, "", "(none)", "="), 30))
+
+
 def test_shards_stay_even_when_rows_repeat(spark):
     docs = spark.createDataFrame([(None, "x" * 1000, None, None, None)] * 400 + [(3, "y" * 1000, "en", "s", 1)] * 300 + [(k, "x" * 1000, "en", "s", 1) for k in range(400)], DOC).repartition(4)
     rows, load, by = sharding.shard(docs).collect(), Counter(), defaultdict(list)
@@ -336,6 +362,36 @@ def test_shards_stay_even_when_rows_repeat(spark):
     assert len(rows) == 1100 and max(load.values()) <= 1.2 * sum(load.values()) / 40 and all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_the_map_is_read_back_edited_and_kept_in_versions(spark, tmp_path):
+    folder, docs = f"file://{tmp_path}/map", read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    few = docs.where("doc_id % 10 <> 3")
+
+    def run(rows, shards):
+        found = sharding.shard(rows, shards, 512, folder, 0.02).collect()
+        load = Counter()
+        for r in found:
+            load[r.shard] += r.size
+        assert max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / shards + 1 and len(load) == shards
+        return {r.doc_id: r.shard for r in found}
+
+    first = run(few, 8)
+    assert sharding.map_versions(spark, folder) == [0, 1]
+    assert run(few, 8) == first and sharding.map_versions(spark, folder) == [0, 1, 2]  # already even: nothing moves
+    more = run(docs, 8)
+    assert sum(more[i] != k for i, k in first.items()) < 0.1 * len(first)
+    nine = run(docs, 9)
+    assert sum(nine[i] != k for i, k in more.items()) < 0.2 * len(more) and sum(nine[i] not in (k, 8) for i, k in more.items()) < 0.05 * len(more)
+    seven = run(docs, 7)
+    assert sum(seven[i] != k for i, k in nine.items() if k < 7) < 0.2 * len(nine)
+    assert sharding.map_versions(spark, folder) == [0, 1, 2, 3, 4, 5]
+    old = {(r.vslot, r.part): r.shard for r in sharding.read_map(spark, folder, 1).collect()}
+    assert {s for s, _ in old} == set(range(512)) and sharding.read_map(spark, folder).first().n_shards == 7
+    with pytest.raises(ValueError, match="512 slots"):
+        sharding.shard(docs, 7, 64, folder)
+    (tmp_path / "map" / "version-000006").mkdir()  # a writer that died: the version does not count and is written over
+    assert run(docs, 7) == seven and sharding.map_versions(spark, folder)[-1] == 6
+
+
 def test_shards_follow_the_stored_map(spark):
     """The shard and slot of every row replayed from the ids and texts alone."""
     docs = read_table(spark, SF, "documents")
