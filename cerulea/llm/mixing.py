@@ -52,7 +52,8 @@ def target_weights(counts: dict[str, int], weights: dict[str, float] | None, per
     """Slots a period by key of the source. Without ``weights``: as the square root of the rows, which lifts small sources. A source without a weight gets one slot."""
     if weights is None:
         return quantised({s: math.sqrt(n) for s, n in counts.items()}, period) if counts else {}
-    given = quantised({s: w for s, w in weights.items() if s in counts and w > 0} or {"": 1.0}, period)
+    known = {s: w for s, w in weights.items() if s in counts and w > 0}
+    given = quantised(known, period) if known else {}
     return {s: given.get(s, 1) for s in counts}
 
 

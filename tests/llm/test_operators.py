@@ -352,6 +352,11 @@ def test_a_null_source_is_no_source_named_so(spark):
         assert early == ({None: 60, "": 20, "(none)": 20, "=": 20} if weights else dict.fromkeys((None, "", "(none)", "="), 30))
 
 
+def test_sources_without_a_weight_get_one_slot_each():
+    assert mixing.target_weights({"": 5, "=a": 9}, {"=b": 2.0}) == {"": 1, "=a": 1}
+    assert mixing.target_weights({"": 5, "=a": 9}, {"=a": 2.0}, 10) == {"": 1, "=a": 10}
+
+
 def test_shards_stay_even_when_rows_repeat(spark):
     docs = spark.createDataFrame([(None, "x" * 1000, None, None, None)] * 400 + [(3, "y" * 1000, "en", "s", 1)] * 300 + [(k, "x" * 1000, "en", "s", 1) for k in range(400)], DOC).repartition(4)
     rows, load, by = sharding.shard(docs).collect(), Counter(), defaultdict(list)
