@@ -4,8 +4,8 @@ Banding with T tables of k minhashes each would need T*k minhashes a document. H
 (i, j) has the pair of half keys A[i], B[j] as its key: t*t tables from 2*t*m minhashes. Two documents of similarity s meet in a table with probability
 (1 - (1 - s**m)**t)**2: for m = 3 and t = 20 that is 0.99997 at s = 0.75. Documents that meet are compared on their whole shingle sets.
 
-Documents with equal sets are one node of the graph. Verification is in two rounds, so that a large group of near copies does not cost all its pairs: first every
-document against the pivots of its buckets, then, where buckets still join groups that no confirmed link joins, the documents of one group against those of the others.
+Documents with equal sets are one node of the graph. Verification is in rounds, so that a large group of near copies does not cost all its pairs: first every document against the pivot that it
+meets most often, next against those of its other pivots that are in other groups then, and last, where buckets still join groups that no confirmed link joins, the documents of one group against those of the others.
 """
 
 from __future__ import annotations
@@ -100,12 +100,12 @@ def signatures(docs: DataFrame, half_keys: int = HALF_KEYS, minhashes: int = MIN
     return rows.mapInArrow(_sign(half_keys, minhashes, words), "doc_id long, own binary, n_shingles long, h1 long, h2 long, sig array<int>")
 
 
-def candidate_links(sets: DataFrame, half_keys: int, minhashes: int) -> DataFrame:
-    """(a, b) that meet in a table, for (node, n_shingles, sig): in each bucket every document with its pivot, the smallest node, which keeps the bucket connected.
+def candidates(sets: DataFrame, half_keys: int, minhashes: int) -> DataFrame:
+    """(node, best, pivots) of the nodes that meet others in a table, for (node, n_shingles, sig): in each bucket every document has a pivot, the smallest node, which keeps the
+    bucket connected; best is the pivot that it meets most often.
 
     A half key that only one document has cannot meet another, so it is dropped before the pairs of half keys are formed. A bucket holds sizes of two successive steps
     of 4/3 only; similar documents lie in one step or in two successive ones, so they share such a bucket, and a long document that quotes both cannot be their pivot.
-    Of the links, those whose minhashes agree in less than 40 % of the places are dropped: at similarity 0.75 that is nine standard deviations off.
     """
 
     def half(side: int) -> DataFrame:
@@ -120,12 +120,30 @@ def candidate_links(sets: DataFrame, half_keys: int, minhashes: int) -> DataFram
     buckets = pairs.select("node", "step", F.explode("half0").alias("x"), "half1").select("node", "step", "x", F.explode("half1").alias("y")).select("node", F.xxhash64("x", "y", "step").alias("bucket"))
     buckets = stored(buckets, "buckets")
     pivots = buckets.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
-    links = buckets.join(pivots, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    met = buckets.join(pivots, "bucket").where("node <> b").groupBy("node", "b").agg(F.count("*").alias("n"))
+    return met.groupBy("node").agg(F.max_by("b", F.struct("n", "b")).alias("best"), F.collect_list("b").alias("pivots"))
+
+
+def agreeing(links: DataFrame, sets: DataFrame, half_keys: int, minhashes: int) -> DataFrame:
+    """The links (a, b) whose minhashes agree in 40 % of the places or more: at similarity 0.75 less is nine standard deviations off."""
     left, right = sets.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), sets.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return links.join(left, "a").join(right, "b").where(same >= LEAST_AGREEMENT * 2 * half_keys * minhashes).select("a", "b")
 
 
+def links_between(met: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, b): of all links of ``met`` (node, pivots) those whose ends are in different groups, for the groups (node, root) of the nodes that have one.
+
+    A node's pivots stay in its row until the group of each is known: the groups are joined to the nodes, and to the distinct pairs of a group and a pivot, so a large group
+    that is linked already hands on none of its links.
+    """
+    own = met.join(comps, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "pivots")
+    spread = own.select(F.col("node").alias("a"), "comp", F.explode("pivots").alias("b"))
+    pairs = spread.select("comp", "b").distinct().join(comps.select(F.col("node").alias("b"), "root"), "b", "left")
+    apart = pairs.where(F.coalesce("root", "b") != F.col("comp")).select("comp", "b")
+    return spread.join(apart, ["comp", "b"], "left_semi").select("a", "b")
+
+
 def _against(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -256,12 +274,25 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, half_ke
     classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(lead).alias("lead"), F.first(F.struct("sig", "n_shingles")).alias("x"))
     classes = classes.select("h1", "h2", "lead", "x.sig", "x.n_shingles", F.monotonically_increasing_id().alias("node"))
     classes = stored(classes, "classes")  # numbers are drawn once
-    links = stored(candidate_links(classes.select("node", "n_shingles", "sig"), half_keys, minhashes), "links")
-    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    nodes = stored(classes.select("node", "n_shingles", F.col("lead.own").alias("own")).join(nodes, "node"), "linked")
-    sets = stored(shingles_of(docs, nodes.select("own", "node"), words), "sets")
+    sigs = classes.select("node", "n_shingles", "sig")
+    met = stored(candidates(sigs, half_keys, minhashes), "met")
 
-    near = components(pivot_links(links, sets, nodes, percent))
+    def linked(links: DataFrame) -> DataFrame:
+        nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        return classes.select("node", "n_shingles", F.col("lead.own").alias("own")).join(nodes, "node")
+
+    first_links = stored(agreeing(met.select(F.col("node").alias("a"), F.col("best").alias("b")), sigs, half_keys, minhashes), "links")
+    nodes = stored(linked(first_links), "linked")
+    sets = stored(shingles_of(docs, nodes.select("own", "node"), words), "sets")
+    confirmed = stored(pivot_links(first_links, sets, nodes, percent), "confirmed")
+
+    # a link inside a group changes nothing, so only those between groups are formed
+    links = stored(agreeing(links_between(met, components(confirmed)), sigs, half_keys, minhashes), "links")
+    new = stored(linked(links).join(nodes, "node", "left_anti"), "linked")
+    sets = sets.union(stored(shingles_of(docs, new.select("own", "node"), words), "sets"))
+    nodes = nodes.union(new)
+    untried = links.join(first_links, ["a", "b"], "left_anti")
+    near = components(confirmed.union(pivot_links(untried, sets, nodes, percent)))
     comps = stored(nodes.select("node", "n_shingles").join(near, "node", "left").select("node", "n_shingles", F.coalesce("root", "node").alias("comp")), "groups")
 
     def over(edges: DataFrame) -> DataFrame:

@@ -228,6 +228,26 @@ def test_near_duplicates_against_brute_force(spark, odd, none):
     assert neardup.grouped(none).count() == 0
 
 
+def test_near_copies_that_are_linked_hand_on_no_more_links(spark, monkeypatch):
+    """All of a large group of near copies are linked by the pivots they meet most; their links to other pivots are never formed."""
+    rng, texts = random.Random(5), {}
+    base = [rng.choice(WORDS) + str(k) for k in range(200)]
+    for i in range(400):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"own{i}"
+        w[rng.randrange(len(w))] = f"own{i}"
+        texts[i] = " ".join(w)
+    seen, agreeing = [], neardup.agreeing
+    monkeypatch.setattr(neardup, "agreeing", lambda links, *more: (seen.append(links.count()), agreeing(links, *more))[1])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.component_id for r in neardup.grouped(docs).collect()} == {0}
+    signed = neardup.signatures(docs).withColumn("node", F.col("doc_id"))
+    met = neardup.candidates(signed, neardup.HALF_KEYS, neardup.MINHASHES).cache()
+    every = met.select(F.sum(F.size("pivots"))).first()[0]
+    alone = spark.createDataFrame([], "node long, root long")
+    assert every > 2 * len(texts) and sum(seen) < 1.1 * len(texts) and neardup.links_between(met, alone).count() == every
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.root) for r in components(edges).collect()} == {(k, 0) for k in range(61)} | {(100, 100), (101, 100)}
