@@ -123,3 +123,20 @@ def test_places_as_typed(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", area.place_of(F.col("t")).alias("p")).collect()
     assert {r.t: r.p and tuple(r.p) for r in rows} == cases
     assert area.demo_areas(spark).where(F.size("ring") == 4).count() == 4
+
+
+def test_a_scene_is_painted_in_parts_of_whole_tiles(spark, monkeypatch):
+    """The latest key wins, also left of and above the origin, and no task paints much more than its share."""
+    monkeypatch.setattr(scene, "TASK_PIXELS", 1 << 13, raising=False)
+    odd = [(-1, -300, -900, 600, 300, 1, 2, 3), (10**6, -260, -700, 9, 9, 4, 5, 6)]
+    rects = scene.rectangles(spark.range(200).select(F.col("id").alias("k"))).unionByName(spark.createDataFrame(odd, "k long, gx long, gy long, w long, h long, r int, g int, b int"))
+    want = {}
+    for r in sorted(rects.collect(), key=lambda r: r.k):
+        want |= {(x, y): (r.r, r.g, r.b) for x in range(r.gx, r.gx + r.w) for y in range(r.gy, r.gy + r.h)}
+    rows = scene.pixels(rects).withColumn("part", F.spark_partition_id()).collect()
+    assert len(rows) == len(want) and {((r.tx - scene.TILE_X) * 256 + r.px, (r.ty - scene.TILE_Y) * 256 + r.py): (r.r, r.g, r.b) for r in rows} == want
+    parts, tiles = {}, {}
+    for r in rows:
+        parts[r.part] = parts.get(r.part, 0) + 1
+        tiles.setdefault((r.tx, r.ty), set()).add(r.part)
+    assert len(parts) > 12 and max(parts.values()) < len(rows) / 3 and all(len(p) == 1 for p in tiles.values())
