@@ -140,3 +140,11 @@ def test_a_scene_is_painted_in_parts_of_whole_tiles(spark, monkeypatch):
         parts[r.part] = parts.get(r.part, 0) + 1
         tiles.setdefault((r.tx, r.ty), set()).add(r.part)
     assert len(parts) > 12 and max(parts.values()) < len(rows) / 3 and all(len(p) == 1 for p in tiles.values())
+
+
+def test_pixels_are_not_broadcast(spark):
+    pixels = scene.supplier_pixels(spark, "/root/testdata/sf0.001")
+    labels = raster.components(raster.clean(raster.water_mask(pixels)))
+    for measured in (raster.component_stats, raster.component_texture):
+        plan = measured(labels, pixels)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
