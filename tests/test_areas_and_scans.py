@@ -86,6 +86,21 @@ def test_points_are_located_by_tiles(spark):
     assert got == want and len(got) > 100
 
 
+@pytest.mark.parametrize("most", [4096, 7])
+def test_points_of_areas_are_counted_without_their_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(areas, "BLOCK_POINTS", most)
+    monkeypatch.setattr(areas, "BLOCK_RINGS", max(1, most // 7))
+    monkeypatch.setattr(areas, "TILE_POINTS", most)
+    rng = random.Random(4)
+    points = [(rng.choice([-8.01, rng.uniform(-8.04, -7.97)]), rng.choice([37.09, rng.uniform(37.06, 37.12)])) for _ in range(400)] + [(None, 37.09)]
+    table = spark.createDataFrame(points, "lon double, lat double")
+    shapes = rings(spark, TRIANGLE, NOTCHED, CROSSED, DOT, None, [(-9.0, 36.0), (-7.0, 36.0), (-7.0, 38.0), (-9.0, 38.0)])
+    want = {r.area: r["count"] for r in areas.located(table, shapes, 13).groupBy("area").count().collect()}
+    found = areas.point_counts(table, shapes, 13)
+    assert {r.area: r.n for r in found.collect()} == want and len(want) == 4 and want[5] == 400
+    assert areas.point_counts(table.limit(0), shapes, 13).count() == 0 and areas.point_counts(table, shapes.limit(0), 13).count() == 0
+
+
 def greedy(before, after, metres):
     """Nearest pairs first."""
     pairs = []
