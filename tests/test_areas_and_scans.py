@@ -129,6 +129,36 @@ def test_scan_diff_against_nearest_first(spark, lat):
     assert {r.before for r in rows if r.op == "removed"} == set(before) - set(want) and {r.after for r in rows if r.op == "added"} == set(after) - set(want.values()) and len(rows) == 230 - len(want)
 
 
+def test_dense_scans_are_matched_without_all_their_pairs(spark, monkeypatch):
+    """Copies at one place, equal distances and names in no order of place, over the corner of four blocks: nearest first, and what is stored grows with the rows."""
+    step, rows, counts = 0.9 / 111320, 60 / 111320, []
+    place = lambda k, copies: (rows + ((k // copies * 5) % 14 - 7) * step, rows + ((k // copies * 3) % 16 - 8) * step)
+    name = lambda k: f"{k * 7919 % 1009:04d}"
+    before = {name(k): place(k, 9) for k in range(1000)}
+    after = {name(k): (x + k % 3 * step / 2, y + k % 2 * step / 2) for k in range(900) for x, y in [place(k + 4, 4)]}
+    held = diff.stored
+    monkeypatch.setattr(diff, "stored", lambda df, name: [out := held(df, name), counts.append(out.count())][0])
+    table = lambda rows: spark.createDataFrame([(k, *v) for k, v in rows.items()], "cluster string, lon double, lat double")
+    found = diff.scan_diff(table(before), table(after)).collect()
+    want = greedy(before, after, 5)
+    assert {r.before: r.after for r in found if r.op == "unchanged"} == want and len(want) > 850 and len(found) == 1900 - len(want)
+    assert sum(counts) < 4 * 1900  # there are 273,362 pairs
+
+
+def test_a_block_holds_few_pairs_and_matches_the_same(spark, monkeypatch):
+    rng = random.Random(3)
+    place = lambda: (rng.choice([0.00012, 0.0002, rng.uniform(0, 0.0007)]), rng.choice([0.0001, rng.uniform(0, 0.0007)]))
+    points = spark.createDataFrame([(k, None, *place()) if k % 2 else (None, k, *place()) for k in range(1500)], "a long, b long, lon double, lat double")
+    tile = diff.dealt(points, 5.0, 0.0).sort("row", "column").toArrow()
+    rows = lambda tables: sorted(tuple(r.values()) for t in tables for r in t.to_pylist() if r["kind"] < 2)
+    want = rows([diff._decided(tile, 5.0)])
+    monkeypatch.setattr(diff, "PAIRS", 40)
+    monkeypatch.setattr(diff, "ROWS", 30)
+    parts = list(diff._blocks(tile.to_batches(max_chunksize=7)))
+    assert len(parts) > 1 and sum(len(t) for t in parts) == len(tile) and len({(r["row"], r["column"]) for t in parts for r in t.select(["row", "column"]).to_pylist()}) == sum(len({(r["row"], r["column"]) for r in t.to_pylist()}) for t in parts)
+    assert rows(diff._decided(t, 5.0) for t in parts) == want and len(want) > 300
+
+
 def test_scan_diff_of_empty_scans_and_missing_places(spark):
     one = spark.createDataFrame([("a", 1.0, 2.0), ("b", None, None)], "cluster string, lon double, lat double")
     assert sorted(r.op for r in diff.scan_diff(one, one.limit(0)).collect()) == ["removed"] * 2 and sorted(r.op for r in diff.scan_diff(one.limit(0), one).collect()) == ["added"] * 2
