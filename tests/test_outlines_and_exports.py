@@ -2,6 +2,7 @@
 
 import base64
 import json
+import re
 import struct
 import zlib
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cerulea.operators import detect, outline, raster
 from cerulea.sinks import archive, exports, mosaic
-from cerulea.sources import area
+from cerulea.sources import area, scene
 from cerulea.sources.images import failed_images, image_pixels
 
 
@@ -241,6 +242,15 @@ def test_mosaics_pixel_by_pixel(spark):
     assert mosaic.mosaics(pixels, frags.limit(0), 4).count() == 1 and mosaic.mosaics(pixels.limit(0), frags, 4).count() == 0
 
 
+def test_mosaics_send_finished_tiles_to_their_block(spark, monkeypatch):
+    """Pixels, which no task could hold for many blocks, are never dealt by block."""
+    monkeypatch.setattr(scene, "TASK_PIXELS", 1 << 12)
+    pixels = scene.supplier_pixels(spark, "/root/testdata/sf0.001")
+    plan = mosaic.mosaics(pixels, detect.fragments(raster.tile_components(pixels)))._jdf.queryExecution().executedPlan().toString()
+    below = re.findall(r"hashpartitioning\(bx#[^\n]*\n([^\n]*)", plan)
+    assert len(below) == 1 and "image#" in below[0] and "px#" not in below[0]
+
+
 def test_larger_images_are_cut_and_others_fail(spark, tmp_path):
     image = np.zeros((512, 512, 3), np.uint8)
     image[:] = raster.BACKGROUND
