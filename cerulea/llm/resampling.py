@@ -1,8 +1,8 @@
 """Importance resampling towards a target distribution over hashed word runs.
 
-Documents become a sparse matrix of counts, documents by buckets, kept as Parquet rows of compressed sparse row (CSR) blocks. Column sums of the blocks give the two
-distributions, their ratio a gain for each bucket, and the product of the matrix with the gains a weight for each document. Random keys of the ids turn weights into a
-draw without replacement: the highest sums of weight and key.
+Documents become a sparse matrix of counts, documents by buckets, in compressed sparse row (CSR) blocks. Column sums of the blocks give the two distributions, their
+ratio a gain for each bucket, and the product of the matrix with the gains a weight for each document. The matrix is made twice and never kept: as rows of a table,
+blocks would be read, and handed on, thousands at once. Random keys of the ids turn weights into a draw without replacement: the highest sums of weight and key.
 """
 
 from __future__ import annotations
@@ -72,39 +72,24 @@ def counts(texts: list[str | None], run: int, buckets: int) -> tuple[np.ndarray,
     return np.bincount(of, minlength=len(texts)), starts, key % buckets, count
 
 
-_BLOCK = pa.schema([("doc_id", pa.list_(pa.int64())), ("tie", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+def csr_blocks(texts: list[str | None], run: int, buckets: int) -> Iterator[tuple[int, int, tuple[np.ndarray, ...]]]:
+    """(first text, end, ``counts`` of these texts), one block of the matrix after another: a task holds one at a time."""
+    for lo, hi in text_blocks(texts, BLOCK_CHARS):
+        yield lo, hi, counts(texts[lo:hi], run, buckets)
 
 
-def count_matrix(docs: DataFrame, run: int = WORD_RUN, buckets: int = BUCKETS) -> DataFrame:
-    """The sparse matrix of ``docs`` (doc_id, text): a row is a CSR block, with ids, numbers of words and a hash of each text beside it. Written to the shared folder."""
+def column_sums(docs: DataFrame, run: int = WORD_RUN, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, n): the sums of the columns of the matrix of ``docs`` (text) that have any; each task adds up its blocks before the shuffle."""
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in text_blocks(texts, BLOCK_CHARS):
-                words, *matrix = counts(texts[lo:hi], run, buckets)
-                values = [batch.column("doc_id")[lo:hi].to_pylist(), batch.column("tie")[lo:hi].to_pylist(), words, *matrix]
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _BLOCK, strict=True)], schema=_BLOCK)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    return stored(rows.mapInArrow(blocks, "doc_id array<long>, tie array<long>, n_words array<long>, starts array<int>, buckets array<int>, counts array<long>"), "csr-blocks")
-
-
-def column_sums(matrix: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, n): the sums of the columns that have any; each task adds up its blocks before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            at, n = (batch.column(c).flatten().to_numpy() for c in ("buckets", "counts"))
-            order = np.argsort(at, kind="stable")
-            if len(at):
-                first = np.flatnonzero(np.diff(at[order], prepend=-1))
-                total[at[order][first]] += np.add.reduceat(n[order], first)
+            for _, _, (_, _, at, n) in csr_blocks(batch.column("text").to_pylist(), run, buckets):
+                np.add.at(total, at, n)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
-    return matrix.select("buckets", "counts").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(add, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(source: DataFrame, target: DataFrame, buckets: int) -> np.ndarray:
@@ -122,20 +107,20 @@ def gains(source: DataFrame, target: DataFrame, buckets: int) -> np.ndarray:
     return out
 
 
-def weights(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
-    """(doc_id, tie, n_words, n_features, weight): the product of the matrix with the gains, block by block."""
-    held = matrix.sparkSession.sparkContext.broadcast(gain)
+def weights(docs: DataFrame, gain: np.ndarray, run: int = WORD_RUN, buckets: int = BUCKETS) -> DataFrame:
+    """(doc_id, tie, n_words, n_features, weight): the product of the matrix of ``docs`` (doc_id, text) with the gains, block by block; tie is a hash of the text."""
+    held = docs.sparkSession.sparkContext.broadcast(gain)
     names = ["doc_id", "tie", "n_words", "n_features", "weight"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids, tie, words, starts, at, n = (batch.column(c)[k].values for c in _BLOCK.names)
-                starts, at, n = starts.to_numpy(), at.to_numpy(), n.to_numpy()
+            for lo, hi, (words, starts, at, n) in csr_blocks(batch.column("text").to_pylist(), run, buckets):
                 summed = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[starts])  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([ids, tie, words, pa.array(summed(n)), pa.array(summed(held.value[at] * n))], names=names)
+                ids, tie = batch.column("doc_id")[lo:hi], batch.column("tie")[lo:hi]
+                yield pa.RecordBatch.from_arrays([ids, tie, pa.array(words), pa.array(summed(n)), pa.array(summed(held.value[at] * n))], names=names)
 
-    return matrix.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    return rows.mapInArrow(multiply, ", ".join(f"{c} long" for c in names))
 
 
 def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, run: int = WORD_RUN, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
@@ -145,13 +130,11 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_
     text. A null or empty text has no features and weight 0; a null id draws its key as the empty text does. Rows that repeat an id have one key, each is a row of its
     own with its own weight, and those that repeat the text too get successive ranks. An empty target leaves only smoothing; an empty table gives no rows.
     """
-    matrix = count_matrix(docs, run, buckets)
-    wanted = count_matrix(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), run, buckets)
-    gain = gains(column_sums(matrix, buckets), column_sums(wanted, buckets), buckets)
+    gain = gains(column_sums(docs, run, buckets), column_sums(target, run, buckets), buckets)
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256)
     key = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((key + 0.5) / 4294967296)))
-    scored = stored(weights(matrix, gain).withColumn("score", F.col("weight") + noise), "scored")
+    scored = stored(weights(docs, gain, run, buckets).withColumn("score", F.col("weight") + noise), "scored")
     able = scored.where(F.col("n_words") >= least_words)
     drawn = percent * able.count() // 100
     # the row's number splits rows that repeat id and text over several ranges

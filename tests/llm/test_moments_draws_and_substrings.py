@@ -135,6 +135,22 @@ def test_resampling_of_odd_rows_and_ties(spark, odd):
     assert sorted(x for x in drawn if x) == list(range(1, 51)) and drawn.count(None) == 450
 
 
+def test_blocks_of_the_matrix_are_not_rows_of_a_table(spark, monkeypatch):
+    """What is written has a few numbers a document, however long its text; blocks of one text and of many give the same."""
+    docs = [(k, " ".join(f"w{(k + 1) * j % 997}" for j in range(30 + 900 * (k % 3)))) for k in range(40)] + [(None, None), (7, "")]
+    target = ["w1 w2 w3 w5 w8 " * 9]
+    held, kinds = resampling.stored, []
+    monkeypatch.setattr(resampling, "stored", lambda df, name: [kinds.extend(kind for _, kind in df.dtypes), held(df, name)][1])
+    want, order = brute_resampling(docs, target)
+    for size in (1, 5000, 1 << 20):
+        monkeypatch.setattr(resampling, "BLOCK_CHARS", size)
+        assert sum(hi - lo for lo, hi, _ in resampling.csr_blocks([t for _, t in docs], 1, 10_000)) == len(docs)
+        got = resampling.resampled(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(t,) for t in target], "text string")).collect()
+        assert Counter((r.doc_id, r.n_features, r.weight, r.score) for r in got) == Counter(tuple(r[:4]) for r in want)
+        assert [(r.score, r.doc_id) for r in sorted((r for r in got if r["rank"]), key=lambda r: r["rank"])] == order
+    assert kinds and set(kinds) == {"bigint"}
+
+
 def test_checksums_of_ranges():
     rng = random.Random(0)
     parts = [bytes(rng.randrange(33, 256) for _ in range(n)) for n in (1, 2, 3, 63, 64, 65, 900, *(rng.randrange(1, 12) for _ in range(200)))]
