@@ -68,6 +68,33 @@ def test_orders_visit_each_tile_once_and_hilbert_steps_are_short(spark):
     assert step["hilbert"] < step["serpentine"]
 
 
+LARGE = [(-9.0, 36.0), (-7.0, 36.2), (-7.0, 38.0), (-9.0, 38.0)]
+
+
+@pytest.mark.parametrize("most", [0, 40, 2000, 1 << 20])
+def test_orders_of_rings_in_a_kernel_equal_those_by_bands(spark, monkeypatch, most):
+    shapes = [TRIANGLE, NOTCHED, CROSSED, OVER_THE_MERIDIAN, DOT, None, [], TRIANGLE[:2], [(1.0, 1.0)] * 3, LARGE, [(1.0, 89.0), (2.0, 89.0), (1.5, 88.0)], [(0.0, 0.0), (None, 1.0), (1.0, 1.0)]]
+    table = rings(spark, *shapes).repartition(3)
+    covered = areas.cover(table, 12).cache()
+    want = {(r.area, r.tx, r.ty): [] for r in covered.collect()}
+    for placed in (areas.serpentine(covered), areas.spiral(covered), areas.hilbert(covered, 12)):
+        for r in placed.collect():
+            want[r.area, r.tx, r.ty].append(r.idx)
+    placed = []
+    held = areas._placed
+    monkeypatch.setattr(areas, "_placed", lambda *a: [placed.append(1), held(*a)][1])
+    monkeypatch.setattr(areas, "WHOLE_RING", most)
+    monkeypatch.setattr(areas, "RING_STEP", 100)
+    got = areas.orders(table, 12).collect()
+    assert {(r.area, r.tx, r.ty): [r.serpentine, r.spiral, r.hilbert] for r in got} == want and len(got) == len(want) > 500
+
+
+def test_orders_of_small_rings_deal_out_no_tiles(spark, monkeypatch):
+    monkeypatch.setattr(areas, "_placed", None)  # windows over all tiles
+    monkeypatch.setattr(areas, "ranges", None)
+    assert areas.orders(rings(spark, TRIANGLE, NOTCHED), 16).groupBy("area").count().count() == 2 and areas.orders(rings(spark, TRIANGLE).limit(0), 16).count() == 0
+
+
 def test_hilbert_is_a_path_over_the_square(spark):
     cells = spark.range(4096).select((F.col("id") % 64).cast("int").alias("x"), (F.col("id") / 64).cast("int").alias("y"))
     walk = [(r.x, r.y) for r in cells.withColumn("d", areas.hilbert_index(F.col("x"), F.col("y"), 6)).orderBy("d").collect()]
