@@ -128,6 +128,48 @@ def test_points_of_areas_are_counted_without_their_pairs(spark, monkeypatch, mos
     assert areas.point_counts(table.limit(0), shapes, 13).count() == 0 and areas.point_counts(table, shapes.limit(0), 13).count() == 0
 
 
+@pytest.mark.parametrize("step", [1, 60, 1 << 18])
+def test_a_block_counts_as_the_rule_says(monkeypatch, step):
+    """Rings that cross themselves, level and upright sides, corners at points, equal points and points far outside, also beyond the grid's reach."""
+    monkeypatch.setattr(areas, "STEP", step)
+    rng = np.random.default_rng(6)
+    for case in range(24):
+        scale, most = (2.0**-7, 1.0, 2.0**30)[case % 3], 40 if step < 1 << 18 else 700
+        exact = lambda c: np.round(c * 2.0 ** (bits := rng.integers(2, 14))) / 2.0**bits * scale  # noqa: E731  so that sides end where the next begins
+        shapes = [exact(rng.uniform(-0.2, 1.2, (n, 2))) for n in rng.integers(3, 9, 30)]
+        shapes += [np.array([(0, 0), (1, 0), (1, 1), (0, 1)]) * scale, np.array([(0.5, -9), (0.5, 9), (9, 9), (9, -9)]) * scale]
+        lon, lat = exact(rng.uniform(0, 1, (2, rng.integers(0, most))))
+        ends = [(*p, *(q - p)) for s in shapes for p, q in zip(s, np.roll(s, -1, axis=0))]
+        at, sides = np.cumsum([0, *map(len, shapes)]), np.array(ends)
+        x, y, dx, dy = (sides[:, k, None] for k in range(4))
+        hit = ((y > lat) != (y + dy > lat)) & (lon < x + dx * ((lat - y) / np.where(dy != 0, dy, 1)))
+        want = [int((hit[i:j].sum(0) % 2).sum()) for i, j in zip(at, at[1:])]
+        assert areas._inside(at, sides, lon, lat).tolist() == want, case
+
+
+def test_dense_points_meet_few_pieces_of_rings(spark, monkeypatch):
+    """Pieces of rings do not grow with the points: a cell is small only where a larger one would hold very many of them."""
+    held, pieces = areas.stored, []
+    monkeypatch.setattr(areas, "stored", lambda df, name: [out := held(df, name), pieces.append(out.count() if name in ("ranges", "cells") else 0)][0])
+    table = spark.range(60000).select((-8.03 + F.col("id") * 31 % 60000 / 60000 * 0.05).alias("lon"), (37.07 + F.col("id") * 7919 % 60000 / 60000 * 0.04).alias("lat"))
+    shapes = rings(spark, *[TRIANGLE, NOTCHED, CROSSED] * 5)
+    got = {r.area: r.n for r in areas.point_counts(table, shapes, 16).collect()}
+    want = [table.where(geo.in_ring(F.col("lon"), F.col("lat"), r)).count() for r in (TRIANGLE, NOTCHED, CROSSED)]
+    assert got == {k: want[k % 3] for k in range(15)} and sum(pieces) <= 15 * 9
+
+
+@pytest.mark.parametrize("most", [0, 300])
+def test_rings_of_all_kinds_meet_their_points(spark, monkeypatch, most):
+    monkeypatch.setattr(areas, "CUT_RING", most)
+    monkeypatch.setattr(areas, "TILE_POINTS", 20)
+    rng = random.Random(9)
+    points = [(rng.uniform(-8.04, -7.97), rng.uniform(37.06, 37.12)) for _ in range(500)] + [(0.01, 0.0), (float("nan"), 37.09), (-8.0, float("inf")), (float("-inf"), 37.09), (None, None)]
+    table = spark.createDataFrame(points, "lon double, lat double").coalesce(1)
+    shapes = rings(spark, TRIANGLE, NOTCHED, CROSSED, OVER_THE_MERIDIAN, DOT, None, LARGE, [(1.0, 1.0)] * 3, [(-1e7, -80.0), (1e7, -80.0), (0.0, 80.0)])
+    want = {r.area: r["count"] for r in areas.located(table.limit(501), shapes, 13).groupBy("area").count().collect()}
+    assert {r.area: r.n for r in areas.point_counts(table, shapes, 13).collect()} == want and len(want) == 6  # no ring reaches infinity
+
+
 def greedy(before, after, metres):
     """Nearest pairs first."""
     pairs = []
